@@ -238,30 +238,31 @@ def basket_size_hist(lines: DataFrame, cap: int = 40, bins: int = 40) -> DataFra
     h = _histogram(_basket_sizes(lines)).groupBy(
         F.least("v", F.lit(cap)).cast("double").alias("v")
     ).agg(F.sum("n").alias("n"))
-    ends = h.agg(F.min("v").alias("a"), F.max("v").alias("b")).select(
-        F.when(F.col("a") == F.col("b"), F.col("a") - 0.5).otherwise(F.col("a")).alias("low"),
-        F.when(F.col("a") == F.col("b"), F.col("b") + 0.5).otherwise(F.col("b")).alias("high"),
-    )
-    slots = ends.select("low", "high", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"))
-    values = h.agg(F.collect_list(F.struct("v", "n")).alias("h"))  # at most ``cap`` entries
-    width = (F.col("high") - F.col("low")) / bins
-    in_bin = F.filter(
+    # one row: both ends and the at most ``cap`` capped sizes
+    row = h.agg(
+        F.min("v").alias("a"), F.max("v").alias("b"), F.collect_list(F.struct("v", "n")).alias("h")
+    ).filter(F.col("a").isNotNull())
+    half = F.when(F.col("a") == F.col("b"), 0.5).otherwise(0.0)
+    slots = row.select(
+        (F.col("a") - half).alias("low"),
+        (F.col("b") + half).alias("high"),
         "h",
-        lambda e: F.least(F.width_bucket(e["v"], F.col("low"), F.col("high"), F.lit(bins)), F.lit(bins))
-        == F.col("bin"),
-    )
-    return (
-        slots.withColumn("one", F.lit(1))
-        .join(F.broadcast(values.withColumn("one", F.lit(1))), "one")
-        .filter(F.col("low").isNotNull())
-        .select(
-            F.col("bin"),
-            (F.col("low") + (F.col("bin") - 1) * width).alias("bin_low"),
-            (F.col("low") + F.col("bin") * width).alias("bin_high"),
-            F.aggregate(in_bin, F.lit(0).cast("long"), lambda acc, e: acc + e["n"]).alias("n_orders"),
-        )
-        .orderBy("bin")
+        F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin"),
     )
+    low, high, this = F.col("low"), F.col("high"), F.col("bin")
+    width = (high - low) / bins
+
+    def here(e: Column) -> Column:
+        return F.least(F.width_bucket(e["v"], low, high, F.lit(bins)), F.lit(bins)) == this
+
+    return slots.select(
+        "bin",
+        (low + (this - 1) * width).alias("bin_low"),
+        (low + this * width).alias("bin_high"),
+        F.aggregate(
+            F.filter("h", here), F.lit(0).cast("long"), lambda acc, e: acc + e["n"]
+        ).alias("n_orders"),
+    ).orderBy("bin")
 
 
 def reorder_by_cart_position(lines: DataFrame, first: int = 20) -> DataFrame:
