@@ -145,41 +145,45 @@ def answer_rows(
         (F.col("user_id") == F.col("known_user")) & ((F.col("rank") == 1) | passes),
         "left",
     )
-    shown = F.struct("rank", *PREDICTION)
-    personal = joined.filter(F.col("known_user").isNotNull()).select(
+    popular, depth = _popular_list(valid, by_product, products)
+    popular = popular.select(
+        F.col("rank").alias("slot"),
+        F.struct("rank", *PREDICTION).alias("popular"),
+    )
+    is_known = F.col("known_user").isNotNull()
+    own = F.struct("rank", *PREDICTION)
+    # a cold request takes one slot per wanted product, and slot 1 even if it wants none
+    wanted = F.greatest(F.least(F.col("top_k"), F.lit(depth)), F.lit(1)).cast("int")
+    slots = F.sequence(F.lit(1), F.when(is_known, 1).otherwise(wanted))
+    flat = joined.select(
         request_id,
         "user_id",
-        F.lit(PERSONAL_MODE).alias("mode"),
-        F.when(passes, shown).alias("p"),
+        "top_k",
+        "threshold",
+        is_known.alias("is_known"),
+        F.when(is_known & passes, own).alias("own"),
+        F.explode(slots).alias("slot"),
     )
-    cold = joined.filter(F.col("known_user").isNull()).select(
-        request_id, "user_id", "top_k", "threshold"
-    )
-    popular, n_popular = _popular_list(valid, by_product, products)
-    wanted = F.least(F.col("top_k"), F.lit(n_popular)).cast("int")
-    # every cold request also takes slot 1, so that it shows up without any product
-    slots = cold.withColumn(
-        "rank", F.explode(F.sequence(F.lit(1), F.greatest(wanted, F.lit(1))))
+    fits = (F.col("popular.rank") <= F.col("top_k")) & (
+        F.col("popular.reorder_probability") >= F.col("threshold")
     )
-    popular_rows = attach(slots, popular, "rank", "left", spread=[request_id]).select(
+    answered = attach(flat, popular, "slot", "left", spread=[request_id]).select(
         request_id,
         "user_id",
-        F.lit(COLD_MODE).alias("mode"),
-        F.when(passes, shown).alias("p"),
-        "rank",
+        F.when(F.col("is_known"), PERSONAL_MODE).otherwise(COLD_MODE).alias("mode"),
+        F.when(F.col("is_known"), F.col("own")).otherwise(F.when(fits, F.col("popular"))).alias("p"),
+        "slot",
+        F.lit(None).cast("string").alias("error"),
     )
-    personal = personal.withColumn("slot", F.coalesce(F.col("p.rank"), F.lit(1)))
-    fallback = popular_rows.withColumnRenamed("rank", "slot")
     failed = requests.filter(F.col("error").isNotNull()).select(
         request_id,
         F.lit(None).cast("long").alias("user_id"),
         F.lit(None).cast("string").alias("mode"),
-        F.lit(None).cast(personal.schema["p"].dataType).alias("p"),
+        F.lit(None).cast(answered.schema["p"].dataType).alias("p"),
         F.lit(1).alias("slot"),
         "error",
     )
-    answered = personal.unionByName(fallback).withColumn("error", F.lit(None).cast("string"))
-    # an empty answer keeps its first slot only
+    # without predictions only the first slot stays, as the sign of an empty answer
     return (
         answered.unionByName(failed)
         .filter(F.col("p").isNotNull() | (F.col("slot") == 1))
