@@ -301,6 +301,26 @@ def candidates(totals: DataFrame, train_orders: DataFrame) -> DataFrame:
     )
 
 
+def _attach_products(pairs: DataFrame, by_product: DataFrame) -> DataFrame:
+    keys = by_product.select("product_id", *PRODUCT_KEY)
+    return attach(pairs, keys, "product_id", "left", spread=["user_id"])
+
+
+def feature_matrix(
+    prior_orders: DataFrame, totals: DataFrame, by_product: DataFrame
+) -> DataFrame:
+    """Every past pair with its pair, user and product features.
+
+    ``totals`` (``pair_totals``) and ``by_product`` (``product_features_ext``) should be
+    staged tables.
+    """
+    users = _user_features_ext(prior_orders, totals)
+    pairs = _with_recency(totals.join(users, "user_id", "left"))
+    return _attach_products(pairs, by_product).select(
+        "user_id", "product_id", *PAIR_EXT, *USER_EXT, *PRODUCT_KEY
+    )
+
+
 def training_matrix(
     orders: DataFrame,
     totals: DataFrame,
@@ -309,10 +329,9 @@ def training_matrix(
 ) -> DataFrame:
     """Labelled matrix: candidates with pair, user and product features and the label.
 
-    ``totals`` (``pair_totals``) and ``by_product`` (``product_features_ext``) should be
-    staged tables. The user features and the train order travel in one user-keyed table,
-    so the pairs are shuffled once for users and once for labels; products are attached
-    last without moving the pairs.
+    Inputs as for ``feature_matrix``. The user features and the train order travel in one
+    user-keyed table, so the pairs are shuffled once for users and once for labels;
+    products are attached last without moving the pairs.
     """
     prior_orders = orders.filter(F.col("eval_set") == "prior")
     train_orders = orders.filter(F.col("eval_set") == "train")
@@ -325,8 +344,7 @@ def training_matrix(
         .join(labels, ["order_id", "product_id"], "left")
         .withColumn("reordered", F.coalesce("reordered", F.lit(0)).cast("int"))
     )
-    keys = by_product.select("product_id", *PRODUCT_KEY)
-    return attach(matrix, keys, "product_id", "left", spread=["user_id"]).select(
+    return _attach_products(matrix, by_product).select(
         "user_id",
         "product_id",
         "order_id",

@@ -23,8 +23,7 @@ MAX_TERMS = 1000
 def tokens(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Lower-case words of at least two characters, stop words removed, repeats kept."""
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in stop_words]) if stop_words else F.array().cast("array<string>")
-    return F.filter(words, lambda w: ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: ~w.isin(list(stop_words))) if stop_words else words
 
 
 @dataclass(frozen=True)
@@ -41,12 +40,16 @@ def term_counts(texts: DataFrame, words: str = "words") -> DataFrame:
     Sorting each text's words marks the first of equal ones, so one exploded pass gives
     both counts, combined in the map tasks.
     """
-    each = texts.select(F.array_sort(words).alias("w")).select(
-        "w", F.posexplode("w").alias("pos", "term")
+    ordered = texts.select(F.sort_array(words).alias("w"))
+    marked = F.transform(
+        "w",
+        lambda term, i: F.struct(
+            term.alias("term"),
+            F.coalesce(F.get("w", i - 1) != term, F.lit(True)).cast("long").alias("first"),
+        ),
     )
-    is_first = (F.col("pos") == 0) | (F.get("w", F.col("pos") - 1) != F.col("term"))
     return (
-        each.select("term", is_first.cast("long").alias("first"))
+        ordered.select(F.inline(marked))
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("n_total"), F.sum("first").alias("n_texts"))
     )
@@ -138,7 +141,7 @@ def text_features(
     entries = _entries("tfidf")
 
     def component(c: int) -> Column:
-        weights = F.array(*[F.lit(float(x)) for x in basis[:, c]])
+        weights = F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in basis[:, c]) + ")")
         return F.aggregate(
             entries,
             F.lit(0.0),

@@ -12,18 +12,35 @@ REQUEST_ID = "request_id"
 
 
 def read_requests(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Text files, one JSON request per line; the id is the hash of file and text.
-
-    Two equal lines of one file would be one request, so producers put distinct
-    requests on distinct lines or in distinct files.
-    """
+    """Text files, one JSON request per line, with the file each came from."""
     return (
         spark.readStream.option("maxFilesPerTrigger", files_per_trigger)
         .text(folder)
-        .select(
-            F.sha2(F.concat_ws("|", F.col("_metadata.file_path"), "value"), 256).alias(REQUEST_ID),
-            F.col("value").alias("raw"),
-        )
+        .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"))
+    )
+
+
+def score_lines(
+    lines: DataFrame,
+    ranked: DataFrame,
+    by_product: DataFrame,
+    products: DataFrame | None,
+) -> DataFrame:
+    """One response per request line (columns file, raw).
+
+    Equal lines of a file are scored once and answered as often as they occur, so a
+    request sent over and over does not pile up on its user's join key.
+    """
+    asked = (
+        lines.groupBy("file", "raw")
+        .agg(F.count(F.lit(1)).cast("int").alias("copies"))
+        .withColumn(REQUEST_ID, F.sha2(F.concat_ws("|", "file", "raw"), 256))
+    )
+    responses = score_requests(
+        asked.select(REQUEST_ID, "raw"), ranked, by_product, products, "raw", REQUEST_ID
+    )
+    return asked.join(responses, REQUEST_ID).select(
+        "file", "raw", F.explode(F.array_repeat("response", F.col("copies"))).alias("response")
     )
 
 
@@ -43,11 +60,15 @@ def score_stream(
     """
 
     def answer(batch: DataFrame, batch_id: int) -> None:
-        (
-            score_requests(batch, ranked, by_product, products, "raw", REQUEST_ID)
-            .write.mode("overwrite")
-            .parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
-        )
+        batch = batch.persist()
+        try:
+            (
+                score_lines(batch, ranked, by_product, products)
+                .write.mode("overwrite")
+                .parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
+            )
+        finally:
+            batch.unpersist()
 
     return (
         requests.writeStream.foreachBatch(answer)
