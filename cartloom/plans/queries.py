@@ -42,6 +42,14 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in names})
 
 
+def _asked(d: Data) -> DataFrame:
+    """All customers, each third one asking under an id without history."""
+    key = F.col("c_custkey")
+    return d.raw("customer").select(
+        F.when(key % 3 == 0, key + 1_000_000_000).otherwise(key).alias("user_id")
+    )
+
+
 # --- scans, sinks, filters -------------------------------------------------------
 
 
@@ -115,8 +123,7 @@ def candidates(d: Data) -> DataFrame:
 
 @query
 def cold_users_anti(d: Data) -> DataFrame:
-    asked = d.raw("customer").select(F.col("c_custkey").alias("user_id"))
-    return J.users_without_history(asked, d.orders, d.train)
+    return J.users_without_history(_asked(d), d.orders, d.prior)
 
 
 # --- profiling -------------------------------------------------------------------
@@ -421,14 +428,9 @@ def recommend_cold(d: Data) -> DataFrame:
 
 
 def _routed(d: Data, k: int, threshold: float) -> DataFrame:
-    """All customers, each third one asking under an id without history."""
-    key = F.col("c_custkey")
-    asked = d.raw("customer").select(
-        F.when(key % 3 == 0, key + 1_000_000_000).otherwise(key).alias("user_id")
-    )
     known = R.users_with_history(d.orders, d.prior)
     return R.recommend_routed(
-        asked, known, d.scored, d.product_features, d.products, k, threshold
+        _asked(d), known, d.scored, d.product_features, d.products, k, threshold
     )
 
 
