@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,11 @@ def _real(doc: Column, path: str) -> Column:
     )
 
 
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value`` with the value computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def parse_requests(requests: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds ``user_id``, ``top_k``, ``threshold`` and ``error`` to a table of requests.
 
@@ -52,43 +59,45 @@ def parse_requests(requests: DataFrame, raw: str = "raw") -> DataFrame:
     record counts. Missing top_k and threshold take defaults; a field that is present but
     is not a number (null included), a missing user_id or broken text is an error.
     """
-    d = F.col("_doc")
-    records = _kind(d, "$.dataframe_records")
-    wrapped = records.isNotNull()
-    no_record = wrapped & (
-        ~records.startswith("ARRAY") | F.try_variant_get(d, "$.dataframe_records[0]", "variant").isNull()
-    )
-    doc = F.when(wrapped, F.try_variant_get(d, "$.dataframe_records[0]", "variant")).otherwise(d)
-    r = F.col("_request")
-    parsed = (
-        requests.withColumn("_doc", F.try_parse_json(raw))
-        .withColumns({"_request": doc, "_no_record": no_record})
-        .withColumns(
-            {
-                "_user": _integer(r, "$.user_id"),
-                "_k": F.when(_kind(r, "$.top_k").isNull(), F.lit(DEFAULT_TOP_K).cast("long")).otherwise(
-                    _integer(r, "$.top_k")
-                ),
-                "_t": F.when(_kind(r, "$.threshold").isNull(), F.lit(DEFAULT_THRESHOLD)).otherwise(
-                    _real(r, "$.threshold")
-                ),
-            }
+
+    def opened(d: Column) -> Column:
+        records = _kind(d, "$.dataframe_records")
+        first = F.try_variant_get(d, "$.dataframe_records[0]", "variant")
+        none = records.isNotNull() & (~records.startswith("ARRAY") | first.isNull())
+        return F.struct(
+            d.isNotNull().alias("ok"),
+            F.coalesce(none, F.lit(False)).alias("no_record"),
+            F.when(records.isNotNull(), first).otherwise(d).alias("request"),
         )
-    )
-    error = (
-        F.when(F.col("_doc").isNull(), "Invalid input format: not JSON")
-        .when(F.col("_no_record"), EMPTY_RECORDS)
-        .when(F.col("_user").isNull(), "Invalid input format: user_id")
-        .when(F.col("_k").isNull() | (F.col("_k") < 0), "Invalid input format: top_k")
-        .when(F.col("_t").isNull(), "Invalid input format: threshold")
-    )
-    good = F.col("error").isNull()
-    return parsed.withColumn("error", error).select(
-        *requests.columns,
-        F.when(good, F.col("_user")).alias("user_id"),
-        F.when(good, F.col("_k")).alias("top_k"),
-        F.when(good, F.col("_t")).alias("threshold"),
-        "error",
+
+    def fields(o: Column) -> Column:
+        r = o["request"]
+        k, t = _kind(r, "$.top_k"), _kind(r, "$.threshold")
+        return F.struct(
+            o["ok"].alias("ok"),
+            o["no_record"].alias("no_record"),
+            _integer(r, "$.user_id").alias("user_id"),
+            F.when(k.isNull(), DEFAULT_TOP_K).otherwise(_integer(r, "$.top_k")).alias("top_k"),
+            F.when(t.isNull(), DEFAULT_THRESHOLD).otherwise(_real(r, "$.threshold")).alias("threshold"),
+        )
+
+    def judged(f: Column) -> Column:
+        error = (
+            F.when(~f["ok"], "Invalid input format: not JSON")
+            .when(f["no_record"], EMPTY_RECORDS)
+            .when(f["user_id"].isNull(), "Invalid input format: user_id")
+            .when(f["top_k"].isNull() | (f["top_k"] < 0), "Invalid input format: top_k")
+            .when(f["threshold"].isNull(), "Invalid input format: threshold")
+        )
+        good = error.isNull()
+        return F.struct(
+            *[F.when(good, f[c]).alias(c) for c in ("user_id", "top_k", "threshold")],
+            error.alias("error"),
+        )
+
+    answer = _bind(_bind(_bind(F.try_parse_json(raw), opened), fields), judged)
+    return requests.select(*requests.columns, answer.alias("_parsed")).select(
+        *requests.columns, "_parsed.*"
     )
 
 

@@ -7,6 +7,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartloom.functions.requests import parse_requests
 from cartloom.operators import features as X
 from cartloom.operators.models import labelled_serving_matrix
 from cartloom.operators.recommend import ranked_pairs
@@ -92,6 +93,10 @@ class Data:
     def ranked(self) -> DataFrame:
         return self._staged("ranked", lambda: ranked_pairs(self.scored, self.products))
 
+    @cached_property
+    def parsed_requests(self) -> DataFrame:
+        return self._staged("parsed_requests", lambda: parse_requests(self.requests))
+
     @cached_property
     def labelled_scores(self) -> DataFrame:
         """Labelled candidates with the deterministic probability."""

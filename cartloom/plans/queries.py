@@ -464,7 +464,7 @@ QUERIES["parse_requests"] = QUERIES.pop("parse_requests_json")
 
 @query
 def score_requests(d: Data) -> DataFrame:
-    return R.answer_rows(parse_requests(d.requests), d.ranked, d.product_features, d.products)
+    return R.answer_rows(d.parsed_requests, d.ranked, d.product_features, d.products)
 
 
 RESPONSE = (
