@@ -65,9 +65,7 @@ def lines_with_department(
     lines: DataFrame, products: DataFrame, departments: DataFrame
 ) -> DataFrame:
     """Order lines with the department of their product."""
-    names = products.select("product_id", "department_id").join(
-        F.broadcast(departments), "department_id"
-    )
+    names = products.select("product_id", "department_id").join(departments, "department_id")
     return attach(
         lines, names.select("product_id", "department"), "product_id", spread=["order_id"]
     )
@@ -93,10 +91,13 @@ def history_of(
 
 
 def users_with_lines(orders: DataFrame, lines: DataFrame) -> DataFrame:
-    """Distinct users having at least one order line."""
+    """Distinct users having at least one order line.
+
+    The lines' order ids are made distinct in the map tasks before they move.
+    """
     return (
         orders.select("order_id", "user_id")
-        .join(lines.select("order_id"), "order_id", "left_semi")
+        .join(lines.select("order_id").distinct(), "order_id", "left_semi")
         .select("user_id")
         .distinct()
     )

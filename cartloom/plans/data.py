@@ -13,6 +13,7 @@ from cartloom.operators.models import labelled_serving_matrix
 from cartloom.operators.recommend import ranked_pairs
 from cartloom.sources import star
 from cartloom.sources.stage import staged
+from cartloom.sources.tables import Tables
 
 
 class Data:
@@ -28,7 +29,7 @@ class Data:
         return star.raw(self.spark, self.sf_dir, name)
 
     @cached_property
-    def tables(self) -> star.Tables:
+    def tables(self) -> Tables:
         return star.tables(self.spark, self.sf_dir)
 
     @property

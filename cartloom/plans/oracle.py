@@ -343,7 +343,7 @@ def _correlations() -> str:
         if len(cols) < 2:
             continue
         entries = ", ".join(
-            f"{{'x': '{a}', 'y': '{b}', 'r': round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6), "
+            f"{{'x': '{a}', 'y': '{b}', 'r': round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) + 0.0::DOUBLE, "
             f"'ok': min({a}) < max({a}) AND min({b}) < max({b})}}"
             for a in cols
             for b in cols

@@ -2,34 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartloom.functions.ranking import GROUP_ROWS, number_sequence
 from cartloom.schemas import ORDER_PRODUCTS, ORDERS
 from cartloom.sources.stage import staged
-
-
-@dataclass(frozen=True)
-class Tables:
-    orders: DataFrame
-    prior: DataFrame
-    train: DataFrame
-    products: DataFrame
-    aisles: DataFrame
-    departments: DataFrame
-
-    def named(self) -> dict[str, DataFrame]:
-        return {
-            "orders": self.orders,
-            "order_products__prior": self.prior,
-            "order_products__train": self.train,
-            "products": self.products,
-            "aisles": self.aisles,
-            "departments": self.departments,
-        }
+from cartloom.sources.tables import Tables
 
 
 def product_of(part_key: Column) -> Column:
@@ -122,8 +101,8 @@ def map_products(part: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
             F.col("m.p_brand").alias("aisle"),
             F.col("m.p_type").alias("department"),
         )
-        .join(F.broadcast(aisles), "aisle")
-        .join(F.broadcast(departments), "department")
+        .join(aisles, "aisle")
+        .join(departments, "department")
         .select("product_id", "product_name", "aisle_id", "department_id")
     )
     return products, aisles, departments

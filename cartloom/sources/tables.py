@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,28 @@ from cartloom.schemas import ROW_ORDER, TABLES
 log = logging.getLogger(__name__)
 
 
+@dataclass(frozen=True)
+class Tables:
+    """The six input tables, in the order of ``schemas.TABLES``."""
+
+    orders: DataFrame
+    prior: DataFrame
+    train: DataFrame
+    products: DataFrame
+    aisles: DataFrame
+    departments: DataFrame
+
+    def named(self) -> dict[str, DataFrame]:
+        return {
+            "orders": self.orders,
+            "order_products__prior": self.prior,
+            "order_products__train": self.train,
+            "products": self.products,
+            "aisles": self.aisles,
+            "departments": self.departments,
+        }
+
+
 def pick(
     df: DataFrame,
     usecols: Sequence[str] | None = None,
@@ -63,9 +86,10 @@ def load_table(
 
 def load_all(
     spark: SparkSession, root: str, fmt: str = "csv", permissive: bool = False
-) -> dict[str, DataFrame]:
-    """All six tables by name."""
-    return {n: load_table(spark, root, n, fmt=fmt, permissive=permissive) for n in TABLES}
+) -> Tables:
+    """All six tables."""
+    loaded = [load_table(spark, root, n, fmt=fmt, permissive=permissive) for n in TABLES]
+    return Tables(*loaded)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from cartloom.schemas import AISLES, DEPARTMENTS, ORDER_PRODUCTS, ORDERS, PRODUCTS
 from cartloom.session import session
+from cartloom.sources.tables import Tables
 
 
 @pytest.fixture(scope="session")
@@ -79,15 +80,14 @@ class Shop:
         self.aisles = spark.createDataFrame([(1, "fruit"), (2, "bakery")], AISLES)
         self.departments = spark.createDataFrame([(1, "fresh"), (2, "dry")], DEPARTMENTS)
 
+    @property
+    def tables(self):
+        return Tables(
+            self.orders, self.prior, self.train, self.products, self.aisles, self.departments
+        )
+
     def named(self):
-        return {
-            "orders": self.orders,
-            "order_products__prior": self.prior,
-            "order_products__train": self.train,
-            "products": self.products,
-            "aisles": self.aisles,
-            "departments": self.departments,
-        }
+        return self.tables.named()
 
     @property
     def prior_orders(self):

@@ -19,7 +19,7 @@ def csv_root(shop, tmp_path_factory):
 
 
 def test_load_all_equals_written(spark, shop, csv_root):
-    loaded = load_all(spark, csv_root)
+    loaded = load_all(spark, csv_root).named()
     assert set(loaded) == set(TABLES)
     for name, df in shop.named().items():
         assert loaded[name].schema == df.schema
