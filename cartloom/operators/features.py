@@ -241,11 +241,13 @@ def user_features_ext(prior_orders: DataFrame, totals: DataFrame) -> DataFrame:
     return _user_features_ext(prior_orders, totals).select("user_id", *USER_EXT)
 
 
-def product_features_ext(
-    totals: DataFrame, products: DataFrame, departments: DataFrame, aisles: DataFrame
-) -> DataFrame:
-    """Volume, reorder and cart behaviour per product with catalogue data and group rates."""
-    by_product = (
+def product_totals(totals: DataFrame) -> DataFrame:
+    """Volume, reorder and cart statistics per product, rolled up from the pairs.
+
+    One row per product: stage it before ``product_features_ext``, which reads it for
+    the products and again for both group rates.
+    """
+    return (
         totals.groupBy("product_id")
         .agg(
             F.sum("n").alias("product_total_orders"),
@@ -262,7 +264,15 @@ def product_features_ext(
             std_from_sums("product_total_orders", "s", "q").alias("product_std_cart_pos"),
             "product_unique_users",
         )
-        .join(catalogue(products, departments, aisles), "product_id", "left")
+    )
+
+
+def product_features_ext(
+    by_product: DataFrame, products: DataFrame, departments: DataFrame, aisles: DataFrame
+) -> DataFrame:
+    """``product_totals`` with catalogue data and department and aisle rates."""
+    by_product = by_product.join(
+        catalogue(products, departments, aisles), "product_id", "left"
     )
     rated = by_product
     for level, name in (("department", "dept_avg_reorder_rate"), ("aisle", "aisle_avg_reorder_rate")):

@@ -22,7 +22,9 @@ PREDICTION = ("product_id", "product_name", "reorder_probability")
 def with_names(items: DataFrame, products: DataFrame | None, spread: str) -> DataFrame:
     """Adds product_name; null for an unlisted product, a fixed text without a catalogue."""
     if products is None:
-        return items.withColumn("product_name", F.lit(UNKNOWN_PRODUCT))
+        return items.withColumn(
+            "product_name", F.when(F.col("product_id").isNotNull(), UNKNOWN_PRODUCT)
+        )
     names = products.select("product_id", "product_name")
     return attach(items, names, "product_id", "left", spread=[spread])
 
@@ -31,34 +33,44 @@ def _personal_order():
     return [F.desc("reorder_probability"), F.asc("product_id")]
 
 
-def recommend_personal(
-    scored: DataFrame, products: DataFrame | None, k: int = 10, threshold: float = 0.0
-) -> DataFrame:
-    """Each user's ``k`` most probable past products at or above ``threshold``."""
+def _personal(scored: DataFrame, k: int, threshold: float) -> DataFrame:
     kept = scored.select("user_id", "product_id", "reorder_probability").filter(
         F.col("reorder_probability") >= threshold
     )
-    best = top_k(kept, "user_id", _personal_order(), k)
-    return with_names(best, products, "user_id").select("user_id", "rank", *PREDICTION)
+    return top_k(kept, "user_id", _personal_order(), k)
 
 
-def recommend_cold(
-    by_product: DataFrame, products: DataFrame | None, k: int = 10, threshold: float = 0.0
-) -> DataFrame:
-    """The ``k`` products with the highest reorder share, popular ones first on ties."""
+def _popular(by_product: DataFrame, k: int, threshold: float = float("-inf")) -> DataFrame:
+    order = [F.desc("reorder_probability"), F.desc("p_total_purchases"), F.asc("product_id")]
     p = F.coalesce("p_reorder_prob", F.lit(0.0))
     best = (
         by_product.select("product_id", p.alias("reorder_probability"), "p_total_purchases")
         .filter(F.col("reorder_probability") >= threshold)
-        .orderBy(F.desc("reorder_probability"), F.desc("p_total_purchases"), "product_id")
+        .orderBy(*order)
         .limit(k)
     )
     # k rows: numbering them is a one-task job of that size
-    order = Window.orderBy(
-        F.desc("reorder_probability"), F.desc("p_total_purchases"), F.asc("product_id")
+    return best.select(
+        F.row_number().over(Window.orderBy(*order)).alias("rank"),
+        "product_id",
+        "reorder_probability",
     )
-    ranked = best.withColumn("rank", F.row_number().over(order))
-    return with_names(ranked, products, "rank").select("rank", *PREDICTION)
+
+
+def recommend_personal(
+    scored: DataFrame, products: DataFrame | None, k: int = 10, threshold: float = 0.0
+) -> DataFrame:
+    """Each user's ``k`` most probable past products at or above ``threshold``."""
+    best = _personal(scored, k, threshold)
+    return with_names(best, products, "user_id").select("user_id", "rank", *PREDICTION)
+
+
+def recommend_cold(
+    by_product: DataFrame, products: DataFrame | None, k: int = 10, threshold: float = 0.0
+) -> DataFrame:
+    """The ``k`` products with the highest reorder share, popular ones first on ties."""
+    best = _popular(by_product, k, threshold)
+    return with_names(best, products, "rank").select("rank", *PREDICTION)
 
 
 def users_with_history(orders: DataFrame, prior: DataFrame, min_orders: int = 1) -> DataFrame:
@@ -88,38 +100,35 @@ def recommend_routed(
     asked = requested.select("user_id").filter(F.col("user_id").isNotNull()).distinct()
     warm = asked.join(known, "user_id", "left_semi")
     cold = asked.join(known, "user_id", "left_anti")
-    personal = recommend_personal(
-        scored.join(warm, "user_id", "left_semi"), products, k, threshold
-    ).withColumn("mode", F.lit(PERSONAL_MODE))
-    popular = recommend_cold(by_product, products, k, threshold)
+    personal = _personal(scored.join(warm, "user_id", "left_semi"), k, threshold)
     slots = cold.select("user_id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
-    fallback = attach(slots, popular, "rank", spread=["user_id"]).withColumn(
-        "mode", F.lit(COLD_MODE)
+    fallback = attach(slots, _popular(by_product, k, threshold), "rank", spread=["user_id"])
+    both = personal.withColumn("mode", F.lit(PERSONAL_MODE)).unionByName(
+        fallback.withColumn("mode", F.lit(COLD_MODE))
     )
-    columns = ("user_id", "mode", "rank", *PREDICTION)
-    return personal.select(*columns).unionByName(fallback.select(*columns))
+    return with_names(both, products, "user_id").select("user_id", "mode", "rank", *PREDICTION)
 
 
 def summary(recommendations: DataFrame) -> DataFrame:
     """Suggested items, highest probability and mode per user."""
+    is_cold = F.max((F.col("mode") == COLD_MODE).cast("int")) == 1
     return recommendations.groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n_items"),
         F.max("reorder_probability").alias("highest_probability"),
-        F.first("mode").alias("mode"),
+        F.when(is_cold, COLD_MODE).otherwise(PERSONAL_MODE).alias("mode"),
     )
 
 
-def ranked_pairs(scored: DataFrame, products: DataFrame | None) -> DataFrame:
+def ranked_pairs(scored: DataFrame) -> DataFrame:
     """All scored pairs with their rank within the user.
 
     A user has at most one pair per catalogue product, and ``row_number`` streams over
     the sorted partition, so no list is ever held as one value.
     """
     order = Window.partitionBy("user_id").orderBy(*_personal_order())
-    ranked = scored.select("user_id", "product_id", "reorder_probability").withColumn(
-        "rank", F.row_number().over(order)
+    return scored.select(
+        "user_id", "product_id", "reorder_probability", F.row_number().over(order).alias("rank")
     )
-    return with_names(ranked, products, "user_id")
 
 
 def answer_rows(
@@ -138,20 +147,20 @@ def answer_rows(
     valid = requests.filter(F.col("error").isNull()).select(
         request_id, "user_id", "top_k", "threshold"
     )
-    r = ranked.select(F.col("user_id").alias("known_user"), "rank", *PREDICTION)
+    r = ranked.select(
+        F.col("user_id").alias("known_user"), "rank", "product_id", "reorder_probability"
+    )
     passes = (F.col("rank") <= F.col("top_k")) & (F.col("reorder_probability") >= F.col("threshold"))
     joined = valid.join(
         r,
         (F.col("user_id") == F.col("known_user")) & ((F.col("rank") == 1) | passes),
         "left",
     )
-    popular, depth = _popular_list(valid, by_product, products)
-    popular = popular.select(
-        F.col("rank").alias("slot"),
-        F.struct("rank", *PREDICTION).alias("popular"),
-    )
+    item = F.struct("rank", "product_id", "reorder_probability")
+    deepest = valid.agg(F.max("top_k")).first()[0] or 0
+    depth = max(min(deepest, by_product.count()), 1)
+    popular = _popular(by_product, depth).select(F.col("rank").alias("slot"), item.alias("popular"))
     is_known = F.col("known_user").isNotNull()
-    own = F.struct("rank", *PREDICTION)
     # a cold request takes one slot per wanted product, and slot 1 even if it wants none
     wanted = F.greatest(F.least(F.col("top_k"), F.lit(depth)), F.lit(1)).cast("int")
     slots = F.sequence(F.lit(1), F.when(is_known, 1).otherwise(wanted))
@@ -161,7 +170,7 @@ def answer_rows(
         "top_k",
         "threshold",
         is_known.alias("is_known"),
-        F.when(is_known & passes, own).alias("own"),
+        F.when(is_known & passes, item).alias("own"),
         F.explode(slots).alias("slot"),
     )
     fits = (F.col("popular.rank") <= F.col("top_k")) & (
@@ -184,26 +193,14 @@ def answer_rows(
         "error",
     )
     # without predictions only the first slot stays, as the sign of an empty answer
-    return (
+    flat = (
         answered.unionByName(failed)
         .filter(F.col("p").isNotNull() | (F.col("slot") == 1))
-        .select(
-            request_id,
-            "user_id",
-            "mode",
-            "p.rank",
-            *[f"p.{c}" for c in PREDICTION],
-            "error",
-        )
+        .select(request_id, "user_id", "mode", "p.*", "error")
+    )
+    return with_names(flat, products, request_id).select(
+        request_id, "user_id", "mode", "rank", *PREDICTION, "error"
     )
-
-
-def _popular_list(valid, by_product, products):
-    """The popular list as deep as the deepest request, and its length."""
-    depth = valid.agg(F.max("top_k")).first()[0] or 0
-    n_products = by_product.count()
-    depth = min(depth, n_products)
-    return recommend_cold(by_product, products, max(depth, 1), float("-inf")), depth
 
 
 def respond(answers: DataFrame, request_id: str = "request_id") -> DataFrame:

@@ -60,13 +60,17 @@ class Data:
     def pair_totals(self) -> DataFrame:
         return self._staged("pair_totals", lambda: X.pair_totals(self.prior_orders, self.prior))
 
+    @cached_property
+    def product_totals(self) -> DataFrame:
+        return self._staged("product_totals", lambda: X.product_totals(self.pair_totals))
+
     @cached_property
     def product_features_ext(self) -> DataFrame:
         t = self.tables
         return self._staged(
             "product_features_ext",
             lambda: X.product_features_ext(
-                self.pair_totals, t.products, t.departments, t.aisles
+                self.product_totals, t.products, t.departments, t.aisles
             ),
         )
 
@@ -92,7 +96,7 @@ class Data:
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return self._staged("ranked", lambda: ranked_pairs(self.scored, self.products))
+        return self._staged("ranked", lambda: ranked_pairs(self.scored))
 
     @cached_property
     def parsed_requests(self) -> DataFrame:

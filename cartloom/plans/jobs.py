@@ -38,13 +38,16 @@ def _write(df: DataFrame, path: str, fmt: str) -> None:
 def feature_batch(tables: Tables, out: str, work: str, fmt: str = "parquet") -> None:
     """Check the orders, then write the four feature tables under ``out``.
 
-    ``work`` is a folder for the two intermediate tables.
+    ``work`` is a folder for the intermediate tables.
     """
     require_first_order_quality(tables.orders)
     past = tables.orders.filter(F.col("eval_set") == "prior")
     totals = _written(X.pair_totals(past, tables.prior), f"{work}/pair_totals")
+    by_product = _written(X.product_totals(totals), f"{work}/product_totals")
     by_product = _written(
-        X.product_features_ext(totals, tables.products, tables.departments, tables.aisles),
+        X.product_features_ext(
+            by_product, tables.products, tables.departments, tables.aisles
+        ),
         f"{work}/product_features",
     )
     results = (
@@ -103,7 +106,7 @@ def score_pairs(package: Package) -> DataFrame:
 
 def write_ranked(package: Package, path: str) -> DataFrame:
     """All pairs ranked per user: the table that requests are answered from."""
-    return _written(R.ranked_pairs(score_pairs(package), package.products), path)
+    return _written(R.ranked_pairs(score_pairs(package)), path)
 
 
 def nightly(

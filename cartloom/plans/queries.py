@@ -280,7 +280,7 @@ _PRODUCT_DOUBLES = ("product_std_cart_pos", "dept_avg_reorder_rate", "aisle_avg_
 def product_features_ext(d: Data) -> DataFrame:
     t = d.tables
     return rounded(
-        X.product_features_ext(d.pair_totals, t.products, t.departments, t.aisles),
+        X.product_features_ext(d.product_totals, t.products, t.departments, t.aisles),
         *_PRODUCT_DOUBLES,
     )
 

@@ -61,16 +61,16 @@ def map_lines(raw: DataFrame, orders: DataFrame) -> DataFrame:
 def flag_reorders(lines: DataFrame) -> DataFrame:
     """``reordered`` = 0 on the first purchase of a pair, else 1.
 
-    The first purchase is found by a partial aggregate and joined back on its own
-    (order, product) key, which is unique on both sides: a user or a pair with a
-    great share of the lines puts no extra load on any task.
+    The first order number per pair is a partial aggregate, joined back on (user,
+    product, order number), which is unique on both sides: a user or a pair with a great
+    share of the lines puts no extra load on any task.
     """
     first = (
         lines.groupBy("user_id", "product_id")
-        .agg(F.min(F.struct("order_number", "order_id")).alias("first"))
-        .select(F.col("first.order_id").alias("order_id"), "product_id", F.lit(0).alias("is_new"))
+        .agg(F.min("order_number").alias("order_number"))
+        .withColumn("is_new", F.lit(0))
     )
-    return lines.join(first, ["order_id", "product_id"], "left").select(
+    return lines.join(first, ["user_id", "product_id", "order_number"], "left").select(
         "order_id",
         "product_id",
         "add_to_cart_order",

@@ -17,7 +17,7 @@ def totals(shop):
 
 @pytest.fixture(scope="module")
 def by_product(shop, totals):
-    return X.product_features_ext(totals, shop.products, shop.departments, shop.aisles).persist()
+    return X.product_features_ext(X.product_totals(totals), shop.products, shop.departments, shop.aisles).persist()
 
 
 def test_user_features(shop):

@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 def test_feature_batch_to_csv(spark, shop, tmp_path):
     jobs.feature_batch(shop.tables, f"{tmp_path}/out", f"{tmp_path}/work", "csv")
     totals = X.pair_totals(shop.prior_orders, shop.prior)
-    by_product = X.product_features_ext(totals, shop.products, shop.departments, shop.aisles)
+    by_product = X.product_features_ext(X.product_totals(totals), shop.products, shop.departments, shop.aisles)
     want = {
         "user_features": X.user_features_ext(shop.prior_orders, totals),
         "product_features": by_product,

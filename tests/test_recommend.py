@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cartloom.functions.requests import parse_requests
 from cartloom.operators import features as X
+from cartloom.operators import joins as J
 from cartloom.operators import recommend as R
 from cartloom.streaming.scoring import read_requests, score_lines, score_stream
 from tests.conftest import keyed, rows
@@ -25,8 +26,8 @@ def popular(shop):
 
 
 @pytest.fixture(scope="module")
-def ranked(scored, shop):
-    return R.ranked_pairs(scored, shop.products).persist()
+def ranked(scored):
+    return R.ranked_pairs(scored).persist()
 
 
 def test_personal(scored, shop):
@@ -142,6 +143,28 @@ def test_score_requests(spark, shop, ranked, popular):
     assert unnamed["product_name"] is None and "product_name" in unnamed
 
 
+def test_wide_catalogue_goes_without_broadcast(spark, shop, ranked, popular, scored, monkeypatch):
+    """The same answers when neither catalogue nor popular list may be broadcast."""
+    sent = spark.createDataFrame(
+        [(i, r[0]) for i, r in enumerate(REQUESTS)], "request_id int, raw string"
+    )
+    asked = spark.createDataFrame([(1,), (2,), (999,)], "user_id long")
+    known = R.users_with_history(shop.orders, shop.prior)
+
+    def results():
+        return (
+            rows(R.score_requests(sent, ranked, popular, shop.products)),
+            rows(R.recommend_routed(asked, known, scored, popular, shop.products, 4)),
+        )
+
+    want = results()
+    joined = J.attach
+    monkeypatch.setattr(
+        R, "attach", lambda *a, **kw: joined(*a, **{**kw, "max_rows": 0})
+    )
+    assert results() == want
+
+
 def test_stream_equals_batch(spark, shop, ranked, popular, tmp_path):
     sent = [r[0] for r in REQUESTS] + ["{bad", REQUESTS[0][0], REQUESTS[0][0]]
     lines = spark.createDataFrame([(s,) for s in sent], "raw string")
