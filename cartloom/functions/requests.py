@@ -25,14 +25,15 @@ def _text(doc: Column, path: str) -> Column:
 
 
 def _number(kind: Column) -> Column:
-    return kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
+    return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
 
 
 def _integer(doc: Column, path: str) -> Column:
     """Whole numbers, numbers cut towards 0, digit strings, booleans; else null."""
     kind, text = _kind(doc, path), F.trim(_text(doc, path))
     return (
-        F.when(_number(kind), F.try_variant_get(doc, path, "double").try_cast("long"))
+        F.when(kind == "BIGINT", F.try_variant_get(doc, path, "long"))
+        .when(_number(kind), F.try_variant_get(doc, path, "double").try_cast("long"))
         .when(kind == "BOOLEAN", F.try_variant_get(doc, path, "boolean").cast("long"))
         .when((kind == "STRING") & text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("long"))
     )

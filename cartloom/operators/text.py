@@ -20,10 +20,9 @@ TOKEN = r"[\p{L}\p{N}_]{2,}"
 MAX_TERMS = 1000
 
 
-def tokens(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
-    """Lower-case words of at least two characters, stop words removed, repeats kept."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    return F.filter(words, lambda w: ~w.isin(list(stop_words))) if stop_words else words
+def tokens(text: Column) -> Column:
+    """Lower-case words of at least two characters, repeats kept."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
 @dataclass(frozen=True)
@@ -37,34 +36,36 @@ class Vocabulary:
 def term_counts(texts: DataFrame, words: str = "words") -> DataFrame:
     """Occurrences and texts per term.
 
-    Sorting each text's words marks the first of equal ones, so one exploded pass gives
+    The words of a text are followed by its distinct words, so one exploded pass gives
     both counts, combined in the map tasks.
     """
-    ordered = texts.select(F.sort_array(words).alias("w"))
-    marked = F.transform(
-        "w",
-        lambda term, i: F.struct(
-            term.alias("term"),
-            F.coalesce(F.get("w", i - 1) != term, F.lit(True)).cast("long").alias("first"),
-        ),
+    each = texts.select(
+        F.size(words).alias("n"),
+        F.posexplode(F.concat(words, F.array_distinct(words))).alias("pos", "term"),
     )
-    return (
-        ordered.select(F.inline(marked))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("n_total"), F.sum("first").alias("n_texts"))
+    is_word = F.col("pos") < F.col("n")
+    return each.groupBy("term").agg(
+        F.count(F.when(is_word, 1)).alias("n_total"), F.count(F.when(~is_word, 1)).alias("n_texts")
     )
 
 
-def fit_vocabulary(texts: DataFrame, max_terms: int = MAX_TERMS, words: str = "words") -> Vocabulary:
+def fit_vocabulary(
+    texts: DataFrame,
+    max_terms: int = MAX_TERMS,
+    stop_words: Sequence[str] = STOP_WORDS,
+    words: str = "words",
+) -> Vocabulary:
     """The ``max_terms`` most frequent terms (ties by term) with smoothed idf.
 
-    idf = ln((1 + texts) / (1 + texts with the term)) + 1. At most ``max_terms`` rows
-    reach the driver.
+    idf = ln((1 + texts) / (1 + texts with the term)) + 1. Stop words are dropped from
+    the counted terms, not word by word from the texts: a word outside the vocabulary
+    does not enter a vector anyway. At most ``max_terms`` rows reach the driver.
     """
     n = texts.count()
-    top = (
-        term_counts(texts, words).orderBy(F.desc("n_total"), "term").limit(max_terms).collect()
-    )
+    counts = term_counts(texts, words)
+    if stop_words:
+        counts = counts.filter(~F.col("term").isin(list(stop_words)))
+    top = counts.orderBy(F.desc("n_total"), "term").limit(max_terms).collect()
     chosen = sorted((r["term"], r["n_texts"]) for r in top)
     return Vocabulary(
         terms=[t for t, _ in chosen],
@@ -95,8 +96,8 @@ def _entries(vector: str) -> Column:
     return F.arrays_zip(v["indices"].alias("i"), v["values"].alias("w"))
 
 
-def with_words(df: DataFrame, key: str, text: str, stop_words: Sequence[str] = STOP_WORDS) -> DataFrame:
-    return df.select(key, tokens(F.col(text), stop_words).alias("words"))
+def with_words(df: DataFrame, key: str, text: str) -> DataFrame:
+    return df.select(key, tokens(F.col(text)).alias("words"))
 
 
 def tfidf(
@@ -107,8 +108,8 @@ def tfidf(
     stop_words: Sequence[str] = STOP_WORDS,
 ) -> DataFrame:
     """TF-IDF weights in long form: key, term, weight."""
-    texts = with_words(df, key, text, stop_words)
-    vocabulary = fit_vocabulary(texts, max_terms)
+    texts = with_words(df, key, text)
+    vocabulary = fit_vocabulary(texts, max_terms, stop_words)
     terms = F.array(*[F.lit(t) for t in vocabulary.terms])
     return (
         tfidf_vectors(texts, vocabulary)
@@ -132,8 +133,8 @@ def text_features(
     rows in a tree; its eigenvectors give the projection, applied row by row in place.
     Each vector's largest component is made positive, since its sign is arbitrary.
     """
-    texts = with_words(df, key, text, stop_words)
-    vocabulary = fit_vocabulary(texts, max_terms)
+    texts = with_words(df, key, text)
+    vocabulary = fit_vocabulary(texts, max_terms, stop_words)
     if n_components > len(vocabulary.terms):
         raise ValueError(f"{n_components} components from {len(vocabulary.terms)} terms")
     vectors = tfidf_vectors(texts, vocabulary).select(key, "tfidf")

@@ -79,6 +79,8 @@ CASES = [
     ('{"user_id": "7", "top_k": "3", "threshold": " 0.25 "}', (7, 3, 0.25)),
     ('{"user_id": 7.9, "top_k": 2.0, "threshold": 1}', (7, 2, 1.0)),
     ('{"user_id": true}', (1, 10, 0.0)),
+    ('{"user_id": 9007199254740993}', (9007199254740993, 10, 0.0)),
+    ('{"user_id": 3, "threshold": 1.5e-1}', (3, 10, 0.15)),
     ('{"user_id": 5, "top_k": 0}', (5, 0, 0.0)),
     ('{"user_id": 5, "other": [1, {"a": 2}]}', (5, 10, 0.0)),
     ('{"user_id": "7.9"}', "user_id"),
