@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLICES = 1024
-FINE_PASSES = 40
+# Enough passes to narrow the whole range of doubles 1024-fold at a time.
+MAX_PASSES = 256
 
 
 def quantile_ranks(n: int, probs: Sequence[float]) -> list[tuple[int, int, float]]:
@@ -49,7 +50,7 @@ def exact_quantiles(
         else:
             open_[(column, low, high, 0)] = ranks
 
-    for _ in range(FINE_PASSES):
+    for _ in range(MAX_PASSES):
         if not open_:
             break
         open_ = _narrow(df, open_, wanted)

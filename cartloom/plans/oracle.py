@@ -167,6 +167,22 @@ f9 AS (
   SELECT user_id, product_id, {serving}
   FROM f5 LEFT JOIN f1 USING (user_id) LEFT JOIN f4 USING (product_id)
 ),
+past_f1 AS (
+  SELECT user_id, max(order_number) AS u_total_orders, avg(days_since_prior_order) AS u_avg_days_between_orders,
+         avg(basket) AS u_avg_basket_size, CAST(sum(r) AS DOUBLE) / sum(n) AS u_reorder_ratio
+  FROM prior_orders LEFT JOIN (
+    SELECT order_id, max(add_to_cart_order) AS basket, sum(reordered) AS r, count(*) AS n
+    FROM m_prior GROUP BY order_id) USING (order_id)
+  GROUP BY user_id
+),
+past_f9 AS (
+  SELECT user_id, product_id, up_times_ordered AS up_total_purchases,
+         up_first_order_number AS up_first_order_num, up_last_order_number AS up_last_order_num,
+         CAST(up_times_ordered AS DOUBLE) / (u_total_orders - up_first_order_number + 1) AS up_order_rate,
+         CAST(up_times_ordered AS DOUBLE) / u_total_orders AS up_order_rate_since_first_play,
+         past_f1.* EXCLUDE (user_id), f4.* EXCLUDE (product_id)
+  FROM pair_base JOIN past_f1 USING (user_id) LEFT JOIN f4 USING (product_id)
+),
 scored AS (SELECT user_id, product_id, up_order_rate AS reorder_probability FROM f5),
 ranked AS (
   SELECT s.*, CAST(row_number() OVER (PARTITION BY user_id ORDER BY reorder_probability DESC, product_id) AS INTEGER) AS rank,
@@ -448,6 +464,15 @@ def _matrix_columns(*keys: str) -> str:
     return ", ".join([*keys, *PAIR_EXT, *USER_EXT, *PRODUCT_KEY])
 
 
+def _past_features() -> str:
+    return ", ".join(
+        "0.0::DOUBLE AS p_avg_cart_position"
+        if c == "p_avg_cart_position"
+        else f"CAST(coalesce({c}, 0) AS DOUBLE) AS {c}"
+        for c in SERVING_FEATURES
+    )
+
+
 def _selects() -> dict[str, str]:
     flag = "hash_percent < 20"
     percent = "CAST(('0x' || substr(md5(user_id || '-' || product_id || '-42'), 1, 8))::BIGINT % 100 AS INTEGER)"
@@ -563,6 +588,19 @@ def _selects() -> dict[str, str]:
             SELECT count(*) AS n_rows, CAST(sum(reordered) AS BIGINT) AS n_positive,
                    count(*) FILTER (reordered = 0) AS n_negative, avg(reordered) AS positive_rate FROM matrix""",
         "serving_matrix": "SELECT * FROM f9",
+        "align_features": f"""
+            SELECT user_id, product_id, {_past_features()}
+            FROM past_f9 JOIN (SELECT user_id FROM train_orders) USING (user_id)""",
+        "package_roundtrip": " UNION ALL ".join(
+            f"SELECT '{part}' AS table_name, count(*) AS n_rows, {n} AS n_columns FROM {rel}"
+            for part, rel, n in (
+                ("user_features", "f1", 5),
+                ("product_features", "f4", 4),
+                ("orders", "m_orders", 7),
+                ("prior", "m_prior", 4),
+                ("products", "m_products", 4),
+            )
+        ),
         "text_tfidf": _tfidf(PARTS, "product_id"),
         "text_tfidf_documents": _tfidf(DOCS, "doc_id"),
         "top_k_per_user": "SELECT user_id, product_id, reorder_probability, rank FROM ranked WHERE rank <= 10",

@@ -19,6 +19,7 @@ from cartloom.operators import sampling as S
 from cartloom.operators import text as TX
 from cartloom.plans.data import Data
 from cartloom.schemas import ROW_ORDER
+from cartloom.sources.package import PARTS, Package, load_package, save_package
 from cartloom.sources.stage import scratch_path
 from cartloom.sources.tables import pick, read_csv, write_csv
 from cartloom.streaming.scoring import read_requests, score_stream
@@ -414,6 +415,32 @@ def model_comparison(d: Data) -> DataFrame:
     )
 
 
+@query
+def align_features(d: Data) -> DataFrame:
+    """Model input from rows in which one feature is absent: it counts as 0."""
+    found = d.model_matrix.drop("p_avg_cart_position").withColumnRenamed("reordered", "label")
+    return M.align(found, X.SERVING_FEATURES, ["user_id", "product_id"])
+
+
+@query
+def package_roundtrip(d: Data) -> DataFrame:
+    """Rows and columns of every table of a package after saving and loading it."""
+    path = scratch_path(d.spark, "package")
+    model = M.fit(M.logistic(X.SERVING_FEATURES, d.model_matrix.count(), 20), d.model_matrix)
+    saved = Package(
+        model=model,
+        features=M.model_features(model),
+        user_features=X.user_features(d.orders, d.prior),
+        product_features=d.product_features,
+        orders=d.orders,
+        prior=d.prior,
+        products=d.products,
+    )
+    save_package(saved, path)
+    loaded = load_package(d.spark, path)
+    return P.table_shapes({part: getattr(loaded, part) for part in PARTS})
+
+
 # --- recommendation --------------------------------------------------------------
 
 
