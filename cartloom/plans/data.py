@@ -12,7 +12,7 @@ from cartloom.operators import features as X
 from cartloom.operators.models import labelled_serving_matrix
 from cartloom.operators.recommend import ranked_pairs
 from cartloom.sources import star
-from cartloom.sources.stage import staged
+from cartloom.sources.stage import bucket_count, staged
 from cartloom.sources.tables import Tables
 
 
@@ -58,7 +58,15 @@ class Data:
 
     @cached_property
     def pair_totals(self) -> DataFrame:
-        return self._staged("pair_totals", lambda: X.pair_totals(self.prior_orders, self.prior))
+        """Bucketed by user, which has at most one row per catalogue product here."""
+        return staged(
+            self.spark,
+            "pair_totals",
+            self.sf_dir,
+            lambda: X.pair_totals(self.prior_orders, self.prior),
+            bucket_by="user_id",
+            buckets=bucket_count(self.raw("lineitem").count()),
+        )
 
     @cached_property
     def product_totals(self) -> DataFrame:

@@ -8,12 +8,17 @@ that outlive any executor and every reader gets column pruning and pushdown.
 from __future__ import annotations
 
 import hashlib
+import math
 import tempfile
 import threading
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+BUCKET_ROWS = 4_000_000
+MIN_BUCKETS = 8
+MAX_BUCKETS = 1 << 16
+
 _lock = threading.RLock()
 _written: dict[str, object] = {}
 
@@ -32,24 +37,46 @@ def shared_folder(spark: SparkSession) -> str:
         return str(_written[key])
 
 
+def bucket_count(rows: int) -> int:
+    """A power of two of buckets of about ``BUCKET_ROWS`` rows; 0 for a small table,
+    whose shuffles cost less than the extra files."""
+    if rows <= BUCKET_ROWS:
+        return 0
+    return min(max(1 << math.ceil(math.log2(rows / BUCKET_ROWS)), MIN_BUCKETS), MAX_BUCKETS)
+
+
 def staged(
     spark: SparkSession,
     name: str,
     origin: str,
     build: Callable[[], DataFrame],
     partition_by: Sequence[str] = (),
+    bucket_by: str = "",
+    buckets: int = 0,
 ) -> DataFrame:
-    """``build()`` written once per application and ``origin``, then read from parquet."""
+    """``build()`` written once per application and ``origin``, then read from parquet.
+
+    With ``buckets`` the rows are laid out in that many files per partition by the hash
+    of ``bucket_by``, so joins and group-bys on it need no shuffle of this table. Use it
+    for keys with few rows each (an order, a user's pairs).
+    """
     app = spark.sparkContext.applicationId
     tag = hashlib.md5(origin.encode()).hexdigest()[:12]
     path = f"{shared_folder(spark)}/cartloom/{app}/{tag}/{name}"
+    table = f"cartloom_{app}_{tag}_{name}".replace("-", "_")
     with _lock:
         if path not in _written:
             df = build()
-            df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-            _written[path] = df.schema
+            if buckets:
+                # the writer's bucket id is this partition id: one file per bucket
+                writer = df.repartition(buckets, bucket_by).write.mode("overwrite")
+                writer = writer.option("path", path).bucketBy(buckets, bucket_by)
+                writer.partitionBy(*partition_by).format("parquet").saveAsTable(table)
+            else:
+                df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+            _written[path] = None if buckets else df.schema
         schema = _written[path]
-    return spark.read.schema(schema).parquet(path)
+    return spark.table(table) if schema is None else spark.read.schema(schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

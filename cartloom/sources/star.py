@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cartloom.functions.ranking import GROUP_ROWS, number_sequence
 from cartloom.schemas import ORDER_PRODUCTS, ORDERS
-from cartloom.sources.stage import staged
+from cartloom.sources.stage import bucket_count, staged
 from cartloom.sources.tables import Tables
 
 
@@ -113,9 +113,20 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The six tables for one data folder, mapped and staged on first use."""
+    """The six tables for one data folder, mapped and staged on first use.
+
+    Orders and lines share their buckets by order, the key that every feature job joins
+    them on.
+    """
+    buckets = bucket_count(raw(spark, sf_dir, "lineitem").count())
     orders = staged(
-        spark, "orders", sf_dir, lambda: map_orders(raw(spark, sf_dir, "orders")), ["eval_set"]
+        spark,
+        "orders",
+        sf_dir,
+        lambda: map_orders(raw(spark, sf_dir, "orders")),
+        partition_by=["eval_set"],
+        bucket_by="order_id",
+        buckets=buckets,
     )
     lines = staged(
         spark,
@@ -124,7 +135,13 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
         lambda: map_lines(raw(spark, sf_dir, "lineitem"), orders),
     )
     order_products = staged(
-        spark, "order_products", sf_dir, lambda: flag_reorders(lines), ["eval_set"]
+        spark,
+        "order_products",
+        sf_dir,
+        lambda: flag_reorders(lines),
+        partition_by=["eval_set"],
+        bucket_by="order_id",
+        buckets=buckets,
     )
     products, aisles, departments = map_products(raw(spark, sf_dir, "part"))
 
