@@ -12,7 +12,7 @@ from cartloom.operators import features as X
 from cartloom.operators.models import labelled_serving_matrix
 from cartloom.operators.recommend import ranked_pairs
 from cartloom.sources import star
-from cartloom.sources.stage import bucket_count, staged
+from cartloom.sources.stage import staged
 from cartloom.sources.tables import Tables
 
 
@@ -65,7 +65,7 @@ class Data:
             self.sf_dir,
             lambda: X.pair_totals(self.prior_orders, self.prior),
             bucket_by="user_id",
-            buckets=bucket_count(self.raw("lineitem").count()),
+            size=lambda: self.raw("lineitem").count(),
         )
 
     @cached_property

@@ -52,21 +52,22 @@ def staged(
     build: Callable[[], DataFrame],
     partition_by: Sequence[str] = (),
     bucket_by: str = "",
-    buckets: int = 0,
+    size: Callable[[], int] | None = None,
 ) -> DataFrame:
     """``build()`` written once per application and ``origin``, then read from parquet.
 
-    With ``buckets`` the rows are laid out in that many files per partition by the hash
-    of ``bucket_by``, so joins and group-bys on it need no shuffle of this table. Use it
-    for keys with few rows each (an order, a user's pairs).
+    With ``bucket_by`` a large table, ``size()`` rows, is laid out in ``bucket_count`` files
+    per partition by the hash of that column, so joins and group-bys on it need no shuffle
+    of this table. Use it for keys with few rows each (an order, a user's pairs).
     """
     app = spark.sparkContext.applicationId
     tag = hashlib.md5(origin.encode()).hexdigest()[:12]
     path = f"{shared_folder(spark)}/cartloom/{app}/{tag}/{name}"
-    table = f"cartloom_{app}_{tag}_{name}".replace("-", "_")
+    table = _table_name(spark, path)
     with _lock:
         if path not in _written:
             df = build()
+            buckets = bucket_count(size()) if bucket_by else 0
             if buckets:
                 # the writer's bucket id is this partition id: one file per bucket
                 writer = df.repartition(buckets, bucket_by).write.mode("overwrite")
@@ -79,6 +80,23 @@ def staged(
     return spark.table(table) if schema is None else spark.read.schema(schema).parquet(path)
 
 
+def forget_staged(spark: SparkSession) -> None:
+    """Drop this application's bucketed tables from the catalog and forget what is staged.
+
+    Their files stay in the shared folder under the application id.
+    """
+    prefix = f"{shared_folder(spark)}/cartloom/{spark.sparkContext.applicationId}/"
+    with _lock:
+        for path in [p for p in _written if p.startswith(prefix)]:
+            if _written.pop(path) is None:
+                spark.sql(f"DROP TABLE IF EXISTS {_table_name(spark, path)}")
+
+
+def _table_name(spark: SparkSession, path: str) -> str:
+    app, tag, name = path.split("/")[-3:]
+    return f"cartloom_{app}_{tag}_{name}".replace("-", "_")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder for a sink that a job rewrites."""
     app = spark.sparkContext.applicationId

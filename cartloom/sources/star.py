@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cartloom.functions.ranking import GROUP_ROWS, number_sequence
 from cartloom.schemas import ORDER_PRODUCTS, ORDERS
-from cartloom.sources.stage import bucket_count, staged
+from cartloom.sources.stage import staged
 from cartloom.sources.tables import Tables
 
 
@@ -118,7 +118,9 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
     Orders and lines share their buckets by order, the key that every feature job joins
     them on.
     """
-    buckets = bucket_count(raw(spark, sf_dir, "lineitem").count())
+    def size() -> int:
+        return raw(spark, sf_dir, "lineitem").count()
+
     orders = staged(
         spark,
         "orders",
@@ -126,7 +128,7 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
         lambda: map_orders(raw(spark, sf_dir, "orders")),
         partition_by=["eval_set"],
         bucket_by="order_id",
-        buckets=buckets,
+        size=size,
     )
     lines = staged(
         spark,
@@ -141,9 +143,11 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
         lambda: flag_reorders(lines),
         partition_by=["eval_set"],
         bucket_by="order_id",
-        buckets=buckets,
+        size=size,
     )
-    products, aisles, departments = map_products(raw(spark, sf_dir, "part"))
+
+    def dimension(i: int) -> DataFrame:
+        return map_products(raw(spark, sf_dir, "part"))[i]
 
     def of(eval_set: str) -> DataFrame:
         return order_products.filter(F.col("eval_set") == eval_set).select(
@@ -154,7 +158,7 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
         orders=orders.select(*ORDERS.names),
         prior=of("prior"),
         train=of("train"),
-        products=staged(spark, "products", sf_dir, lambda: products),
-        aisles=staged(spark, "aisles", sf_dir, lambda: aisles),
-        departments=staged(spark, "departments", sf_dir, lambda: departments),
+        products=staged(spark, "products", sf_dir, lambda: dimension(0)),
+        aisles=staged(spark, "aisles", sf_dir, lambda: dimension(1)),
+        departments=staged(spark, "departments", sf_dir, lambda: dimension(2)),
     )

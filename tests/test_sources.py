@@ -5,7 +5,7 @@ from pyspark.errors import AnalysisException
 
 from cartloom.schemas import TABLES
 from cartloom.sources import star
-from cartloom.sources.stage import shared_folder, staged
+from cartloom.sources.stage import forget_staged, shared_folder, staged
 from cartloom.sources.tables import load_all, load_table, read_csv, write_csv
 from tests.conftest import rows
 
@@ -68,6 +68,17 @@ def test_staged_builds_once(spark):
     assert shared_folder(spark)
 
 
+def test_forget_staged(spark):
+    df = staged(spark, "short", "forget", lambda: spark.range(9), bucket_by="id", size=lambda: 5_000_000)
+    assert df.count() == 9
+    tables = {t.name for t in spark.catalog.listTables() if t.name.endswith("_short")}
+    assert len(tables) == 1
+    forget_staged(spark)
+    assert not {t.name for t in spark.catalog.listTables() if t.name.startswith("cartloom_")}
+    again = staged(spark, "short", "forget", lambda: spark.range(4), bucket_by="id", size=lambda: 5_000_000)
+    assert again.count() == 4
+
+
 def test_star_orders_split_hot_users(spark):
     """Numbering in slices gives what one window gives."""
     raw = star.raw(spark, "/root/testdata/sf0.001", "orders")
