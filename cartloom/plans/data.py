@@ -21,6 +21,7 @@ class Data:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        self.star = star.Star(spark, sf_dir)
 
     def _staged(self, name: str, build) -> DataFrame:
         return staged(self.spark, name, self.sf_dir, build)
@@ -28,25 +29,29 @@ class Data:
     def raw(self, name: str) -> DataFrame:
         return star.raw(self.spark, self.sf_dir, name)
 
-    @cached_property
+    @property
     def tables(self) -> Tables:
-        return star.tables(self.spark, self.sf_dir)
+        return self.star.tables()
 
     @property
     def orders(self) -> DataFrame:
-        return self.tables.orders
+        return self.star.orders
 
     @property
     def prior(self) -> DataFrame:
-        return self.tables.prior
+        return self.star.prior
 
     @property
     def train(self) -> DataFrame:
-        return self.tables.train
+        return self.star.train
 
     @property
     def products(self) -> DataFrame:
-        return self.tables.products
+        return self.star.products
+
+    @property
+    def departments(self) -> DataFrame:
+        return self.star.departments
 
     @property
     def prior_orders(self) -> DataFrame:
@@ -65,7 +70,7 @@ class Data:
             self.sf_dir,
             lambda: X.pair_totals(self.prior_orders, self.prior),
             bucket_by="user_id",
-            size=lambda: self.raw("lineitem").count(),
+            size=self.star.size,
         )
 
     @cached_property
@@ -74,11 +79,10 @@ class Data:
 
     @cached_property
     def product_features_ext(self) -> DataFrame:
-        t = self.tables
         return self._staged(
             "product_features_ext",
             lambda: X.product_features_ext(
-                self.product_totals, t.products, t.departments, t.aisles
+                self.product_totals, self.products, self.departments, self.star.aisles
             ),
         )
 

@@ -83,9 +83,8 @@ def split_eval_set(d: Data) -> DataFrame:
 
 @query
 def missing_report(d: Data) -> DataFrame:
-    t = d.tables
     return P.missing_report(
-        {"orders": t.orders, "order_products_train": t.train, "products": t.products}
+        {"orders": d.orders, "order_products_train": d.train, "products": d.products}
     )
 
 
@@ -109,7 +108,7 @@ def join_prior_orders(d: Data) -> DataFrame:
 
 @query
 def join_line_department(d: Data) -> DataFrame:
-    return J.lines_with_department(d.train, d.products, d.tables.departments)
+    return J.lines_with_department(d.train, d.products, d.departments)
 
 
 @query
@@ -186,7 +185,7 @@ def reorder_at_cart_pos(d: Data) -> DataFrame:
 
 
 def _departments(d: Data) -> DataFrame:
-    return P.department_totals(d.train, d.products, d.tables.departments)
+    return P.department_totals(d.train, d.products, d.departments)
 
 
 @query
@@ -279,9 +278,8 @@ _PRODUCT_DOUBLES = ("product_std_cart_pos", "dept_avg_reorder_rate", "aisle_avg_
 
 @query
 def product_features_ext(d: Data) -> DataFrame:
-    t = d.tables
     return rounded(
-        X.product_features_ext(d.product_totals, t.products, t.departments, t.aisles),
+        X.product_features_ext(d.product_totals, d.products, d.departments, d.star.aisles),
         *_PRODUCT_DOUBLES,
     )
 

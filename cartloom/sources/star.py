@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -112,53 +114,75 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """The six tables for one data folder, mapped and staged on first use.
+class Star:
+    """The six tables of one data folder, each mapped and staged when first asked for.
 
     Orders and lines share their buckets by order, the key that every feature job joins
     them on.
     """
-    def size() -> int:
-        return raw(spark, sf_dir, "lineitem").count()
-
-    orders = staged(
-        spark,
-        "orders",
-        sf_dir,
-        lambda: map_orders(raw(spark, sf_dir, "orders")),
-        partition_by=["eval_set"],
-        bucket_by="order_id",
-        size=size,
-    )
-    lines = staged(
-        spark,
-        "lines",
-        sf_dir,
-        lambda: map_lines(raw(spark, sf_dir, "lineitem"), orders),
-    )
-    order_products = staged(
-        spark,
-        "order_products",
-        sf_dir,
-        lambda: flag_reorders(lines),
-        partition_by=["eval_set"],
-        bucket_by="order_id",
-        size=size,
-    )
 
-    def dimension(i: int) -> DataFrame:
-        return map_products(raw(spark, sf_dir, "part"))[i]
-
-    def of(eval_set: str) -> DataFrame:
-        return order_products.filter(F.col("eval_set") == eval_set).select(
-            *ORDER_PRODUCTS.names
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def _raw(self, name: str) -> DataFrame:
+        return raw(self.spark, self.sf_dir, name)
+
+    def _staged(self, name: str, build, **layout) -> DataFrame:
+        return staged(self.spark, name, self.sf_dir, build, **layout)
+
+    def size(self) -> int:
+        """Rows of the largest table, from file footers."""
+        return self._raw("lineitem").count()
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return self._staged(
+            "orders",
+            lambda: map_orders(self._raw("orders")),
+            partition_by=["eval_set"],
+            bucket_by="order_id",
+            size=self.size,
+        ).select(*ORDERS.names)
+
+    @cached_property
+    def order_products(self) -> DataFrame:
+        def build() -> DataFrame:
+            lines = self._staged("lines", lambda: map_lines(self._raw("lineitem"), self.orders))
+            return flag_reorders(lines)
+
+        return self._staged(
+            "order_products",
+            build,
+            partition_by=["eval_set"],
+            bucket_by="order_id",
+            size=self.size,
         )
 
-    return Tables(
-        orders=orders.select(*ORDERS.names),
-        prior=of("prior"),
-        train=of("train"),
-        products=staged(spark, "products", sf_dir, lambda: dimension(0)),
-        aisles=staged(spark, "aisles", sf_dir, lambda: dimension(1)),
-        departments=staged(spark, "departments", sf_dir, lambda: dimension(2)),
-    )
+    def _lines_of(self, eval_set: str) -> DataFrame:
+        chosen = self.order_products.filter(F.col("eval_set") == eval_set)
+        return chosen.select(*ORDER_PRODUCTS.names)
+
+    @property
+    def prior(self) -> DataFrame:
+        return self._lines_of("prior")
+
+    @property
+    def train(self) -> DataFrame:
+        return self._lines_of("train")
+
+    @cached_property
+    def products(self) -> DataFrame:
+        return self._staged("products", lambda: map_products(self._raw("part"))[0])
+
+    @cached_property
+    def aisles(self) -> DataFrame:
+        return self._staged("aisles", lambda: map_products(self._raw("part"))[1])
+
+    @cached_property
+    def departments(self) -> DataFrame:
+        return self._staged("departments", lambda: map_products(self._raw("part"))[2])
+
+    def tables(self) -> Tables:
+        return Tables(
+            self.orders, self.prior, self.train, self.products, self.aisles, self.departments
+        )

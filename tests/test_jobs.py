@@ -38,7 +38,7 @@ def test_feature_batch_stops_on_bad_orders(spark, shop, tmp_path):
 @pytest.fixture(scope="module")
 def package(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("package"))
-    return jobs.train_package(star.tables(spark, SF), path, n_users=80, rounds=3, depth=3)
+    return jobs.train_package(star.Star(spark, SF).tables(), path, n_users=80, rounds=3, depth=3)
 
 
 def test_nightly_lists(spark, package, tmp_path):
@@ -55,7 +55,7 @@ def test_nightly_lists(spark, package, tmp_path):
 
 
 def test_command_line(spark, tmp_path):
-    for name, df in star.tables(spark, SF).named().items():
+    for name, df in star.Star(spark, SF).tables().named().items():
         write_csv(df, f"{tmp_path}/csv/{name}.csv")
     t = str(tmp_path)
     main(["features", f"{t}/csv", f"{t}/features"])
