@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartloom.llm import packing, piecebpe
+from cartloom.llm import exactdedup, packing, piecebpe, simhash
 from cartloom.llm.common import documents, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,3 +34,27 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return piecebpe.digests(docs, tokenizer_file(PIECE_BPE))
+
+
+@query
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.duplicates(documents(spark, sf_dir))
+
+
+ORACLE_SQL["op6_exact_dedup"] = """
+WITH normal AS (
+    SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body
+    FROM documents
+)
+SELECT doc_id,
+       max(doc_id) OVER (PARTITION BY body) AS keep_id,
+       count(*) OVER (PARTITION BY body) AS group_size,
+       doc_id = max(doc_id) OVER (PARTITION BY body) AS kept,
+       sha256(body) AS text_sha256
+FROM normal
+"""
