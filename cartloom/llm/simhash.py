@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def links(fps: DataFrame, leaf: int = 4096) -> DataFrame:
     """``a``, ``b``: links whose components are those of all links between the distinct
     ``fp`` of ``fps`` at ``RADIUS`` or fewer differing bits."""
-    quarter = F.shiftrightunsigned("fp", 16 * F.col("tree")).bitwiseAND(0xFFFF)
+    quarter = F.expr("shiftrightunsigned(fp, 16 * tree) & 65535")
     trees = fps.select("fp", F.explode(F.array(*[F.lit(i) for i in range(4)])).alias("tree"))
     rows = trees.select("fp", (F.col("tree") * 65536 + quarter).alias("root"), F.lit(1).cast("long").alias("path"), F.lit(True).alias("home"))
     ready = None
