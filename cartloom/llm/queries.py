@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartloom.llm import exactdedup, packing, piecebpe, simhash
+from cartloom.llm import exactdedup, langid, packing, piecebpe, quality, secretscan, simhash
 from cartloom.llm.common import documents, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,3 +58,33 @@ SELECT doc_id,
        sha256(body) AS text_sha256
 FROM normal
 """
+
+
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir))
+
+
+@query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", langid.held_out())
+    model = langid.train(docs.filter("NOT held_out"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
+@query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = secretscan.scan(documents(spark, sf_dir)).select("doc_id", "spans")
+    base = F.filter("spans", lambda x: x["kind"] != "random")
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return scanned.select(
+        "doc_id",
+        count("assign"),
+        count("access"),
+        count("hex"),
+        F.sha2(secretscan.listed(base), 256).alias("base_sha256"),
+        secretscan.listed(F.col("spans")).alias("spans"),
+    )
