@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartloom.llm import exactdedup, langid, packing, piecebpe, quality, secretscan, simhash
+from cartloom.llm import exactdedup, langid, packing, piecebpe, quality, secretscan, simhash, substringdedup
 from cartloom.llm.common import documents, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,12 @@ FROM normal
 """
 
 
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substringdedup.remove(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir))
