@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartloom.llm import exactdedup, langid, packing, piecebpe, quality, secretscan, simhash, substringdedup
+from cartloom.llm import exactdedup, langid, licenses, packing, piecebpe, quality, secretscan, simhash, substringdedup, tokenfile
 from cartloom.llm.common import documents, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,20 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
+ORACLE_SQL["op2_license_scan"] = licenses.sql()
+
+
+@query
+def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = tokenfile.round_trip(documents(spark, sf_dir), tokenizer_file(BYTE_BPE), end_id=0)
+    return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
