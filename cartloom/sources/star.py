@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cartloom.functions.ranking import GROUP_ROWS, number_sequence
+from cartloom.functions.ranking import GROUP_ROWS, dense_numbers, number_sequence
 from cartloom.schemas import ORDER_PRODUCTS, ORDERS
 from cartloom.sources.stage import staged
 from cartloom.sources.tables import Tables
@@ -88,11 +88,7 @@ def map_products(part: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
 
     def dense_ids(column: str, id_name: str, name: str) -> DataFrame:
-        # brands and types are small closed lists, so one array holds them
-        names = part.agg(F.sort_array(F.collect_set(column)).alias("names"))
-        return names.select(F.posexplode("names").alias("pos", name)).select(
-            (F.col("pos") + 1).alias(id_name), name
-        )
+        return dense_numbers(part.select(F.col(column).alias(name)), name, id_name)
 
     aisles = dense_ids("p_brand", "aisle_id", "aisle")
     departments = dense_ids("p_type", "department_id", "department")

@@ -25,7 +25,7 @@ def test_feature_batch_to_csv(spark, shop, tmp_path):
         "final_features_train": X.training_matrix(shop.orders, totals, shop.train, by_product),
     }
     for name, df in want.items():
-        assert rows(read_csv(spark, f"{tmp_path}/out/{name}", df)) == rows(df), name
+        assert rows(read_csv(spark, f"{tmp_path}/out/{name}", df.schema)) == rows(df), name
 
 
 def test_feature_batch_stops_on_bad_orders(spark, shop, tmp_path):

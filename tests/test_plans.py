@@ -7,6 +7,7 @@ import re
 import pytest
 
 import __spark_entry__ as S
+from cartloom.operators import recommend as R
 from cartloom.plans.data import Data
 from cartloom.plans.queries import QUERIES
 from cartloom.sources import stage
@@ -33,7 +34,7 @@ def test_no_cross_join_or_python_udf(spark, no_auto_broadcast, name):
     text = plan(QUERIES[name](spark, SF))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "FlatMapGroupsInPandas"):
         assert bad not in text
-    assert ("MapInPandas" in text) == (name == "correlation_matrix")
+    assert "MapInPandas" not in text
 
 
 def test_scans_are_pruned(spark):
@@ -80,3 +81,19 @@ def test_bucketed_layout(spark, monkeypatch):
     assert (d.prior.count(), d.pair_totals.count()) == (n_prior, n_pairs)
     # a table already staged without buckets is read as it was written
     assert Data(spark, SF).prior.count() == n_prior
+
+
+def test_requests_read_the_head_of_the_ranked_table(spark):
+    d = Data(spark, SF)
+    deepest = d.parsed_requests.agg({"top_k": "max"}).first()[0]
+    text = plan(R.answer_rows(d.parsed_requests, d.ranked, d.product_features, d.products))
+    assert f"LessThanOrEqual(rank,{deepest})" in text
+    assert re.search(r"BroadcastHashJoin \[known_user#\d+L\], \[known_user#\d+L\], LeftSemi", text)
+
+
+def test_nightly_lists_do_not_rank_again(spark):
+    d = Data(spark, SF)
+    known = d.ranked.filter("rank = 1").select("user_id")
+    users = d.orders.select("user_id").distinct()
+    text = plan(R.recommend_routed(users, known, d.ranked, d.product_features, d.products, 5))
+    assert "WindowGroupLimit" not in text and "LessThanOrEqual(rank,5)" in text

@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from cartloom.schemas import TABLES
 from cartloom.sources import star
 from cartloom.sources.stage import forget_staged, shared_folder, staged
-from cartloom.sources.tables import load_all, load_table, read_csv, write_csv
+from cartloom.sources.tables import MissingColumn, load_all, load_table, read_csv, write_csv
 from tests.conftest import rows
 
 
@@ -44,6 +44,64 @@ def test_missing_file(spark, tmp_path):
     assert empty.schema == TABLES["orders"] and empty.count() == 0
 
 
+def _csv(path, *lines):
+    path.mkdir()
+    (path / "part.csv").write_text("\n".join(lines) + "\n")
+
+
+HEADER = "user_id,order_id,extra,order_number,eval_set,order_dow,order_hour_of_day,days_since_prior_order"
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    _csv(tmp_path / "orders.csv", HEADER, "7,1,x,2,prior,3,4,5.5", "8,2,,1,train,0,0,")
+    df = load_table(spark, str(tmp_path), "orders")
+    assert df.columns == TABLES["orders"].names
+    assert rows(df) == [(1, 7, "prior", 2, 3, 4, 5.5), (2, 8, "train", 1, 0, 0, None)]
+
+
+def test_folders_with_other_column_orders(spark, tmp_path):
+    for i, lines in enumerate((("aisle_id,aisle", "1,a"), ("aisle,aisle_id", "b,2"))):
+        (tmp_path / str(i)).mkdir()
+        _csv(tmp_path / str(i) / "aisles.csv", *lines)
+    df = load_table(spark, [f"{tmp_path}/0", f"{tmp_path}/1"], "aisles")
+    assert rows(df) == [(1, "a"), (2, "b")]
+
+
+def test_missing_column(spark, tmp_path):
+    _csv(tmp_path / "aisles.csv", "aisle_id,name", "1,a")
+    with pytest.raises(MissingColumn, match="aisle"):
+        load_table(spark, str(tmp_path), "aisles")
+    assert load_table(spark, str(tmp_path), "aisles", permissive=True).count() == 0
+
+
+def test_bad_number(spark, tmp_path, caplog):
+    _csv(tmp_path / "orders.csv", HEADER, "7,1,x,2.0,prior,3,4,5.5", "8,2,x,1,prior,0,0,1")
+    with pytest.raises(Exception, match="FAILFAST|MALFORMED|Malformed"):
+        load_table(spark, str(tmp_path), "orders").collect()
+    df = load_table(spark, str(tmp_path), "orders", permissive=True)
+    assert "1 rows" in caplog.text
+    assert sorted(r.order_number or 0 for r in df.collect()) == [0, 1]
+
+
+def test_header_of_a_later_file_differs(spark, tmp_path):
+    _csv(tmp_path / "aisles.csv", "aisle_id,aisle", "1,a")
+    (tmp_path / "aisles.csv" / "zzz.csv").write_text("aisle,aisle_id\nb,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        load_table(spark, str(tmp_path), "aisles").collect()
+
+
+def test_no_folder_on_a_cluster(spark, monkeypatch):
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+
+    class Session:
+        conf, sparkContext = spark.conf, Context()
+
+    if spark.conf.get("spark.checkpoint.dir", None) is None:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(Session())
+
+
 def test_parquet_format(spark, shop, tmp_path):
     shop.orders.write.parquet(f"{tmp_path}/orders.parquet")
     assert rows(load_table(spark, str(tmp_path), "orders", fmt="parquet")) == rows(shop.orders)
@@ -52,7 +110,7 @@ def test_parquet_format(spark, shop, tmp_path):
 def test_csv_keeps_doubles_and_nulls(spark, tmp_path):
     df = spark.sql("select 1L as k, 1/3D as a, cast(null as string) as b union all select 2, 0.1D, 'x,\"y\"'")
     write_csv(df, f"{tmp_path}/t")
-    assert rows(read_csv(spark, f"{tmp_path}/t", df)) == rows(df)
+    assert rows(read_csv(spark, f"{tmp_path}/t", df.schema)) == rows(df)
 
 
 def test_staged_builds_once(spark):
