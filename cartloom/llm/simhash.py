@@ -82,9 +82,9 @@ def links(fps: DataFrame, leaf: int = 4096) -> DataFrame:
         if large.isEmpty():
             break
         split, rest = _split(staged(rows, "nodes"), large)
-        ready = rest if ready is None else ready.union(rest)
+        ready = rest if ready is None else ready.unionByName(rest)
         rows = staged(split, "nodes")
-    rows = rows if ready is None else ready.union(rows)
+    rows = rows if ready is None else ready.unionByName(rows)
     nodes = rows.groupBy("root", "path").agg(
         F.collect_list(F.when(F.col("home"), F.col("fp"))).alias("own"),
         F.collect_list(F.when(~F.col("home"), F.col("fp"))).alias("guests"),
