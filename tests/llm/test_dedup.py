@@ -83,7 +83,7 @@ def test_simhash(docs, texts, nothing):
 
 def clusters(seed: int, n: int) -> list[int]:
     r, out = random.Random(seed), set()
-    bases = [r.getrandbits(64) for _ in range(n // 8)]
+    bases = [r.getrandbits(64) for _ in range(n // 8 + 1)]
     while len(out) < n:
         x = r.choice(bases)
         for _ in range(r.randint(0, 5)):
