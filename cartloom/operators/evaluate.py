@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,13 +92,11 @@ def curve_points(scored: DataFrame, label: str, score: str, buckets: int = SCORE
         .agg(F.sum("one").alias("pos"), F.sum(1 - F.col("one")).alias("neg"))
     )
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = points.agg(F.percentile_approx("score", probs, 20 * buckets).alias("q")).first()["q"]
-    inner = sorted(set(cuts or []))
-    if len(inner) < 2:
-        cut = points.withColumn("bucket", F.lit(0.0))
-    else:
-        splits = [float("-inf"), *inner, float("inf")]
-        cut = Bucketizer(splits=splits, inputCol="score", outputCol="bucket").transform(points)
+    # one row of cuts, found when the plan runs
+    cuts = points.agg(F.percentile_approx("score", probs, 20 * buckets).alias("q")).scalar()
+    below = F.filter("cuts", lambda cut: cut <= F.col("score"))
+    cut = points.withColumn("cuts", F.coalesce(cuts, F.array().cast("array<double>")))
+    cut = cut.withColumn("bucket", F.size(below)).drop("cuts")
     higher = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     totals = (
         cut.groupBy("bucket")

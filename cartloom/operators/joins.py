@@ -6,9 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-# A dimension is broadcast only if counting shows at most this many rows.
+# A dimension is broadcast only if counting shows at most this many rows and, since texts
+# may be long, this many bytes.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 256 << 20
 SALTS = 32
 
 HISTORY_COLUMNS = (
@@ -31,18 +34,26 @@ def attach(
 ) -> DataFrame:
     """Join a dimension to a large table whose key may be very uneven.
 
-    The dimension is counted (up to ``max_rows``); if it fits it is broadcast and the
+    The dimension is measured (up to ``max_rows``); if it fits it is broadcast and the
     large table does not move. Otherwise both sides are shuffled with a salt taken
     from ``spread`` (columns that differ within a key), the dimension once per salt,
     so that rows of one popular key end up in many tasks. Give a dimension that is
     cheap to count: a source or staged table.
     """
     keys = [on] if isinstance(on, str) else list(on)
-    if dim.limit(max_rows + 1).count() <= max_rows:
+    if _fits(dim, max_rows):
         return big.join(F.broadcast(dim), keys, how)
     return salted_join(big, dim, keys, how, spread or [c for c in big.columns if c not in keys])
 
 
+def _fits(dim: DataFrame, max_rows: int) -> bool:
+    texts = [f.name for f in dim.schema if isinstance(f.dataType, StringType)]
+    length = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in texts), F.lit(8 * len(dim.columns)))
+    seen = dim.select(length.alias("size")).limit(max_rows + 1)
+    found = seen.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()
+    return found["n"] <= max_rows and found["size"] <= BROADCAST_BYTES
+
+
 def salted_join(
     big: DataFrame, dim: DataFrame, keys: Sequence[str], how: str, spread: Sequence[str]
 ) -> DataFrame:
@@ -62,13 +73,15 @@ def order_history(orders: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def lines_with_department(
-    lines: DataFrame, products: DataFrame, departments: DataFrame
+    lines: DataFrame,
+    products: DataFrame,
+    departments: DataFrame,
+    max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Order lines with the department of their product."""
     names = products.select("product_id", "department_id").join(departments, "department_id")
-    return attach(
-        lines, names.select("product_id", "department"), "product_id", spread=["order_id"]
-    )
+    dim = names.select("product_id", "department")
+    return attach(lines, dim, "product_id", spread=["order_id"], max_rows=max_rows)
 
 
 def catalogue(products: DataFrame, departments: DataFrame, aisles: DataFrame) -> DataFrame:

@@ -120,7 +120,14 @@ class Data:
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return self._staged("ranked", lambda: ranked_pairs(self.scored))
+        return staged(
+            self.spark,
+            "ranked",
+            self.sf_dir,
+            lambda: ranked_pairs(self.scored),
+            bucket_by="user_id",
+            size=self.star.size,
+        )
 
     @cached_property
     def parsed_requests(self) -> DataFrame:

@@ -536,6 +536,10 @@ def _selects() -> dict[str, str]:
         "join_line_department": """
             SELECT m_train.*, department FROM m_train JOIN m_products USING (product_id)
             JOIN m_departments USING (department_id)""",
+        "join_line_department_salted": """
+            SELECT m_train.*, department FROM m_train JOIN m_products USING (product_id)
+            JOIN m_departments USING (department_id)""",
+        "orders_in_slices": "SELECT * FROM m_orders",
         "semi_sampled_users": """
             SELECT user_id, count(*) AS n_orders, CAST(sum(order_number) AS BIGINT) AS sum_order_number,
                    CAST(coalesce(sum(n), 0) AS BIGINT) AS n_lines

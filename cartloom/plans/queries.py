@@ -22,6 +22,7 @@ from cartloom.plans.data import MODELS, Data
 from cartloom.schemas import ROW_ORDER
 from cartloom.sources.package import PARTS, Package, load_package, save_package
 from cartloom.sources.stage import scratch_path
+from cartloom.sources.star import map_orders
 from cartloom.sources.tables import load_all, pick, read_csv, write_csv
 from cartloom.streaming.scoring import read_requests, score_stream
 
@@ -160,6 +161,18 @@ def semi_sampled_users(d: Data) -> DataFrame:
     )
 
 
+@query
+def join_line_department_salted(d: Data) -> DataFrame:
+    """The same join by the way of a dimension that is too large to broadcast."""
+    return J.lines_with_department(d.train, d.products, d.departments, max_rows=0)
+
+
+@query
+def orders_in_slices(d: Data) -> DataFrame:
+    """Orders numbered by the way of users with very many of them."""
+    return map_orders(d.raw("orders"), group_rows=3)
+
+
 @query
 def candidates(d: Data) -> DataFrame:
     return X.candidates(d.pair_totals, d.train_orders)

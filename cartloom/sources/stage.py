@@ -15,10 +15,10 @@ from collections.abc import Callable, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-BUCKET_ROWS = 4_000_000
-MIN_BUCKETS = 8
-MAX_BUCKETS = 1 << 16
+BUCKET_BYTES = 128 << 20
+LEAST_BUCKETS = 8
 
 _lock = threading.RLock()
 _written: dict[str, object] = {}
@@ -45,12 +45,15 @@ def shared_folder(spark: SparkSession) -> str:
         return str(_written[key])
 
 
-def bucket_count(rows: int) -> int:
-    """A power of two of buckets of about ``BUCKET_ROWS`` rows; 0 for a small table,
-    whose shuffles cost less than the extra files."""
-    if rows <= BUCKET_ROWS:
-        return 0
-    return min(max(1 << math.ceil(math.log2(rows / BUCKET_ROWS)), MIN_BUCKETS), MAX_BUCKETS)
+def bucket_count(size: int) -> int:
+    """A power of two of buckets of about ``BUCKET_BYTES``, ``LEAST_BUCKETS`` at least."""
+    return 1 << max(math.ceil(math.log2(max(size, 1) / BUCKET_BYTES)), math.ceil(math.log2(LEAST_BUCKETS)))
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that a source table is read from."""
+    files = df.select("_metadata.file_path", "_metadata.file_size").distinct()
+    return files.agg(F.coalesce(F.sum("file_size"), F.lit(0))).first()[0]
 
 
 def staged(
@@ -64,7 +67,7 @@ def staged(
 ) -> DataFrame:
     """``build()`` written once per application and ``origin``, then read from parquet.
 
-    With ``bucket_by`` a large table, ``size()`` rows, is laid out in ``bucket_count`` files
+    With ``bucket_by`` the table, about ``size()`` bytes, is laid out in ``bucket_count`` files
     per partition by the hash of that column, so joins and group-bys on it need no shuffle
     of this table. Use it for keys with few rows each (an order, a user's pairs).
     """
@@ -75,7 +78,7 @@ def staged(
     with _lock:
         if path not in _written:
             df = build()
-            buckets = bucket_count(size()) if bucket_by else 0
+            buckets = bucket_count(size() if size else 0) if bucket_by else 0
             if buckets:
                 # the writer's bucket id is this partition id: one file per bucket
                 writer = df.repartition(buckets, bucket_by).write.mode("overwrite")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cartloom.functions.ranking import GROUP_ROWS, dense_numbers, number_sequence
 from cartloom.schemas import ORDER_PRODUCTS, ORDERS
-from cartloom.sources.stage import staged
+from cartloom.sources.stage import input_bytes, staged
 from cartloom.sources.tables import Tables
 
 
@@ -127,8 +127,8 @@ class Star:
         return staged(self.spark, name, self.sf_dir, build, **layout)
 
     def size(self) -> int:
-        """Rows of the largest table, from file footers."""
-        return self._raw("lineitem").count()
+        """Bytes of the largest table."""
+        return input_bytes(self._raw("lineitem"))
 
     @cached_property
     def orders(self) -> DataFrame:

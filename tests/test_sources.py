@@ -127,13 +127,13 @@ def test_staged_builds_once(spark):
 
 
 def test_forget_staged(spark):
-    df = staged(spark, "short", "forget", lambda: spark.range(9), bucket_by="id", size=lambda: 5_000_000)
+    df = staged(spark, "short", "forget", lambda: spark.range(9), bucket_by="id")
     assert df.count() == 9
     tables = {t.name for t in spark.catalog.listTables() if t.name.endswith("_short")}
     assert len(tables) == 1
     forget_staged(spark)
     assert not {t.name for t in spark.catalog.listTables() if t.name.startswith("cartloom_")}
-    again = staged(spark, "short", "forget", lambda: spark.range(4), bucket_by="id", size=lambda: 5_000_000)
+    again = staged(spark, "short", "forget", lambda: spark.range(4), bucket_by="id")
     assert again.count() == 4
 
 
