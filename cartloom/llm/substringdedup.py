@@ -39,6 +39,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _POSITION = np.uint64((1 << 24) - 1)
 #: Bytes that are hashed at a time; positions within fit into 24 bits.
 CHUNK = 1 << 18
+#: Hashes of texts whose broadcast is safe.
+BROADCAST_TEXTS = 1_000_000
 
 
 def _byte_table() -> np.ndarray:
@@ -215,10 +217,13 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
 
     # the texts of open contexts, each fetched from one copy
     wanted = unsettled.groupBy("txt").agg(F.collect_list(F.struct("anchor", "context", "n", "m", "at", "lo", "hi")).alias("open"))
+    # 16 bytes for each text that repeats: sent to all tasks if their number allows it
     repeated_texts = copies.select("txt")
+    repeated_texts = F.broadcast(repeated_texts) if copies.count() <= BROADCAST_TEXTS else repeated_texts
     single = source.join(repeated_texts, "txt", "left_anti").select("txt", "body")
-    chosen = source.join(repeated_texts, "txt", "left_semi").select("txt", "id").groupBy("txt").agg(F.min("id").alias("id"))
-    first = source.join(chosen, ["txt", "id"]).select("txt", "body")
+    several_rows = source.join(repeated_texts, "txt", "left_semi").withColumn("pick", F.xxhash64("id"))
+    chosen = several_rows.groupBy("txt").agg(F.min("pick").alias("pick"))
+    first = several_rows.join(chosen, ["txt", "pick"]).select("txt", "body")
     fetched = single.union(first).join(wanted, "txt")
 
     def cut_out(parts):

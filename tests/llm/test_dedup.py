@@ -155,6 +155,10 @@ def test_substrings(spark, nothing):
 
     check_removal(spark, rows_of_documents())
     assert substringdedup.remove(nothing).count() == 0
+    passage = prose(77, 100)
+    odd = [(None, passage, None, None, None)] * 2 + [(5, prose(78, 30) + passage + prose(79, 30), None, None, None)]
+    kept = {r.doc_id: r.n_removed for r in substringdedup.remove(spark.createDataFrame(odd, SCHEMA)).collect()}
+    assert kept[5] == len(passage) and kept[None] == len(passage)
 
 
 @pytest.mark.parametrize("most", [1, 8192])
