@@ -20,10 +20,11 @@ _ENDS_IN_SPACE = re.compile(f"[{OTHER_SPACE}]\\Z")
 class ByteBpe:
     """``ids(text)``: the ids as little-endian unsigned 32-bit bytes.
 
-    At most ``limit`` words are remembered; a full cache is emptied, which only costs time.
+    At most ``limit`` words and half as many tokens are remembered; a full cache is emptied,
+    which only costs time.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 250_000):
         single_thread()
         from tokenizers import Tokenizer
 
@@ -50,6 +51,7 @@ class ByteBpe:
             pass
         if len(known) > self.limit:
             known.clear()
+        if len(self.tokens) > self.limit // 2:
             self.tokens.clear()
         for p in parts:
             if p not in known:

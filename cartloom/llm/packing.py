@@ -74,6 +74,7 @@ def cut(docs: DataFrame, path: str, end_id: int, capacity: int, text: str = "tex
                     ],
                     names=[*kept, *new],
                 )
+        pa.default_memory_pool().release_unused()
 
     schema = docs.select(*kept, *[F.lit(None).cast(t).alias(c) for c, t in zip(new, ("int", "long", "long", "binary"))]).schema
     source = docs.select(*kept, F.col(text).alias("__text"))
