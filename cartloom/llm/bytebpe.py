@@ -20,11 +20,11 @@ _ENDS_IN_SPACE = re.compile(f"[{OTHER_SPACE}]\\Z")
 class ByteBpe:
     """``ids(text)``: the ids as little-endian unsigned 32-bit bytes.
 
-    At most ``limit`` words and half as many tokens are remembered; a full cache is emptied,
-    which only costs time.
+    At most ``limit`` words and a quarter as many tokens of words with marks are remembered; a
+    full cache is emptied, which only costs time.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 350_000):
         single_thread()
         from tokenizers import Tokenizer
 
@@ -51,7 +51,7 @@ class ByteBpe:
             pass
         if len(known) > self.limit:
             known.clear()
-        if len(self.tokens) > self.limit // 2:
+        if len(self.tokens) > self.limit // 4:
             self.tokens.clear()
         for p in parts:
             if p not in known:
@@ -67,7 +67,9 @@ class ByteBpe:
             return b""
         word = chunk[1:] if chunk[0] == " " else chunk
         if word.isalpha():
-            return self._token(chunk.encode().decode("latin-1").translate(self.table))
+            token = chunk.encode().decode("latin-1").translate(self.table)
+            known = self.tokens.get(token)  # a new one is remembered as a word already
+            return self._encoded(token) if known is None else known
         if len(word) > 1 and word[-1] in ".,!?;:|" and word[:-1].isalpha():
             head = chunk[:-1].encode().decode("latin-1").translate(self.table)
             return self._token(head) + self._token(chunk[-1])
@@ -83,11 +85,14 @@ class ByteBpe:
     def _token(self, token: str) -> bytes:
         ids = self.tokens.get(token)
         if ids is None:
-            ids = array("I", [t.id for t in self.model.tokenize(token)]).tobytes()
+            ids = self._encoded(token)
             if len(token) < 64:
                 self.tokens[token] = ids
         return ids
 
+    def _encoded(self, token: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(token)]).tobytes()
+
 
 _encoders: dict[str, ByteBpe] = {}
 
