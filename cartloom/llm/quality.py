@@ -3,8 +3,16 @@
 A document fails the base rules with fewer than 50 words or when over half of its words lie in
 3-word windows that the text repeats. The others are judged by a vector of transformed
 statistics. For each language and source the minimum-covariance-determinant estimate gives the
-center and shape of the closest three quarters of its vectors, and a document whose squared
-Mahalanobis distance exceeds ``CUTOFF`` is rejected.
+center and shape of the closest half of its vectors, reweighted with all rows within the
+``NEAR`` quantile; both shapes are scaled to what normal vectors would show. A document is
+rejected when its squared Mahalanobis distance exceeds ``CUTOFF``, the chi-squared quantile of
+``QUANTILE``.
+
+The statistics are square roots of shares and a logarithm of a mean, so a document of n units
+shows each with an error variance near 1 / 4n whatever the group is like. The mean of these
+errors over all rows is the least variance in the estimates, and at the end each document is
+held against the spread between documents plus its own error: long texts are judged more
+sharply than short ones. Repeats come by lines, so both of their statistics count lines.
 
 The estimate is found by concentration steps over all rows, as aggregates: distances under the
 current estimate, their quantile within the group, moments of the rows below it. Two starts are
@@ -14,26 +22,49 @@ only their moments are.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cartloom.llm.common import staged
 
 STATISTICS = ("s_length", "s_symbols", "s_marks", "s_upper", "s_lines", "s_repeat")
 P = len(STATISTICS)
-#: Spread below which a statistic's variation is not held against a document.
-FLOOR = (0.04, 0.06, 0.04, 0.06, 0.10, 0.10)
-SHARE = 0.75
+#: What each statistic counts.
+UNITS = ("n_words", "n_words", "n_words", "word_chars", "lines", "lines")
+SHARE = 0.5
+NEAR = 0.975
+QUANTILE = 0.999
 STEPS = 4
-#: Median of the chi-squared distribution with six degrees of freedom.
-CHI2_MEDIAN = 5.348
-#: Clean texts are to stay: far beyond the chi-squared quantile of one in a million (38.3).
-CUTOFF = 80.0
 #: Groups with fewer rows are judged by the estimate of their language, and languages with
 #: fewer by that of all rows.
 LEAST_ROWS = 60
 
+
+def chi2_share(x: float, freedom: int) -> float:
+    """Chi-squared distribution function for even degrees of freedom."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** j / math.factorial(j) for j in range(freedom // 2))
+
+
+def chi2_quantile(share: float, freedom: int = P) -> float:
+    low, high = 0.0, 200.0
+    for _ in range(80):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi2_share(middle, freedom) < share else (low, middle)
+    return low
+
+
+def consistency(share: float) -> float:
+    """Covariance of normal vectors over that of the closest ``share`` of them."""
+    return share / chi2_share(chi2_quantile(share), P + 2)
+
+
+CUTOFF = chi2_quantile(QUANTILE)
+
 _SPACES = " \t\n\r\x0b\x0c"
 _SYMBOLS = b"#*$%&|<>"
 _UPPER = bytes(range(65, 91))
@@ -70,8 +101,8 @@ def measure(text: str | None) -> tuple[int, ...]:
 
 
 def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """``key``, the columns ``by``, ``COUNTS`` and ``STATISTICS`` of every row; a null text
-    has no words."""
+    """``key``, the columns ``by``, ``COUNTS``, lines and ``STATISTICS`` of every row; a null
+    text has no words."""
     names = [*COUNTS, "lines", "upper", "marks", "bytes"]
 
     def run(parts):
@@ -90,6 +121,7 @@ def statistics(docs: DataFrame, key: str = "doc_id", text: str = "text", by: tup
     return counted.select(
         *kept,
         *COUNTS,
+        "lines",
         F.log((F.col("word_chars") + 1) / n).alias("s_length"),
         F.sqrt(F.col("n_symbols") / n).alias("s_symbols"),
         F.sqrt(F.greatest(F.col("marks") - F.col("n_symbols"), F.lit(0)) / n).alias("s_marks"),
@@ -109,25 +141,39 @@ def _squared_distance(center: str = "center", inverse: str = "inverse") -> Colum
     return F.expr(" + ".join(terms))
 
 
-def _estimates(moments: DataFrame) -> DataFrame:
-    """Center, inverse and log-determinant from the moments of each group and start."""
+def _errors() -> list[Column]:
+    return [0.25 / F.greatest(F.col(u), F.lit(1)) for u in UNITS]
 
-    def run(parts):
-        import pandas as pd
 
+def _estimates(moments: DataFrame, factor: float = 1.0, error: tuple[float, ...] = (0.0,) * P) -> DataFrame:
+    """Center, inverse and log-determinant from the moments of each group and start, and the
+    covariance without ``error``, the least variance of each statistic."""
+
+    def run(parts):
         for frame in parts:
             rows = []
             for g, start, n, sums, products in frame[["grp", "start", "n", "sums", "products"]].itertuples(index=False):
                 mean = np.array(sums, float) / n
                 cov = np.zeros((P, P))
                 cov[np.triu_indices(P)] = np.array(products, float) / n
-                cov = cov + np.triu(cov, 1).T - np.outer(mean, mean)
-                lack = np.maximum(np.array(FLOOR) ** 2 - np.diag(cov), 0)
-                cov = cov + np.diag(lack + 1e-9)
-                rows.append((g, start, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), float(np.linalg.slogdet(cov)[1])))
-            yield pd.DataFrame(rows, columns=["grp", "start", "center", "inverse", "logdet"])
+                cov = (cov + np.triu(cov, 1).T - np.outer(mean, mean)) * factor
+                cov = cov + np.diag(np.maximum(np.array(error) - np.diag(cov), 0) + 1e-9)
+                sizes, axes = np.linalg.eigh(cov - np.diag(error))
+                between = (axes * np.maximum(sizes, 0)) @ axes.T
+                logdet = float(np.linalg.slogdet(cov)[1])
+                rows.append((g, start, mean.tolist(), np.linalg.inv(cov).ravel().tolist(), logdet, between.ravel().tolist()))
+            yield pd.DataFrame(rows, columns=["grp", "start", "center", "inverse", "logdet", "between"])
+
+    schema = "grp string, start int, center array<double>, inverse array<double>, logdet double, between array<double>"
+    return moments.mapInPandas(run, schema)
+
 
-    return moments.mapInPandas(run, "grp string, start int, center array<double>, inverse array<double>, logdet double")
+@F.pandas_udf(T.DoubleType())
+def _own_distance(vector: pd.Series, error: pd.Series, center: pd.Series, between: pd.Series) -> pd.Series:
+    """Squared distance under the spread between documents and each row's own error."""
+    d = np.stack(vector) - np.stack(center)
+    cov = np.stack(between).reshape(-1, P, P) + np.stack(error)[:, :, None] * np.eye(P)
+    return pd.Series(np.einsum("ij,ij->i", d, np.linalg.solve(cov, d[..., None])[..., 0]))
 
 
 def _moments(rows: DataFrame) -> DataFrame:
@@ -167,32 +213,38 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", by: tuple[st
     rows = staged(_grouped(rows, by), "grouped")
     fit = rows.filter("NOT failed").select("grp", *STATISTICS)
     quartiles = fit.groupBy("grp").agg(*[F.percentile_approx(s, [0.25, 0.5, 0.75], 1000).alias(s) for s in STATISTICS])
-    spread = [f"greatest(pow(({s}[2] - {s}[0]) / 1.349, 2), {f * f})" for s, f in zip(STATISTICS, FLOOR)]
+    error = rows.filter("NOT failed").agg(*[F.coalesce(F.avg(e), F.lit(0.25)) for e in _errors()]).first()
+    error = tuple(error)  # one row
+    spread = [f"greatest(pow(({s}[2] - {s}[0]) / 1.349, 2), {e!r}D)" for s, e in zip(STATISTICS, error)]
     medians = quartiles.select(
         "grp",
         F.lit(0).alias("start"),
         F.array(*[F.col(s)[1] for s in STATISTICS]).alias("center"),
         F.array(*[F.expr(f"1 / {spread[i]}") if i == j else F.lit(0.0) for i in range(P) for j in range(P)]).alias("inverse"),
         F.lit(0.0).alias("logdet"),
+        F.array().cast("array<double>").alias("between"),
     )
-    means = _estimates(_moments(fit.withColumn("start", F.lit(1))))
+    means = _estimates(_moments(fit.withColumn("start", F.lit(1))), error=error)
     estimates = staged(medians.union(means), "estimates")
     for _ in range(STEPS):
         near = fit.join(estimates, "grp").withColumn("d", _squared_distance())
         bounds = near.groupBy("grp", "start").agg(F.percentile_approx("d", SHARE, 2000).alias("bound"))
         bounds = staged(estimates.join(bounds, ["grp", "start"]), "bounds")
         core = fit.join(bounds, "grp").filter(_squared_distance() <= F.col("bound"))
-        estimates = staged(_estimates(_moments(core)), "estimates")
+        estimates = staged(_estimates(_moments(core), consistency(SHARE), error), "estimates")
     best = estimates.groupBy("grp").agg(F.min_by(F.struct("center", "inverse"), F.struct("logdet", "start")).alias("best"))
-    best = staged(best.select("grp", "best.*"), "best")
-    scale = fit.join(best, "grp").groupBy("grp").agg(F.percentile_approx(_squared_distance(), 0.5, 1000).alias("middle"))
-    best = best.join(scale, "grp").withColumn("scale", F.greatest(F.col("middle") / CHI2_MEDIAN, F.lit(1.0)))
+    best = staged(best.select("grp", "best.*", F.lit(0).alias("start")), "best")
+    # never empty: over the closest half the mean of the distances is below P
+    near = fit.join(best, "grp").filter(_squared_distance() <= chi2_quantile(NEAR))
+    best = _estimates(_moments(near), consistency(NEAR), error).select("grp", "center", "between")
     judged = rows.join(staged(best, "judges"), "grp", "left")
-    distance = F.when(~F.col("failed"), _squared_distance() / F.col("scale"))
+    held = judged.withColumns({"vector": F.array(*STATISTICS), "error": F.array(*_errors())})
+    passed = held.filter("NOT failed").withColumn("distance", _own_distance("vector", "error", "center", "between"))
+    judged = passed.unionByName(held.filter("failed").withColumn("distance", F.lit(None).cast("double")))
     return judged.select(
         key,
         *COUNTS,
         F.col("failed").alias("base_failed"),
-        distance.alias("distance"),
-        (~F.col("failed") & F.coalesce(distance <= CUTOFF, F.lit(True))).alias("kept"),
+        "distance",
+        (~F.col("failed") & F.coalesce(F.col("distance") <= CUTOFF, F.lit(False))).alias("kept"),
     )

@@ -102,6 +102,19 @@ def test_outliers_go_and_clean_rows_stay(judged):
     assert not judged[3000].kept and judged[3000].distance is None
 
 
+def test_long_repetitive_rows_go_short_ones_and_a_third_of_junk_do_not_hide(spark):
+    assert abs(quality.CUTOFF - 22.458) < 1e-3
+    lines = ["\n".join(prose(10 * i + k, 12) for k in range(12)) for i in range(120)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(lines)]
+    rows += [(1000 + i, " ".join(w + "&" if k % 4 == 0 else w for k, w in enumerate(prose(i, 200).split())), "en", "s", 1) for i in range(60)]
+    long = [prose(7000 + k, 12) for k in range(200)]
+    rows += [(2000, "\n".join(long + long[:60]), "en", "s", 1), (2001, lines[3] + "\n" + lines[3].split("\n")[0], "en", "s", 1)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(got[i].kept for i in range(120)) >= 118
+    assert not any(got[i].kept for i in range(1000, 1060))
+    assert not got[2000].kept and not got[2000].base_failed and got[2001].kept
+
+
 def test_quality_edge_cases(docs, nothing):
     got = quality.judge(docs)
     assert got.count() == len(rows_of_documents())
