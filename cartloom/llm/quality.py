@@ -40,8 +40,8 @@ SHARE = 0.5
 NEAR = 0.975
 QUANTILE = 0.999
 STEPS = 4
-#: Groups with fewer rows are judged by the estimate of their language, and languages with
-#: fewer by that of all rows.
+#: Groups with fewer rows are judged by the estimate of all rows of their language, and those
+#: of languages with fewer by that of all rows.
 LEAST_ROWS = 60
 
 
@@ -186,32 +186,36 @@ def _moments(rows: DataFrame) -> DataFrame:
 
 
 def _grouped(rows: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """``rows`` with ``grp``: all of ``by``, or the first of them pooled over its small
-    groups, or everything small together."""
-    name = lambda *c: F.concat_ws("\x01", *[F.coalesce(F.col(x).cast("string"), F.lit("\x02")) for x in c])
-    rows = rows.withColumn("__full", name(*by)).withColumn("__first", name(by[0]))
-    sizes = rows.groupBy("__full", "__first").agg(F.sum((~F.col("failed")).cast("long")).alias("n"))
-    small = sizes.filter(F.col("n") < LEAST_ROWS).groupBy("__first").agg(F.sum("n").alias("pool"))
-    chosen = sizes.join(small, "__first", "left").select(
-        "__full",
-        F.when(F.col("n") >= LEAST_ROWS, F.col("__full"))
-        .when(F.col("pool") >= LEAST_ROWS, F.concat(F.lit("first\x01"), "__first"))
-        .otherwise(F.lit("all"))
-        .alias("grp"),
-    )
-    return rows.join(chosen, "__full").drop("__full", "__first")
+    """``rows`` with ``grp``, whose estimate judges a row: all of ``by``, else the first of
+    them, else all rows; and ``fits``, the groups whose estimates it enters. An estimate of a
+    language or of all is fitted, on all their rows, only when a small group needs it."""
+    name = lambda kind, *c: F.concat_ws("\x01", F.lit(kind), *[F.coalesce(F.col(x).cast("string"), F.lit("\x02")) for x in c])
+    rows = rows.withColumn("__full", name("full", *by))
+    sizes = rows.groupBy("__full", name("first", by[0]).alias("__first")).agg(F.sum((~F.col("failed")).cast("long")).alias("n"))
+    firsts = sizes.groupBy("__first").agg(F.sum("n").alias("pool"), F.min("n").alias("least"))
+    grp = F.when(F.col("n") >= LEAST_ROWS, F.col("__full")).when(F.col("pool") >= LEAST_ROWS, F.col("__first")).otherwise(F.lit("all"))
+    chosen = staged(sizes.join(firsts, "__first").withColumn("grp", grp), "groups")
+    fits = [
+        F.when(F.col("n") >= LEAST_ROWS, F.col("__full")),
+        F.when((F.col("least") < LEAST_ROWS) & (F.col("pool") >= LEAST_ROWS), F.col("__first")),
+    ]
+    if chosen.filter("grp = 'all'").head(1):
+        fits.append(F.lit("all"))
+    chosen = chosen.select("__full", "grp", F.array_compact(F.array(*fits)).alias("fits"))
+    return rows.join(chosen, "__full").drop("__full")
 
 
 def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """One row per row of ``docs``: ``key``, ``COUNTS``, base_failed, distance (squared,
     robust; null where the base rules failed), kept.
 
-    Null languages and sources are groups of their own, a null text fails the base rules,
+    Null languages and sources are groups of their own, a null text fails the base rules, a
+    table with fewer than ``LEAST_ROWS`` rows is judged by its own estimate,
     repeated rows count each time, an empty table gives an empty one.
     """
     rows = staged(statistics(docs, key, text, by).withColumn("failed", base_failed()), "statistics")
     rows = staged(_grouped(rows, by), "grouped")
-    fit = rows.filter("NOT failed").select("grp", *STATISTICS)
+    fit = rows.filter("NOT failed").select(F.explode("fits").alias("grp"), *STATISTICS)
     quartiles = fit.groupBy("grp").agg(*[F.percentile_approx(s, [0.25, 0.5, 0.75], 1000).alias(s) for s in STATISTICS])
     error = rows.filter("NOT failed").agg(*[F.coalesce(F.avg(e), F.lit(0.25)) for e in _errors()]).first()
     error = tuple(error)  # one row

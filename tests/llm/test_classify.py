@@ -115,6 +115,17 @@ def test_long_repetitive_rows_go_short_ones_and_a_third_of_junk_do_not_hide(spar
     assert not got[2000].kept and not got[2000].base_failed and got[2001].kept
 
 
+def test_junk_alone_in_its_group_is_judged_by_larger_groups(spark):
+    junk = [" ".join(w + "&&&" for w in prose(500 + i, 150).split()) for i in range(5)]
+    rows = [(i, prose(i, 120), "en", "s", 1) for i in range(100)]
+    rows += [(1000, junk[0], "xx", "s", 1), (1001, junk[1], None, None, 1), (1002, junk[2], "en", "rare", 1)]
+    rows += [(1003, junk[3], "yy", "s", 1), (1004, junk[4], "yy", "s", 1), (1005, prose(900, 120), "zz", None, 1)]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(got) == len(rows)
+    assert not any(got[i].kept or got[i].base_failed for i in range(1000, 1005))
+    assert got[1005].kept
+
+
 def test_quality_edge_cases(docs, nothing):
     got = quality.judge(docs)
     assert got.count() == len(rows_of_documents())
