@@ -6,12 +6,16 @@ every template by the Dice coefficient over word bigrams, counted with repeats:
 2 * common / (bigrams of the unit + bigrams of the template). A coefficient of at least t needs
 sizes within a factor of (2 - t) / t, so each template meets units of fitting size only, and units
 too small or too long for all templates are dropped before their bigrams are made.
+
+``scan`` has a SQL form and sees these units only. ``passages`` compares every run of words of
+the text with every template, so a license is found wherever its text begins and ends.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +59,8 @@ AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
 PERFORMANCE OF THIS SOFTWARE.""",
 }
 
+PASSAGE_TEMPLATES = TEMPLATES
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -116,6 +122,101 @@ def scan(
     return best.select(F.col("key").alias(key), "license", F.round("dice", 6).alias("dice"), "units")
 
 
+class Matcher:
+    """Runs of words whose bigrams agree with a template by a coefficient of ``least`` or more."""
+
+    def __init__(self, templates: dict[str, str], least: float):
+        self.least, self.licenses, self.of = least, {}, {}
+        for name, bigram, m, total in template_bigrams(templates):
+            self.licenses.setdefault(name, total)
+            a, b = bigram.encode().split(b" ")
+            self.of.setdefault((a, b), []).append((name, m))
+        self.first = {a for a, _ in self.of}
+
+    def find(self, text: str) -> list[tuple[str, float, int, int, int]]:
+        """license, dice of the best passage, its first word, its words, passages that do not
+        overlap; of each license found. Words are counted in the normalised text."""
+        words = re.findall(rb"[a-z0-9]+", text.encode(errors="replace").lower())
+        met: dict[str, list] = {}
+        first, of = self.first, self.of
+        for i, w in enumerate(words[:-1]):
+            if w in first and (hits := of.get((w, words[i + 1]))):
+                for name, m in hits:
+                    met.setdefault(name, []).append((i, (w, words[i + 1]), m))
+        out = []
+        for name, places in met.items():
+            total = self.licenses[name]
+            if len(places) >= self.least * total / (2 - self.least) - 1e-9 and (found := self._runs(places, total)):
+                taken: list = []
+                for dice, s, e in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
+                    if all(e < a or b < s for a, b in taken):
+                        taken.append((s, e))
+                s, e = taken[0]
+                best = max(f[0] for f in found)
+                out.append((name, round(best, 6), s, e - s + 2, len(taken)))
+        return out
+
+    def _runs(self, places: list, total: int) -> list[tuple[float, int, int]]:
+        """The best run from each place on: dice, first and last bigram. The best begin and
+        end with a bigram of the template; of the longest that fits, the common bigrams bound
+        those of all from the same place, so most places are passed over."""
+        longest = math.floor(total * (2 - self.least) / self.least + 1e-9)
+        needed = self.least * total / (2 - self.least) - 1e-9
+        out, inside, common, end = [], Counter(), 0, 0
+        for k, (at, bigram, m) in enumerate(places):
+            while end < len(places) and places[end][0] < at + longest:
+                inside[places[end][1]] += 1
+                common += inside[places[end][1]] <= places[end][2]
+                end += 1
+            if common >= needed:
+                seen, both, best = Counter(), 0, (0.0, 0, 0)
+                for i, b, n in places[k:end]:
+                    seen[b] += 1
+                    if seen[b] <= n:
+                        both += 1
+                        dice = 2 * both / (i - at + 1 + total)
+                        if dice > best[0]:
+                            best = (dice, at, i)
+                if best[0] >= self.least:
+                    out.append(best)
+            common -= inside[bigram] <= m
+            inside[bigram] -= 1
+        return out
+
+
+def passages(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    templates: dict[str, str] = PASSAGE_TEMPLATES,
+    least: float = 0.8,
+) -> DataFrame:
+    """A row per row of ``docs`` and license found anywhere in it: ``key``, license, dice (of
+    its best passage, six digits), start and n_words (of that passage, in normalised words),
+    passages (how many that do not overlap).
+
+    All that ``scan`` finds by the same templates is found, with that coefficient or a higher
+    one. Null and empty texts have none, repeated rows are scanned each.
+    """
+    matcher = Matcher(templates, least)
+    kind = docs.select(F.col(key)).schema
+
+    def run(parts):
+        import pyarrow as pa
+
+        for batch in parts:
+            found = [(k, f) for k, t in enumerate(batch.column(1)) if t.is_valid for f in matcher.find(t.as_py())]
+            columns = list(zip(*[f for _, f in found])) or [()] * 5
+            types = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+            keys = batch.column(0).take(pa.array([k for k, _ in found], pa.int64()))
+            arrays = [keys, *[pa.array(c, t) for c, t in zip(columns, types)]]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    names = [key, "license", "dice", "start", "n_words", "passages"]
+    schema = kind.add("license", "string").add("dice", "double").add("start", "long").add("n_words", "long").add("passages", "long")
+    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+
+
 def sql(templates: dict[str, str] = TEMPLATES, least: float = 0.8) -> str:
     """The same in SQL, for tables with a unique doc_id."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"

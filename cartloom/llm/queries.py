@@ -38,6 +38,12 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op2_license_scan"] = licenses.sql()
 
 
+@query
+def op2_license_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses anywhere in a text, which the units of the scan and its SQL miss."""
+    return licenses.passages(documents(spark, sf_dir))
+
+
 @query
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = tokenfile.round_trip(documents(spark, sf_dir), tokenizer_file(BYTE_BPE), end_id=0)

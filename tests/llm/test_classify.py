@@ -177,3 +177,44 @@ def test_licenses(spark, nothing):
     assert got == expected and {k for k, _ in got} == {1, 2, 3, 7}
     assert licenses.scan(nothing).count() == 0
     assert licenses.scan(docs, templates={}).count() == 0
+
+
+def wrapped(text: str, width: int = 12) -> str:
+    words = text.split()
+    return "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+
+def test_passages_inside_long_documents(spark, nothing):
+    mit, apache, gpl = (licenses.TEMPLATES[k] for k in ("MIT", "Apache-2.0-header", "GPL-3.0-header"))
+    mit = mit.replace("The above", "\n\nThe above").replace('THE SOFTWARE IS PROVIDED "AS', '\n\nTHE SOFTWARE IS PROVIDED "AS', 1)
+    apache, gpl = apache.replace("Unless", "\n\nUnless"), gpl.replace("This program is dist", "\n\nThis program is dist")
+    around = [(wrapped(prose(i, 900)), wrapped(prose(i + 50, 900))) for i in range(3)]
+    rows = [(i, f"{a}\n{t}\n{b}") for i, (t, (a, b)) in enumerate(zip((mit, apache, gpl), around))]
+    rows += [(3, "Copyright 2024 Jane Doe. Released under the MIT License."), (4, wrapped(mit) + "\n" + prose(9, 100))]
+    rows += [(5, None), (6, ""), (7, prose(3, 900)), (8, "of the " * 3000), (9, f"{mit} {prose(8, 60)} {mit}")]
+    rows += [(10 + i, f"{prose(i, 300)} {t} {prose(i + 1, 300)}") for i, t in enumerate(licenses.PASSAGE_TEMPLATES.values())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.license): r for r in licenses.passages(docs).collect()}
+    wanted = [(0, "MIT"), (1, "Apache-2.0-header"), (2, "GPL-3.0-header"), (3, "MIT-notice"), (4, "MIT"), (9, "MIT")]
+    wanted += [(10 + i, n) for i, n in enumerate(licenses.PASSAGE_TEMPLATES)]
+    assert all(got[w].dice == 1.0 for w in wanted)
+    assert got[9, "MIT"].passages == 2 and got[0, "MIT"].start == 900
+    assert not {k for k, _ in got} & {5, 6, 7, 8}
+    units = {(r.doc_id, r.license): r.dice for r in licenses.scan(docs).collect()}
+    assert all(got[k].dice >= d for k, d in units.items())
+    assert not {(i, n) for i, n in wanted[:6] if i != 9} & set(units)
+    assert licenses.passages(nothing).count() == 0
+
+
+def test_passages_equal_plain_windows():
+    r = random.Random(4)
+    templates = {"x": "a b c a b d", "y": "b c d e a"}
+    for _ in range(150):
+        words = [r.choice("abcdefg") for _ in range(r.randint(0, 16))]
+        for name, template in templates.items():
+            every = [plain_dice(" ".join(words[i:j]), template) for i in range(len(words)) for j in range(i + 2, len(words) + 1)]
+            got = [f for f in licenses.Matcher(templates, 0.6).find(" ".join(words)) if f[0] == name]
+            best = max(every, default=0)
+            assert [f[1] for f in got] == ([round(best, 6)] if best >= 0.6 else [])
+            for _, dice, start, n, _ in got:
+                assert round(plain_dice(" ".join(words[start : start + n]), template), 6) == dice
