@@ -59,7 +59,31 @@ AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN
 PERFORMANCE OF THIS SOFTWARE.""",
 }
 
-PASSAGE_TEMPLATES = TEMPLATES
+#: Further ones for ``passages``; the SQL form of ``scan`` holds the above.
+_AS_IS_BSD = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD_2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this
+list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright
+notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with
+the distribution."""
+PASSAGE_TEMPLATES = TEMPLATES | {
+    "BSD-2-Clause": f"{_BSD_2} {_AS_IS_BSD}",
+    "BSD-3-Clause": f"""{_BSD_2} 3. Neither the name of the copyright holder nor the names of its contributors may be used
+to endorse or promote products derived from this software without specific prior written permission. {_AS_IS_BSD}""",
+    "GPL-2.0-header": TEMPLATES["GPL-3.0-header"].replace("version 3 of", "version 2 of").replace("free software: you", "free software; you"),
+    "LGPL-header": TEMPLATES["GPL-3.0-header"].replace("General Public", "Lesser General Public").replace("program", "library").replace("version 3 of", "version 2.1 of"),
+    "AGPL-3.0-header": TEMPLATES["GPL-3.0-header"].replace("General Public", "Affero General Public"),
+    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy,
+modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary,
+for any purpose, commercial or non-commercial, and by any means.""",
+}
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 

@@ -218,3 +218,11 @@ def test_passages_equal_plain_windows():
             assert [f[1] for f in got] == ([round(best, 6)] if best >= 0.6 else [])
             for _, dice, start, n, _ in got:
                 assert round(plain_dice(" ".join(words[start : start + n]), template), 6) == dice
+
+
+def test_common_licenses_are_known():
+    names = {"BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-header", "LGPL-header", "AGPL-3.0-header", "CC-BY-SA-4.0-notice", "Unlicense"}
+    matcher = licenses.Matcher(licenses.PASSAGE_TEMPLATES, 0.8)
+    for name in names:
+        found = matcher.find(f"{prose(1, 200)}\n{licenses.PASSAGE_TEMPLATES[name]}\n{prose(2, 200)}")
+        assert max(found, key=lambda f: f[1])[:2] == (name, 1.0)
