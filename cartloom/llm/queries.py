@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartloom.llm import exactdedup, langid, licenses, packing, piecebpe, quality, secretscan, simhash, substringdedup, tokenfile
+from cartloom.llm import (
+    exactdedup,
+    langid,
+    licenses,
+    packing,
+    piecebpe,
+    quality,
+    runs,
+    secretscan,
+    simhash,
+    substringdedup,
+    tokenfile,
+)
 from cartloom.llm.common import documents, tokenizer_file
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,3 +126,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secretscan.listed(base), 256).alias("base_sha256"),
         secretscan.listed(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return runs.digests(docs, planted=runs.planted_number())
