@@ -163,9 +163,10 @@ def runs_of(words: np.ndarray, order: np.ndarray, lcp: np.ndarray, least: int, t
     """All runs of one text (its last number is the end mark) of at least ``least`` words and
     ``times`` periods, by start, then period."""
     starts, periods = branching_tandems(words, order, lcp)
-    # a longer run goes on to the left of its last square
-    longer = (starts > 0) & (words[starts - 1] == words[starts + periods - 1])
-    starts, periods = starts[longer], periods[longer]
+    # a run above two periods goes on to the left of its last square
+    goes_on = (starts > 0) & (words[starts - 1] == words[starts + periods - 1])
+    enough = goes_on | (2 * periods >= np.maximum(least, times * periods))
+    starts, periods = starts[enough], periods[enough]
     by_end: dict[int, list[Run]] = {}
     found = []
     for k in np.argsort(periods, kind="stable"):
