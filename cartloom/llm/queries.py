@@ -18,6 +18,7 @@ from cartloom.llm import (
     secretscan,
     simhash,
     substringdedup,
+    tokencount,
     tokenfile,
 )
 from cartloom.llm.common import documents, tokenizer_file
@@ -128,6 +129,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return tokencount.token_counts(docs, tokenizer_file(PIECE_BPE), most=4096)
+
+
 @query
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
