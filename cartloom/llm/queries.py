@@ -20,6 +20,7 @@ from cartloom.llm import (
     substringdedup,
     tokencount,
     tokenfile,
+    turnrepair,
 )
 from cartloom.llm.common import documents, tokenizer_file
 
@@ -129,6 +130,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return turnrepair.digests(conversations, turnrepair.repair(turnrepair.damage(conversations)))
+
+
 @query
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
