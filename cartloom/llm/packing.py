@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import defaultdict
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -33,15 +34,19 @@ from cartloom.llm.common import staged
 PLAN_COLUMNS = ("length", "first", "count", "sequence", "each", "offset")
 
 
-def cut(docs: DataFrame, path: str, end_id: int, capacity: int, text: str = "text") -> DataFrame:
+def cut(
+    docs: DataFrame, path: str, end_id: int, capacity: int, text: str = "text", digest: bool = False
+) -> DataFrame:
     """A row per piece with all columns of ``docs`` but the text, and ``piece``, ``start``,
-    ``length``, ``ids`` (binary, little-endian unsigned 32-bit).
+    ``length``, ``ids`` (binary, little-endian unsigned 32-bit). With ``digest``, ``ids_crc32``
+    takes the place of the ids, which then never leave the task.
 
     A document is its ids (null text: none) and ``end_id``. Documents above ``capacity``
     ids are cut into pieces of exactly ``capacity``, the first piece taking the remainder.
     Columns of these four names are replaced.
     """
-    new = ("piece", "start", "length", "ids")
+    new = ("piece", "start", "length", "ids_crc32" if digest else "ids")
+    types = ("int", "long", "long", "long" if digest else "binary")
     kept = [c for c in docs.columns if c != text and c not in new]
 
     def encode(parts):
@@ -62,7 +67,8 @@ def cut(docs: DataFrame, path: str, end_id: int, capacity: int, text: str = "tex
                         pieces.append(k)
                         starts.append(a)
                         lengths.append(b - a)
-                        ids.append(whole[4 * a : 4 * b])
+                        own = whole[4 * a : 4 * b]
+                        ids.append(crc32(own) if digest else own)
                 taken = batch.select(kept).take(pa.array(rows, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -70,13 +76,13 @@ def cut(docs: DataFrame, path: str, end_id: int, capacity: int, text: str = "tex
                         pa.array(pieces, pa.int32()),
                         pa.array(starts, pa.int64()),
                         pa.array(lengths, pa.int64()),
-                        pa.array(ids, pa.binary()),
+                        pa.array(ids, pa.int64() if digest else pa.binary()),
                     ],
                     names=[*kept, *new],
                 )
         pa.default_memory_pool().release_unused()
 
-    schema = docs.select(*kept, *[F.lit(None).cast(t).alias(c) for c, t in zip(new, ("int", "long", "long", "binary"))]).schema
+    schema = docs.select(*kept, *[F.lit(None).cast(t).alias(c) for c, t in zip(new, types)]).schema
     source = docs.select(*kept, F.col(text).alias("__text"))
     return source.mapInArrow(encode, schema)
 
@@ -236,6 +242,14 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = 40, small: int
     return pd.DataFrame(rows, columns=list(PLAN_COLUMNS), dtype="int64")
 
 
+def best_plan(histogram: dict[int, int], capacity: int, groups: int = 40) -> pd.DataFrame:
+    """The plan with fewest sequences: large pieces above a third of the capacity, or above a
+    half of it. The latter are never packed together, so it is best-fit decreasing, and the plan
+    kept is never worse than that."""
+    plans = [plan(histogram, capacity, groups, small) for small in (3, 2)]
+    return min(plans, key=lambda p: int((p["sequence"] + p["count"] // p["each"]).max()) if len(p) else 0)
+
+
 def pack(
     pieces: DataFrame,
     capacity: int,
@@ -263,7 +277,7 @@ def pack(
     histogram = {r[0]: r[1] for r in counted.groupBy("length").agg(F.sum("count")).collect()}
     if any(n is None or not 0 < n <= capacity for n in histogram):
         raise ValueError(f"lengths must be 1 to {capacity}")
-    table = plan(histogram, capacity, groups)
+    table = best_plan(histogram, capacity, groups)
     # equal (length, salt) groups are bounded by about rows_per_salt, whatever the skew
     local = F.row_number().over(_within("length", "__salt", order)) - 1
     numbered = (
@@ -328,6 +342,5 @@ def sequences(packed: DataFrame) -> DataFrame:
 def pack_documents(docs: DataFrame, path: str, end_id: int, capacity: int, key: str = "doc_id") -> DataFrame:
     """Cut and pack ``docs``: one row per piece, with ``key``, piece, start, length,
     ids_crc32, sequence_id, offset. Ids themselves: ``cut`` and ``sequences``."""
-    pieces = cut(docs.select(key, "text"), path, end_id, capacity)
-    thin = pieces.select(key, "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pack(staged(thin, "pieces"), capacity, [key, "piece"])
+    pieces = cut(docs.select(key, "text"), path, end_id, capacity, digest=True)
+    return pack(staged(pieces, "pieces"), capacity, [key, "piece"])

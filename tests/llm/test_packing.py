@@ -96,3 +96,36 @@ def test_sequences_hold_the_ids(docs):
 
 def test_empty(nothing):
     assert packing.pack_documents(nothing, PATH, 2, 64).count() == 0
+
+
+def best_fit_decreasing(histogram: dict[int, int], capacity: int) -> int:
+    """Sequences of the textbook rule: longest first, each to the fullest sequence it fits."""
+    from bisect import bisect_left, insort
+
+    rooms: list[int] = []
+    for n in sorted(histogram, reverse=True):
+        for _ in range(histogram[n]):
+            at = bisect_left(rooms, n)
+            room = rooms.pop(at) if at < len(rooms) else capacity
+            insort(rooms, room - n)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_never_worse_than_best_fit_decreasing(seed):
+    r = random.Random(seed)
+    top = r.choice([64, 128, 1024])
+    low = r.choice([1, top // 5, top // 3])
+    histogram = {n: r.randint(1, 30) for n in r.sample(range(max(1, low), top + 1), r.randint(1, top - low))}
+    table = packing.best_plan(histogram, top)
+    used = set()
+    for row in table.itertuples():
+        used |= set(range(row.sequence, row.sequence + row.count // row.each))
+    assert len(used) <= best_fit_decreasing(histogram, top)
+
+
+def test_digests_equal_the_ids(docs):
+    whole = packing.cut(docs.select("doc_id", "text"), tokenizer_file("byte_bpe_50k.json"), 2, 64)
+    thin = packing.cut(docs.select("doc_id", "text"), tokenizer_file("byte_bpe_50k.json"), 2, 64, digest=True)
+    expected = [(r.doc_id, r.piece, r.start, r.length, zlib.crc32(r.ids)) for r in whole.collect()]
+    assert sorted(map(tuple, thin.collect())) == sorted(expected)
