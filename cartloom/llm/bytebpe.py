@@ -14,7 +14,6 @@ from cartloom.llm.common import single_thread
 #: Unicode White_Space without the ASCII space.
 OTHER_SPACE = "\t-\r\x85\xa0  -     　"
 _CHUNK = re.compile(f"[ {OTHER_SPACE}]*[^ {OTHER_SPACE}]+|[ {OTHER_SPACE}]+")
-_ENDS_IN_SPACE = re.compile(f"[{OTHER_SPACE}]\\Z")
 
 
 class ByteBpe:
@@ -33,7 +32,8 @@ class ByteBpe:
         self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.limit = limit
-        self.after_space: dict[str, bytes | None] = {}
+        self.after_space: dict[str, bytes | bool] = {}
+        self.spaces = {c for c in map(chr, range(0x3001)) if re.match(f"[{OTHER_SPACE}]", c)}
         self.tokens: dict[str, bytes] = {}
         #: byte -> the character that stands for it in the vocabulary
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -45,29 +45,34 @@ class ByteBpe:
             return b""
         head, *parts = text.split(" ")
         known = self.after_space
-        try:
-            return self._chunk(head) + b"".join([known[p] for p in parts])
-        except (KeyError, TypeError):
-            pass
-        if len(known) > self.limit:
-            known.clear()
-        if len(self.tokens) > self.limit // 4:
-            self.tokens.clear()
-        for p in parts:
-            if p not in known:
-                # None: the next part is not cut off from this one by a token border
-                known[p] = self._chunk(" " + p) if p and not _ENDS_IN_SPACE.search(p) else None
-        found = [known[p] for p in parts]
-        if None in found[:-1] or _ENDS_IN_SPACE.search(head) or (found and found[-1] is None):
-            return b"".join([self._chunk(c) for c in _CHUNK.findall(text)])
-        return self._chunk(head) + b"".join(found)
+        found = list(map(known.get, parts))
+        if None in found:
+            if len(known) > self.limit:
+                known.clear()
+            if len(self.tokens) > self.limit // 4:
+                self.tokens.clear()
+            for k, p in enumerate(parts):
+                if found[k] is None:
+                    if p not in known:
+                        # False: the next part is not cut off from this one by a token border
+                        known[p] = self._chunk(" " + p) if p and p[-1] not in self.spaces else False
+                    found[k] = known[p]
+        if head[-1:] not in self.spaces:
+            try:
+                return self._chunk(head) + b"".join(found)
+            except TypeError:
+                pass
+        return b"".join([self._chunk(c) for c in _CHUNK.findall(text)])
 
     def _chunk(self, chunk: str) -> bytes:
         if not chunk:
             return b""
         word = chunk[1:] if chunk[0] == " " else chunk
         if word.isalpha():
-            token = chunk.encode().decode("latin-1").translate(self.table)
+            if word.isascii():  # letters stand for themselves
+                token = chunk if word is chunk else self.table[32] + word
+            else:
+                token = chunk.encode().decode("latin-1").translate(self.table)
             known = self.tokens.get(token)  # a new one is remembered as a word already
             return self._encoded(token) if known is None else known
         if len(word) > 1 and word[-1] in ".,!?;:|" and word[:-1].isalpha():
