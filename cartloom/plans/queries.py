@@ -18,6 +18,7 @@ from cartloom.operators import profile as P
 from cartloom.operators import recommend as R
 from cartloom.operators import sampling as S
 from cartloom.operators import text as TX
+from cartloom.operators.boosting import fit_newton
 from cartloom.plans.data import MODELS, Data
 from cartloom.schemas import ROW_ORDER
 from cartloom.sources.package import PARTS, Package, load_package, save_package
@@ -30,6 +31,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 RARE_PURCHASES = 300
+#: What a fit that has learned anything reaches on unseen pairs; chance is 0.5.
+LEARNED_AUC = 0.6
 
 
 def query(build: Callable[[Data], DataFrame]) -> Callable[[Data], DataFrame]:
@@ -480,6 +483,37 @@ def model_checks(d: Data) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 
 
+@query
+def model_newton(d: Data) -> DataFrame:
+    return d.newton_scores
+
+
+@query
+def newton_trees(d: Data) -> DataFrame:
+    """Two small trees over all labelled pairs: every split, gain and leaf."""
+    found = fit_newton(d.model_matrix, X.SERVING_FEATURES, rounds=2, depth=3, bins=16)
+    return rounded(rounded(found.nodes(d.spark), "cut", "weight"), "gain", digits=3)
+
+
+@query
+def model_learns(d: Data) -> DataFrame:
+    """What a constant or shuffled model fails: the test pairs that are reordered rank clearly
+    above the others, and scores differ."""
+    scores = {**{name: d.model_scores(name) for name in MODELS}, "newton": d.newton_scores}
+    checks = []
+    for name, scored in scores.items():
+        counted = scored.agg(
+            F.count("*").alias("n_rows"),
+            (F.count_distinct("reorder_probability") > 20).alias("varies"),
+        )
+        better = (F.col("roc_auc") > LEARNED_AUC).alias("ranks_better_than_chance")
+        named = F.lit(name).alias("model")
+        area = E.roc_auc(scored, "reordered", "reorder_probability").select(named, "roc_auc")
+        both = area.join(counted.select(named, "*"), "model")
+        checks.append(both.select("model", "n_rows", better, "varies"))
+    return reduce(DataFrame.unionByName, checks)
+
+
 @query
 def align_features(d: Data) -> DataFrame:
     """Model input from rows in which one feature is absent: it counts as 0."""

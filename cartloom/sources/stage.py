@@ -104,6 +104,17 @@ def staged_model(
     return PipelineModel.load(path)
 
 
+def staged_folder(spark: SparkSession, name: str, origin: str, write: Callable[[str], None]) -> str:
+    """A folder that ``write`` fills once per application and ``origin``."""
+    tag = hashlib.md5(origin.encode()).hexdigest()[:12]
+    path = f"{shared_folder(spark)}/cartloom/{spark.sparkContext.applicationId}/{tag}/{name}"
+    with _lock:
+        if path not in _written:
+            write(path)
+            _written[path] = name
+    return path
+
+
 def forget_staged(spark: SparkSession) -> None:
     """Drop this application's bucketed tables from the catalog and forget what is staged.
 
