@@ -17,6 +17,7 @@ from cartloom.operators.models import labelled_serving_matrix
 from cartloom.operators.recommend import ranked_pairs
 from cartloom.operators.sampling import hash_split
 from cartloom.sources import star
+from cartloom.sources.ranked_store import RankedStore
 from cartloom.sources.stage import staged, staged_folder, staged_model
 from cartloom.sources.tables import Tables
 
@@ -199,6 +200,18 @@ class Data:
             ),
         )
 
+    @cached_property
+    def ranked_store(self) -> RankedStore:
+        """The ranking kept up from batches of orders: a user's first four orders, then the next
+        three, three more, and the rest."""
+
+        def write(path: str) -> None:
+            number = F.greatest(F.lit(0), F.least(F.lit(3), F.floor((F.col("order_number") - 2) / 3)))
+            for batch in range(4):
+                RankedStore(self.spark, path).apply(batch, self.orders.filter(number == batch), self.prior)
+
+        return RankedStore(self.spark, staged_folder(self.spark, "ranked_store", self.sf_dir, write))
+
     @property
     def requests(self) -> DataFrame:
         """One JSON request per customer, in every accepted and rejected form."""

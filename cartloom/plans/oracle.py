@@ -744,6 +744,8 @@ def _selects() -> dict[str, str]:
         "batch_top10": _routed("(SELECT c_custkey AS user_id FROM customer)", 10, 0.0),
         "parse_requests": "SELECT * FROM parsed",
         "score_requests": "SELECT * FROM answers",
+        "score_requests_store": "SELECT * FROM answers",
+        "nightly_increments": "SELECT user_id, product_id, reorder_probability, rank FROM ranked",
         "score_requests_json": "SELECT * FROM answers",
         "score_requests_stream": "SELECT * EXCLUDE (request_id) FROM answers",
         "precision_recall_at_k": f"""

@@ -614,6 +614,20 @@ RESPONSE = (
 )
 
 
+@query
+def nightly_increments(d: Data) -> DataFrame:
+    """The ranking after a first load and three nights of new orders."""
+    return d.ranked_store.read("ranked").select("user_id", "product_id", "reorder_probability", "rank")
+
+
+@query
+def score_requests_store(d: Data) -> DataFrame:
+    """``score_requests`` from the parts of the store that hold the users asked for."""
+    asked = d.parsed_requests.select("user_id")
+    ranked = d.ranked_store.lookup(asked)
+    return R.answer_rows(d.parsed_requests, ranked, d.product_features, d.products)
+
+
 @query
 def score_requests_json(d: Data) -> DataFrame:
     responses = R.score_requests(d.requests, d.ranked, d.product_features, d.products)
