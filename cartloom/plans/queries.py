@@ -19,6 +19,7 @@ from cartloom.operators import recommend as R
 from cartloom.operators import sampling as S
 from cartloom.operators import text as TX
 from cartloom.operators.boosting import fit_newton
+from cartloom.operators.svd import checks, truncated_svd
 from cartloom.plans.data import MODELS, Data
 from cartloom.schemas import ROW_ORDER
 from cartloom.sources.package import PARTS, Package, load_package, save_package
@@ -416,6 +417,18 @@ def text_svd_documents(d: Data) -> DataFrame:
     return TX.text_features(d.raw("documents"), "doc_id", "text")
 
 
+@query
+def text_svd_checks(d: Data) -> DataFrame:
+    """Orthogonality, lengths, the singular equation and the residual of both decompositions."""
+    both = {"product_name": (_parts(d), "product_id", "product_name"), "text": (d.raw("documents"), "doc_id", "text")}
+    found = []
+    for name, (df, key, text) in both.items():
+        rows, vocabulary = TX.tfidf_rows(df, key, text)
+        held = checks(rows, key, truncated_svd(rows, key, 10, len(vocabulary.terms)))
+        found.append(rounded(held.select(F.lit(name).alias("source"), "*"), "squared_norm"))
+    return reduce(DataFrame.unionByName, found)
+
+
 # --- ranking, sampling -----------------------------------------------------------
 
 
