@@ -29,6 +29,9 @@ MODELS: dict[str, Callable[[DataFrame], Pipeline]] = {
     "boosted": lambda _: M.boosted(X.SERVING_FEATURES),
 }
 
+#: Rounds of the registered second-order model; a level of a round is a job of a sixth of a second.
+NEWTON_ROUNDS = 50
+
 
 class Data:
     """Lazily built inputs of the plans over one data folder."""
@@ -179,13 +182,13 @@ class Data:
 
     @cached_property
     def newton(self) -> BoostedTrees:
-        """The second-order boosted trees at their full size, fitted once on the training pairs."""
+        """Second-order boosted trees, fitted once on the training pairs."""
         path = staged_folder(
             self.spark,
             "model_newton",
             self.sf_dir,
             lambda path: fit_newton(
-                self.split_matrix.filter(F.col("split") == "train"), X.SERVING_FEATURES
+                self.split_matrix.filter(F.col("split") == "train"), X.SERVING_FEATURES, rounds=NEWTON_ROUNDS
             ).save(self.spark, path),
         )
         return BoostedTrees.load(self.spark, path)

@@ -717,7 +717,7 @@ def _selects() -> dict[str, str]:
             for name in ("logistic", "forest", "boosted")
         ),
         "model_learns": " UNION ALL ".join(
-            f"SELECT '{name}' AS model, count(*) AS n_rows, true AS ranks_better_than_chance, true AS varies FROM ({tested})"
+            f"SELECT '{name}' AS model, count(*) AS n_rows, true AS ranks_better_than_chance, true AS varies FROM ({tested.replace(f'WHERE {flag}', '')})"
             for name in ("logistic", "forest", "boosted", "newton")
         ),
         "newton_trees": _newton(rounds=2, depth=3, bins=16, rate=0.1),
