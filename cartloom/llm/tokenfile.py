@@ -60,8 +60,11 @@ class _Models:
     def refresh(self) -> None:
         """Frequencies of bytes from their counts so far, each at least one."""
         self.bounds = []
+        scale = (1 << _TOTAL) - 256
         for c in self.counts:
-            f = 1 + c * ((1 << _TOTAL) - 256) // c.sum(1, keepdims=True, dtype=np.int32)
+            # long blocks count further than 32 bits hold the product
+            wide = np.int64 if int(c.max(initial=0)) >= (1 << 31) // scale else np.int32
+            f = 1 + c.astype(wide, copy=False) * scale // c.sum(1, keepdims=True, dtype=wide)
             bound = np.zeros((self.n, 257), np.int32)
             np.cumsum(f, 1, out=bound[:, 1:])
             bound[:, 256] = 1 << _TOTAL
@@ -247,19 +250,21 @@ def decode_blocks(coded: list[bytes], block: int, planes: int) -> np.ndarray:
     return grid.T
 
 
-def write_chunk(keys: list[int], lengths: list[int], ids: np.ndarray, block: int = BLOCK) -> bytes:
+def write_chunk(keys: list[int | None], lengths: list[int], ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A chunk: head, compressed table of documents, sizes and checksums of blocks, blocks."""
     planes = max(2, -(-int(ids.max(initial=0)).bit_length() // 8))
     coded = encode_blocks(ids, block, planes) if len(ids) else []
     raw = ids.astype("<u4").tobytes()
     sums = [zlib.crc32(raw[4 * i * block : 4 * (i + 1) * block]) for i in range(len(coded))]
-    table = zlib.compress(np.array(keys, "<i8").tobytes() + np.array(lengths, "<u4").tobytes(), 1)
+    known = np.array([k is not None for k in keys], np.uint8)
+    numbers = np.array([0 if k is None else k for k in keys], "<i8")
+    table = zlib.compress(numbers.tobytes() + np.array(lengths, "<u4").tobytes() + known.tobytes(), 1)
     head = _HEAD.pack(MAGIC, len(ids), block, planes, len(keys))
     sizes = np.array([len(c) for c in coded], "<u4").tobytes()
     return b"".join([head, struct.pack("<I", len(table)), table, sizes, np.array(sums, "<u4").tobytes(), *coded])
 
 
-def read_chunk(chunk: bytes, only: list[int] | None = None) -> tuple[list[int], list[int], np.ndarray]:
+def read_chunk(chunk: bytes, only: list[int] | None = None) -> tuple[list[int | None], list[int], np.ndarray]:
     """Keys, lengths and ids of a chunk; with ``only``, the ids of these blocks alone.
 
     Raises ValueError where a checksum does not fit."""
@@ -270,7 +275,8 @@ def read_chunk(chunk: bytes, only: list[int] | None = None) -> tuple[list[int],
     (size,) = struct.unpack_from("<I", chunk, at)
     table = zlib.decompress(chunk[at + 4 : at + 4 + size])
     at += 4 + size
-    keys = np.frombuffer(table, "<i8", documents).tolist()
+    known = np.frombuffer(table, np.uint8, documents, 12 * documents).tolist()
+    keys = [k if there else None for k, there in zip(np.frombuffer(table, "<i8", documents).tolist(), known)]
     lengths = np.frombuffer(table, "<u4", documents, 8 * documents).tolist()
     blocks = -(-n // block)
     sizes = np.frombuffer(chunk, "<u4", blocks, at).astype(np.int64)
@@ -291,7 +297,7 @@ def read_chunk(chunk: bytes, only: list[int] | None = None) -> tuple[list[int],
 
 def write(docs: DataFrame, path: str, target: str, end_id: int, key: str = "doc_id", text: str = "text") -> None:
     """Encode the whole texts (null: empty), each followed by ``end_id``, and write them in
-    ascending order of ``key`` (a whole number) to ``target``.
+    ascending order of ``key`` (a whole number; nulls come first and stay null) to ``target``.
 
     The files are Spark's, so a lost task leaves no half file: a row per chunk with its place
     (``part``, ``seq``), its number of ids and its bytes. An empty table gives none."""

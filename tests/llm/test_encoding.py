@@ -67,6 +67,25 @@ def test_repeating_ids_take_few_bits():
     assert len(tokenfile.write_chunk([1], [len(ids)], ids)) * 8 / len(ids) < 2
 
 
+def test_counts_of_long_blocks_stay_frequencies():
+    """Counts whose product with the scale needs more than 32 bits."""
+    models = tokenfile._Models(2, 2)
+    for c in models.counts:
+        c[:, 3] = 2_000_000
+    models.refresh()
+    for bound in models.bounds:
+        steps = np.diff(bound.reshape(2, 257))
+        assert (steps >= 1).all() and (steps.argmax(axis=1) == 3).all() and (steps[:, 3] > 3000).all()
+
+
+def test_null_keys(spark):
+    assert tokenfile.read_chunk(tokenfile.write_chunk([None, 3], [1, 1], np.array([5, 6], "<u4")))[0] == [None, 3]
+    table = spark.createDataFrame([(None, "a b"), (4, None), (-1, "c"), (None, "d")], "doc_id long, text string")
+    got = tokenfile.round_trip(table, BYTES, 0).collect()
+    assert sorted((r.doc_id for r in got), key=lambda k: (k is not None, k)) == [None, None, -1, 4]
+    assert sorted(r.start for r in got)[0] == 0 and {r.start for r in got if r.doc_id is None} < {0, 2, 3}
+
+
 def test_blocks_are_independent_and_checked():
     ids = np.random.default_rng(2).integers(0, 50000, 1000).astype("<u4")
     chunk = tokenfile.write_chunk([1], [1000], ids, 100)
