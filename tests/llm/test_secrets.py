@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 import string
@@ -74,8 +75,93 @@ def test_edge_cases(docs, nothing, texts):
     for r in rows:
         assert [tuple(s) for s in r.spans if s.kind != "random"] == plain_spans(r.text or "")
     assert secretscan.scan(nothing).count() == 0
-    long = prose(1, 20000) + " " + "0123456789abcdef" * 50
-    assert len(long) > 100_000
+
+
+def test_a_text_of_a_hundred_thousand_matches(spark):
+    """Matches, places and redaction of one long text take time in line with its length."""
+    r = random.Random(5)
+    lines = ["%032x" % r.getrandbits(128) if i % 3 else f"😀é token={i:012d}" for i in range(100_000)]
+    text = "\n".join(lines) + " " + prose(1, 5000) + " " + "x" * 100_000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = secretscan.scan(docs).first()
+    assert [tuple(s) for s in row.spans if s.kind != "random"] == plain_spans(text)
+    assert not any(s.kind == "random" for s in row.spans)
+    got = secretscan.redact(secretscan.scan(docs)).first().text
+    marked = "\n".join("[SECRET]" if i % 3 else "\U0001f600é [SECRET]" for i in range(100_000))
+    assert got == marked + " " + prose(1, 5000) + " " + "x" * 100_000
+
+
+LETTERS_AND_DIGITS = string.ascii_letters + string.digits
+SECRET_ALPHABETS = {
+    "base32": string.ascii_uppercase + "234567",
+    "base36": string.ascii_lowercase + string.digits,
+    "HEX": "0123456789ABCDEF",
+    "base62": LETTERS_AND_DIGITS,
+    "base64": LETTERS_AND_DIGITS + "+/",
+}
+
+
+def name_of(r: random.Random, length: int) -> str:
+    join = r.choice(["_", "-", "/", "", "camel", "upper"])
+    words: list[str] = []
+    while len("_".join(words)) < length + 8:
+        words.append(r.choice(WORDS) if r.random() < 0.85 else str(r.randint(0, 2030)))
+    if join == "camel":
+        return "".join(w.title() for w in words)[:length]
+    if join == "upper":
+        return "_".join(words).upper()[:length]
+    return join.join(words)[:length].strip("_-/").ljust(length, "e")
+
+
+@pytest.mark.parametrize("share", [10, 100])
+def test_recall_of_each_encoding_and_length(spark, share):
+    """One secret in ``share`` candidates of a length; at 24 characters and more nine in ten are found, and no name."""
+    r = random.Random(share)
+    rows, wanted = [], {}
+    for length in (20, 24, 32, 64):
+        for kind, alphabet in SECRET_ALPHABETS.items():
+            for _ in range(30):
+                wanted[len(rows)] = (kind, length)
+                rows.append("".join(r.choice(alphabet) for _ in range(length)))
+        rows += [name_of(r, length) for _ in range(150 * (share - 1))]
+    got = scanned(spark, [f"{prose(i, 6)} {t} end" for i, t in enumerate(rows)])
+    hit = {i for i, spans in got.items() if spans}
+    found: dict[tuple, int] = {}
+    for i, group in wanted.items():
+        found[group] = found.get(group, 0) + (i in hit)
+    assert all(n >= 27 for (_, length), n in found.items() if length >= 24), found
+    assert not [rows[i] for i in hit - set(wanted) if not plain_spans(rows[i])]
+
+
+def plain_log_p(token: str, counts: dict, mixed: bool, alphabet: int) -> float:
+    chain = secretscan.name_chain(counts, mixed)
+    at = [secretscan.SYMBOLS.index(c) for c in token]
+    total = sum(chain[x * len(secretscan.SYMBOLS) + y] - math.log(alphabet) for x, y in zip(at, at[1:]))
+    return max(total / math.log(10), 0.0)
+
+
+def test_pairs_and_p_values_equal_plain_code(spark):
+    r = random.Random(8)
+    texts = [" é".join("".join(r.choice("abAB01+_=- ") for _ in range(r.randint(0, 400))) for _ in range(3)) for _ in range(40)]
+    docs = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    counts = secretscan.pair_counts(docs, F.coalesce("text", F.lit("")))
+    plain: dict = {}
+    for t in texts:
+        for w in re.findall(r"[A-Za-z0-9+/_=-]+", t):
+            both = bool(re.search("[a-z]", w) and re.search("[A-Z]", w))
+            for pair in zip(w, w[1:]):
+                plain[both, "".join(pair)] = plain.get((both, "".join(pair)), 0) + 1
+    assert counts == plain
+    for mixed in (True, False):  # a chain's chances add up to one
+        chain, n = secretscan.name_chain(counts, mixed), len(secretscan.SYMBOLS)
+        symbols = [i for i, c in enumerate(secretscan.SYMBOLS) if mixed or not c.isupper()]
+        for x in symbols:
+            assert abs(sum(math.exp(-chain[x * n + y]) for y in symbols) - 1) < 1e-9
+    tokens = {"aB01" * 6: (True, 62), "ab01" * 6: (False, 16), "AB_-" * 6: (False, 41), "aB+_" * 5: (True, 67), "A" * 20: (False, 16)}
+    made = spark.createDataFrame([(t,) for t in tokens], "t string")
+    chains = secretscan.name_chain(counts, True), secretscan.name_chain(counts, False)
+    for row in made.select("t", secretscan._log_p(F.col("t"), *chains).alias("p")).collect():
+        assert abs(row.p - plain_log_p(row.t, counts, *tokens[row.t])) < 1e-6
 
 
 def test_no_python_in_the_plan(docs):
