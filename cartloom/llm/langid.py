@@ -1,9 +1,15 @@
 """Language identification by error-correcting output codes.
 
 Every language has a codeword of bits. For each bit one binary classifier, linear over hashed
-byte n-grams of the lower-cased letters, predicts its sign. A text gets the language whose
-codeword loses least against the predictions, each bit weighted by how well its classifier
-separates the training rows, and is flagged as ambiguous when the second choice is close.
+byte n-grams of the lower-cased letters, predicts its sign. Margins are measured in units of the
+usual margin of learned rows, so a clean text has them near +1 or -1 and one of two languages near 0
+where their codewords differ. A text gets the language whose codeword loses least against the
+margins, each bit weighted by how well its classifier separates the learned rows.
+
+All that judges a text is set on learned rows, each predicted by classifiers fitted on the other half:
+the units, the temperature of the score (its mean is the share of right answers), and how far a text of
+some size may lie from its nearest codeword. A text is ambiguous if the second choice is close or if
+it lies beyond that bound, as texts of unknown languages do.
 
 The classifiers are fitted on at most ``sample_rows`` labelled rows, the same number of each
 language, chosen by a hash of the key; the texts they get and those they predict are whole.
@@ -19,6 +25,9 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 DIMENSIONS = 4096
+#: Classes of text size (powers of four of n-grams), rows that a class needs for a bound of its own, and
+#: how far beyond the 99 % quantile of its learned rows' losses a text may lie.
+SIZES, ENOUGH, SLACK = 12, 20, 1.65
 #: ASCII that is not a lower-case letter becomes a space; other bytes stay.
 _LETTERS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -54,6 +63,12 @@ def codewords(k: int) -> np.ndarray:
     return h[1 : k + 1, 1:]
 
 
+def sizes(x: np.ndarray) -> np.ndarray:
+    """The power of four of the number of n-grams behind each row of frequencies, from the least one."""
+    least = np.where(x > 0, x, 1).min(1)
+    return np.clip(np.floor(np.log(1 / least) / np.log(4)), 0, SIZES - 1).astype(int)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -62,32 +77,36 @@ class Model:
     weights: np.ndarray  # dimensions x bits
     bias: np.ndarray
     trust: np.ndarray  # of each bit
+    unit: np.ndarray | float = 1.0  # the usual margin of each bit
+    temperature: float = 1.0
+    reach: np.ndarray | None = None  # the largest loss to the nearest codeword, by size
 
     def margins(self, x: np.ndarray) -> np.ndarray:
-        return (np.sqrt(x) * self.scale) @ self.weights + self.bias
+        return ((np.sqrt(x) * self.scale) @ self.weights + self.bias) / self.unit
 
-    def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Index of the language, its share of the weight, the runner-up's share."""
-        loss = (np.log1p(np.exp(-np.clip(margins[:, None, :] * self.code[None], -30, 30))) * self.trust).sum(2)
-        share = np.exp(loss.min(1, keepdims=True) - loss)
+    def losses(self, margins: np.ndarray) -> np.ndarray:
+        """Loss against each codeword: 0 if all bits are as they should be, 2 if none is."""
+        away = 1 - np.clip(margins, -1, 1)[:, None, :] * self.code[None]
+        return (away * self.trust).sum(2) / self.trust.sum()
+
+    def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Index of the language, its share of the weight, the runner-up's share, the loss."""
+        loss = self.losses(margins)
+        share = np.exp((loss.min(1, keepdims=True) - loss) / self.temperature)
         share /= share.sum(1, keepdims=True)
         best = share.argmax(1)
         top = share[np.arange(len(share)), best]
         share[np.arange(len(share)), best] = 0
-        return best, top, share.max(1)
+        return best, top, share.max(1), loss.min(1)
 
+    def beyond(self, x: np.ndarray, loss: np.ndarray) -> np.ndarray:
+        """Whether texts lie farther from their codeword than learned ones of their size."""
+        return np.zeros(len(x), bool) if self.reach is None else loss > self.reach[sizes(x)]
 
-def fit(x: np.ndarray, labels: list[str], rounds: int = 80) -> Model:
+
+def _descend(features: np.ndarray, y: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Logistic regressions of the bits by accelerated gradient descent."""
-    languages = sorted(set(labels))
-    code = codewords(len(languages))
-    if len(languages) < 2:  # nothing to tell apart
-        return Model(languages, np.ones((len(languages), 1)), np.ones(1, np.float32), np.zeros((DIMENSIONS, 1), np.float32), np.ones(1, np.float32), np.ones(1))
-    y = code[[languages.index(v) for v in labels]]
-    roots = np.sqrt(x)
-    scale = np.float32(1 / max(np.sqrt((roots**2).sum(1).mean()), 1e-9)) * np.ones(1, np.float32)
-    features = roots * scale
-    w, b = np.zeros((features.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
+    w, b = np.zeros((features.shape[1], y.shape[1]), np.float32), np.zeros(y.shape[1], np.float32)
     seen_w, seen_b = w.copy(), b.copy()
     for t in range(rounds):
         p = -y / (1 + np.exp(np.clip(y * (features @ seen_w + seen_b), -30, 30))) / len(y)
@@ -96,23 +115,74 @@ def fit(x: np.ndarray, labels: list[str], rounds: int = 80) -> Model:
         k = t / (t + 3)
         seen_w, seen_b = new_w + k * (new_w - w), new_b + k * (new_b - b)
         w, b = new_w, new_b
-    w, b = w * 8, b * 8  # margins of order one for the loss
+    return w, b
+
+
+def fit(x: np.ndarray, labels: list[str], rounds: int = 80) -> Model:
+    """The classifiers of the bits, and what judges their margins. Fewer than four rows and a
+    single language leave unit, temperature and bound as they are by default."""
+    languages = sorted(set(labels))
+    code = codewords(len(languages))
+    if len(languages) < 2:  # nothing to tell apart
+        return Model(languages, np.ones((len(languages), 1)), np.ones(1, np.float32), np.zeros((DIMENSIONS, 1), np.float32), np.ones(1, np.float32), np.ones(1))
+    index = np.array([languages.index(v) for v in labels])
+    y = code[index]
+    roots = np.sqrt(x)
+    scale = np.float32(1 / max(np.sqrt((roots**2).sum(1).mean()), 1e-9)) * np.ones(1, np.float32)
+    features = roots * scale
+    w, b = _descend(features, y, rounds)
     right = ((features @ w + b) * y > 0).mean(0)
     trust = np.maximum(2 * right - 1, 0.05)
-    return Model(languages, code, scale, w, b, trust / trust.sum() * len(trust))
+    model = Model(languages, code, scale, w, b, trust / trust.sum() * len(trust))
+    return _judged(model, x, features, index, rounds) if len(index) >= 4 else model
+
+
+def _judged(model: Model, x: np.ndarray, features: np.ndarray, index: np.ndarray, rounds: int) -> Model:
+    """The model with unit, temperature and bound from margins of rows that other rows predict."""
+    y = model.code[index]
+    # every second row of each language: rows are in order of language
+    half = np.arange(len(index)) % 2 == 0
+    margins = np.zeros(y.shape)
+    for mine in (half, ~half):
+        w, b = _descend(features[~mine], y[~mine], rounds)
+        margins[mine] = features[mine] @ w + b
+    model.unit = np.maximum(np.median(np.abs(margins), 0), 1e-6)
+    best, _, _, loss = model.decode(margins / model.unit)
+    correct = best == index
+    wanted = (correct.sum() + 1) / (len(index) + 2)  # Laplace's rule, so never one
+    lo, hi = 1e-3, 1e3
+    for _ in range(60):
+        model.temperature = float(np.sqrt(lo * hi))
+        mean = model.decode(margins / model.unit)[1].mean()
+        lo, hi = (model.temperature, hi) if mean > wanted else (lo, model.temperature)
+    size, reach = sizes(x), np.full(SIZES, 2.0)
+    for k in range(SIZES):
+        near = loss[correct & (size >= k)]
+        own = loss[correct & (size == k)]
+        if len(own) >= ENOUGH:
+            reach[k] = SLACK * np.quantile(own, 0.99)
+        elif k and len(near) < ENOUGH:  # longer than nearly all learned texts
+            reach[k] = reach[k - 1]
+    model.reach = np.maximum.accumulate(reach[::-1])[::-1]  # a shorter text may lie as far as a longer one
+    return model
 
 
 def sample(docs: DataFrame, key: str, text: str, lang: str, sample_rows: int) -> tuple[np.ndarray, list[str]]:
     """Features and labels of at most ``sample_rows`` rows with a language, a null text
-    counting as no row, evenly over the languages."""
-    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    languages = known.select(lang).distinct().count()
-    each = max(sample_rows // max(languages, 1), 1)
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(key), key)
-    chosen = known.select(key, lang).withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= each)
-    ids = [r[0] for r in chosen.select(key).collect()]  # at most sample_rows
+    or key counting as no row, evenly over the languages."""
+    known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     rows = known.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key"))
+    sized = rows.groupBy("lang").count()
+    each = max(sample_rows // max(sized.count(), 1), 1)
+    # about four times as many rows as wanted by a bound on the hash, then the first of them
+    hashed = F.shiftrightunsigned(F.xxhash64("key"), 1).cast("double") / float(1 << 63)
+    thin = rows.drop("text").join(sized, "lang").filter(hashed * F.col("count") < 4.0 * each + 40)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
+    chosen = thin.dropDuplicates(["lang", "key"]).withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= each)
+    ids = sorted({r[0] for r in chosen.select("key").collect()})  # at most sample_rows
     rows = rows.filter(F.col("key").isin(ids)) if ids else rows.limit(0)
+    # of rows that share a key and a language the least text counts
+    rows = rows.groupBy("lang", "key").agg(F.min("text").alias("text")).select("text", "lang", "key")
 
     def features(parts):
         import pyarrow as pa
@@ -136,7 +206,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return fit(x, labels) if labels else None
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text", close: float = 0.7) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, text: str = "text", close: float = 0.03) -> DataFrame:
     """``docs`` with lang_pred, score (0 to 1) and ambiguous; columns of these names are replaced.
 
     A null text, one without a letter and any text under an empty model is ``und`` with score
@@ -156,9 +226,11 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", close: flo
                 named, score, unclear = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
                 rows = [i for i, t in enumerate(texts) if model and has_letter(t)]
                 if rows:
-                    best, top, second = model.decode(model.margins(np.stack([counts(texts[i]) for i in rows])))
-                    for i, b, s, r in zip(rows, best.tolist(), top.tolist(), second.tolist()):
-                        named[i], score[i], unclear[i] = model.languages[b], s, r >= close * s
+                    x = np.stack([counts(texts[i]) for i in rows])
+                    best, top, second, loss = model.decode(model.margins(x))
+                    unsure = (second >= close * top) | model.beyond(x, loss)
+                    for i, b, s, u in zip(rows, best.tolist(), top.tolist(), unsure.tolist()):
+                        named[i], score[i], unclear[i] = model.languages[b], s, u
                 yield pa.RecordBatch.from_arrays(
                     [*piece.columns[: len(kept)], pa.array(named), pa.array(score, pa.float64()), pa.array(unclear)],
                     names=[*kept, *new],

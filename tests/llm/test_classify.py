@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cartloom.llm import langid, licenses, quality
 from tests.llm.conftest import SCHEMA, prose, rows_of_documents
 
@@ -46,8 +47,40 @@ def test_held_out_accuracy(spark):
     got = langid.predict(docs, model).filter("held_out").collect()
     assert len(got) > 20
     assert np.mean([r.lang_pred == r.lang and 0 <= r.score <= 1 for r in got]) > 0.95
-    mixed = spark.createDataFrame([(1, " ".join(spoken(x, 999) for x in ALPHABETS), None, None, 1)], SCHEMA)
-    assert langid.predict(mixed, model, close=0.0).first().ambiguous
+    assert np.mean([r.ambiguous for r in got]) <= 0.05
+
+
+def test_mixed_and_unknown_languages_are_flagged_and_go_from_the_pipeline(spark):
+    rows = [(i, spoken(lang, i), lang, "s", 1) for i, lang in enumerate(list(ALPHABETS) * 80)]
+    pairs = [(a, b) for a in ALPHABETS for b in ALPHABETS if a != b]
+    rows += [(1000 + i, spoken(a, 500 + i) + " " + spoken(b, 600 + i), None, "s", 1) for i, (a, b) in enumerate(pairs)]
+    unknown = random.Random(7)
+    rows += [(2000 + i, " ".join("".join(unknown.choice("jklmnpqrstvw") for _ in range(5)) for _ in range(60)), None, "s", 1) for i in range(6)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = langid.train(docs, sample_rows=150)
+    got = {r.doc_id: r for r in langid.predict(docs, model).collect()}
+    assert sum(got[i].ambiguous for i in range(240)) <= 5
+    assert sum(got[1000 + i].ambiguous for i in range(6)) >= 5
+    assert all(got[2000 + i].ambiguous for i in range(6))
+    clean, mixed = ([got[i].score for i in keys] for keys in (range(240), range(1000, 1006)))
+    assert np.median(clean) > 0.95 > np.median(mixed)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()}
+    assert sum(i in kept for i in range(1000, 1006)) <= 1 and len(kept & set(range(240))) >= 235
+
+
+def test_temperature_and_bound_are_set_on_rows_that_others_predict():
+    x = np.stack([langid.counts(spoken(lang, i)) for lang in ALPHABETS for i in range(40)])
+    model = langid.fit(x, [lang for lang in ALPHABETS for _ in range(40)])
+    best, top, _, loss = model.decode(model.margins(x))
+    assert 0.9 < top.mean() < 1 and not model.beyond(x, loss).any()
+    assert (np.diff(model.reach) <= 0).all() and model.reach[-1] < 2
+
+
+def test_the_sample_is_bounded_whatever_keys_repeat(spark):
+    rows = [(1, spoken("aa", i), "aa", "s", 1) for i in range(500)] + [(i, spoken("bb", i), "bb", "s", 1) for i in range(2, 900)]
+    rows += [(None, "no key", "bb", "s", 1)]
+    x, labels = langid.sample(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", "lang", 100)
+    assert labels.count("aa") <= 1 and labels.count("bb") == 50 and len(x) == len(labels)
 
 
 def test_language_edge_cases(docs, nothing):
