@@ -154,8 +154,9 @@ def _mixed(token: Column) -> Column:
 def pair_counts(texts: DataFrame, text: Column) -> dict[tuple[bool, str], int]:
     """How often each pair of neighbours occurs in runs of candidate characters with and without
     letters of both cases, over the whole table: at most two rows per pair of ``SYMBOLS``."""
-    words = texts.select(F.explode(F.split(text, "[^A-Za-z0-9+/_=-]+")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    words = words.filter(F.length("w") > 1)
+    # one blank is split without a pattern, and each distinct piece meets the pattern once
+    pieces = texts.select(F.explode(F.split(text, " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    words = pieces.select("n", F.explode(F.split("w", "[^A-Za-z0-9+/_=-]+")).alias("w")).filter(F.length("w") > 1)
     # a long run is cut into blocks of 64 and the character after them
     blocks = F.regexp_extract_all("w", F.lit("(?=(.{2,65})).{1,64}"), F.lit(1))
     cut = words.select("n", _mixed(F.col("w")).alias("mixed"), F.explode(blocks).alias("w"))
