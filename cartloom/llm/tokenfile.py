@@ -1,20 +1,23 @@
 """Token ids in files, compressed by an adaptive context-mixing range coder.
 
 A file holds chunks, records of consecutive whole documents. The ids of a chunk are cut into
-blocks of equal length which are coded independently: each starts from empty models and has a
+blocks of equal length which are coded independently: each starts from fresh models and has a
 checksum, so one damaged block loses no other and one block can be read alone. Coder and
-decoder step through all blocks of a chunk at once, an id of each per step, in arrays.
-
-An id is coded as a flag and, if need be, bytes. Contexts of order 2 (the two ids before), order 1
-and order 0 each predict an id; the highest order that knows its context makes the guess. The
-flag tells whether the guess is right. Its probability is mixed from three adaptive ones,
-chosen by the confidence of order 2, that of order 1, and the last flags, with weights that
-follow their errors. Wrong guesses are followed by the bytes of the id, highest first, under
-frequencies of the block so far. All arithmetic is in integers, so every machine decodes alike.
+decoder step through many blocks of a chunk at once, an id of each per step, in arrays.
+
+The head of a chunk lists its distinct ids with their counts. Three orders predict the next id:
+order 2 the id that last followed the two before, order 1 the one that last followed the one
+before, order 0 every id by its share in the chunk. The guess of the highest order that has
+one is accepted or refused by a binary decision; its probability is mixed in the logistic domain
+from how often such guesses of order 2 and of order 1 were right in this block, the last decisions,
+and the share of the guess itself, with weights that follow their errors. If it is refused, the guess of
+order 1 is tried likewise where it is another, and then the id is coded by its share among the
+ids not refused first. All arithmetic is in integers, so every machine decodes alike.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 
@@ -26,152 +29,147 @@ from pyspark.sql import functions as F
 from cartloom.llm.bytebpe import encoder
 from cartloom.llm.common import new_path
 
-MAGIC = b"CMX1"
+MAGIC = b"CMX2"
 BLOCK = 2048
-#: Ids of a chunk, about; a chunk is held in memory by the task that codes it.
+#: Ids of a chunk, about: a document that is longer is a chunk by itself.
 CHUNK = 2048 * BLOCK
-_HEAD = struct.Struct("<4sIIBI")  # magic, ids, ids of a block, bytes of an id, documents
-_ORDER1, _ORDER2 = 11, 12  # bits of the tables of predictions
-_TOTAL = 12  # bits of a frequency total
+#: Blocks that are coded at once; the models of these are in memory together.
+ABREAST = 2048
+_COLUMNS = "part int, ahead long, n_ids long, chunk binary"
+_HEAD = struct.Struct("<4sQIIII")  # magic, ids, ids of a block, documents, bytes of the tables of documents and ids
+_ORDER1, _ORDER2 = 11, 12  # bits of the tables of guesses of a block
+_ONE = 1 << 16  # a probability of one
+_LEAST = 48
+
+#: ln(p / (1 - p)) in 1/256 for probabilities in 1/4096, and the way back in 1/65536.
+_STRETCH = np.array([round(256 * math.log((i + 0.5) / (4095.5 - i))) for i in range(4096)], np.int64)
+_SQUASH = np.array([min(max(round(_ONE / (1 + math.exp(-i / 256))), _LEAST), _ONE - _LEAST) for i in range(-2400, 2401)], np.int64)
+
+
+class _Shares:
+    """Order 0: the share of each symbol of a chunk as an interval of ``total``, and in the logistic domain."""
+
+    def __init__(self, counts: np.ndarray):
+        self.size = np.maximum(counts.astype(np.int64) >> max(int(counts.sum()).bit_length() - 24, 0), 1)
+        self.start = np.cumsum(self.size) - self.size
+        self.total = int(self.size.sum())
+        self.stretched = _STRETCH[np.minimum(self.size * 4096 // self.total, 4095)]
+        self.common = int(self.size.argmax())
 
 
 class _Models:
-    """The adaptive state of ``n`` blocks, and the prediction of their next ids."""
+    """The adaptive state of ``n`` blocks, and the predictions of their next symbols."""
 
-    def __init__(self, n: int, planes: int):
-        self.n, self.planes = n, planes
+    def __init__(self, n: int, shares: _Shares):
+        self.shares = shares
         row = np.arange(n, dtype=np.int64)
-        self.at1, self.at2 = row << _ORDER1, row << _ORDER2
-        self.first = np.zeros(n << _ORDER1, np.uint32)  # id * 4 + confidence
-        self.second = np.zeros(n << _ORDER2, np.uint32)
-        self.last = np.zeros(n, np.int64)
-        self.before = np.zeros(n, np.int64)
-        self.common, self.votes = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        self.at8 = row << 3
-        self.hits = [np.full(n << 3, 1 << 15, np.int64) for _ in range(3)]
-        self.weights = [np.full(n, 96, np.int64), np.full(n, 96, np.int64)]
-        self.history = np.zeros(n, np.int64)
-        # of the byte planes; the lowest has two tables, for ids below 256 and others
-        self.counts = [np.ones((n, 256), np.int32) for _ in range(planes + 1)]
-        self.at256, self.at257 = row << 8, row * 257
-        self.bounds: list[np.ndarray] = []
-        self.refresh()
-
-    def refresh(self) -> None:
-        """Frequencies of bytes from their counts so far, each at least one."""
-        self.bounds = []
-        scale = (1 << _TOTAL) - 256
-        for c in self.counts:
-            # long blocks count further than 32 bits hold the product
-            wide = np.int64 if int(c.max(initial=0)) >= (1 << 31) // scale else np.int32
-            f = 1 + c.astype(wide, copy=False) * scale // c.sum(1, keepdims=True, dtype=wide)
-            bound = np.zeros((self.n, 257), np.int32)
-            np.cumsum(f, 1, out=bound[:, 1:])
-            bound[:, 256] = 1 << _TOTAL
-            self.bounds.append(bound.ravel())
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """The guess, and the probability of 2^12 that it is right."""
-        self.i1 = self.at1 + ((self.last * 0x9E5) >> 1 & ((1 << _ORDER1) - 1))
-        self.i2 = self.at2 + ((self.last * 0x2F0B5 + self.before * 0x1B3) >> 3 & ((1 << _ORDER2) - 1))
-        self.e1, self.e2 = self.first[self.i1].astype(np.int64), self.second[self.i2].astype(np.int64)
-        c1, c2, id1 = self.e1 & 3, self.e2 & 3, self.e1 >> 2
-        guess = np.where(c2 > 0, self.e2 >> 2, np.where(c1 > 0, id1, self.common))
-        self.contexts = [self.at8 + c2 * 2 + (id1 == guess), self.at8 + c1 * 2 + (self.common == guess), self.at8 + self.history]
-        self.chances = [h[i] for h, i in zip(self.hits, self.contexts)]
-        a, b, c = self.chances
-        wa, wb = self.weights
-        mixed = (wa * a + wb * b + (256 - wa - wb) * c) >> 12
-        return guess, np.minimum(np.maximum(mixed, 24), (1 << _TOTAL) - 24)
-
-    def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
+        self.at1, self.at2, self.at8, self.at16 = row << _ORDER1, row << _ORDER2, row << 3, row << 4
+        self.first = np.zeros(n << _ORDER1, np.int32)  # (symbol + 1) * 4 + confidence
+        self.second = np.zeros(n << _ORDER2, np.int32)
+        self.last, self.before, self.history = (np.zeros(n, np.int64) for _ in range(3))
+        # chances that guesses were right, by confidence of each order and whether it agrees, and by the last decisions
+        by_trust = np.repeat(np.array([3, 8, 24, 48]) << 10, 2)
+        self.right = [np.tile(by_trust, n), np.tile(by_trust, n), np.full(n << 3, _ONE // 8)]
+        self.weights = [np.full(n << 4, w << 8, np.int64) for w in (100, 80, 30, 60)]
+        self.right_next = np.full(n << 4, _ONE // 16)  # of the second guess
+
+    def guess(self) -> tuple[np.ndarray, np.ndarray]:
+        """The first guess and the chance that it is right."""
+        self.i1 = self.at1 + ((self.last * 0x9E5 + (self.last >> 11)) & ((1 << _ORDER1) - 1))
+        self.i2 = self.at2 + ((self.last * 0x2F0B5 + self.before * 0x1B3 >> 3) & ((1 << _ORDER2) - 1))
+        self.e1, self.e2 = self.first[self.i1], self.second[self.i2]
+        self.g1 = np.where(self.e1 > 0, (self.e1 >> 2) - 1, self.shares.common)
+        self.g2 = np.where(self.e2 > 0, (self.e2 >> 2) - 1, self.g1)
+        agree = self.g1 == self.g2
+        c1, c2 = self.e1 & 3, self.e2 & 3
+        self.slots = [self.at8 + (c2 * 2 + agree), self.at8 + (c1 * 2 + agree), self.at8 + self.history]
+        self.chances = [r[i] for r, i in zip(self.right, self.slots)]
+        self.inputs = [_STRETCH[p >> 4] for p in self.chances] + [self.shares.stretched[self.g2]]
+        self.set = self.at16 + (c2 * 4 + c1)
+        self.used = [w[self.set] for w in self.weights]
+        total = sum(w * s for w, s in zip(self.used, self.inputs)) >> 16
+        self.mixed = _SQUASH[np.minimum(np.maximum(total, -2400), 2400) + 2400]
+        return self.g2, self.mixed
+
+    def learn_guess(self, hit: np.ndarray) -> None:
         target = hit.astype(np.int64) << 16
-        errors = []
-        for h, i, p in zip(self.hits, self.contexts, self.chances):
-            off = target - p
-            h[i] = p + (off >> 4)
-            errors.append(np.abs(off))
-        middle = (errors[0] + errors[1] + errors[2]) // 3
-        for k in (0, 1):
-            w = self.weights[k] + ((middle - errors[k]) >> 11)
-            self.weights[k] = np.minimum(np.maximum(w, 16), 112)
+        for r, i, p in zip(self.right, self.slots, self.chances):
+            r[i] = p + ((target - p) >> 5)
+        off = target - self.mixed
+        for w, u, s in zip(self.weights, self.used, self.inputs):
+            w[self.set] = u + (s * off >> 15)
         self.history = (self.history << 1 | hit) & 7
+
+    def second_guess(self, missed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the ``missed`` rows have another guess, and the chance that it is right."""
+        rows = missed[self.g1[missed] != self.g2[missed]]
+        self.slot = self.set[rows]
+        self.chance = self.right_next[self.slot]
+        return rows, np.minimum(np.maximum(self.chance, _LEAST), _ONE - _LEAST)
+
+    def learn_second(self, hit: np.ndarray) -> None:
+        self.right_next[self.slot] = self.chance + (((hit.astype(np.int64) << 16) - self.chance) >> 5)
+
+    def learn(self, got: np.ndarray) -> None:
         for table, i, e in ((self.first, self.i1, self.e1), (self.second, self.i2, self.e2)):
-            c = e & 3
-            same = (e >> 2) == ids
-            kept = np.where(same, e + (c < 3), np.where(c > 1, e - 1, ids * 4 + 1))
-            table[i] = kept
-        self.votes += np.where(self.common == ids, 1, -1)
-        lost = self.votes < 0
-        self.common = np.where(lost, ids, self.common)
-        self.votes[lost] = 1
-        self.before, self.last = self.last, ids
-
-
-def _refreshed(step: int) -> bool:
-    return step in (16, 48, 96) or (step & 127 == 0 and step > 0)
-
-
-def encode_blocks(ids: np.ndarray, block: int, planes: int) -> list[bytes]:
-    """The coded words of each block of ``ids`` (the last one padded with zeros)."""
-    n = -(-len(ids) // block)
-    grid = np.zeros(n * block, np.int64)
-    grid[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.reshape(n, block).T)
-    m = _Models(n, planes)
-    low, span = np.zeros(n, np.int64), np.full(n, (1 << 32) - 1, np.int64)
-    words = np.zeros((n, block + 64), np.uint32)
-    used = np.zeros(n, np.int64)
-
-    def put(rows: np.ndarray | None, start: np.ndarray, size: np.ndarray) -> None:
-        nonlocal words, low, span
-        if rows is None:
-            r = span >> _TOTAL
-            low += r * start
-            span = r * size
-            short = np.flatnonzero(span < 65536)
-        else:
-            r = span[rows] >> _TOTAL
-            low[rows] += r * start
-            r *= size
-            span[rows] = r
-            short = rows[np.flatnonzero(r < 65536)]
-        if len(short):
-            if used.max() + 2 >= words.shape[1]:
+            sure = e & 3
+            same = (e >> 2) - 1 == got
+            table[i] = np.where(same, e + (sure < 3), np.where(sure > 1, e - 1, got * 4 + 4))
+        self.before, self.last = self.last, got
+
+
+def _encode(grid: np.ndarray, shares: _Shares) -> list[bytes]:
+    """The coded words of each column of ``grid``."""
+    block, n = grid.shape
+    m = _Models(n, shares)
+    low, span = np.zeros(n, np.int64), np.full(n, (1 << 48) - 1, np.int64)
+    words, used = np.zeros((n, block * 2 + 8), np.uint32), np.zeros(n, np.int64)
+
+    def settle(rows: np.ndarray) -> None:
+        """Write a word of each row whose span is short."""
+        nonlocal words
+        while len(rows):
+            if used.max() + 4 >= words.shape[1]:
                 words = np.concatenate((words, np.zeros_like(words)), 1)
-            x = low[short]
-            words[short, used[short]] = x >> 16  # the 17th bit is a carry, settled at the end
-            used[short] += 1
-            low[short] = (x & 0xFFFF) << 16
-            span[short] <<= 16
+            x = low[rows]
+            words[rows, used[rows]] = x >> 32  # the 17th bit is a carry, settled at the end
+            used[rows] += 1
+            low[rows] = (x & 0xFFFFFFFF) << 16
+            span[rows] <<= 16
+            rows = rows[span[rows] < 1 << 32]
 
     for step in range(block):
-        if _refreshed(step):
-            m.refresh()
-        x = grid[step]
-        guess, p = m.predict()
+        x = grid[step].astype(np.int64)
+        guess, chance = m.guess()
         hit = guess == x
-        put(None, np.where(hit, 0, p), np.where(hit, p, (1 << _TOTAL) - p))
-        rows = np.flatnonzero(~hit)
-        if len(rows):
-            y, upper = x[rows], 0
-            for plane in range(planes - 1, -1, -1):
-                b = (y >> (8 * plane)) & 255
-                if plane:
-                    upper = upper | b
-                    _put_byte(m, plane + 1, rows, b, put)
-                else:
-                    for t, part in ((0, upper == 0), (1, upper != 0)):
-                        k = np.flatnonzero(part)
-                        if len(k):
-                            _put_byte(m, t, rows[k], b[k], put)
-        m.learn(x, hit)
-    for shift in (16, 0):
-        if used.max() + 1 >= words.shape[1]:
+        bound = (span >> 16) * chance
+        low += np.where(hit, 0, bound)
+        span = np.where(hit, bound, span - bound)
+        settle(np.flatnonzero(span < 1 << 32))
+        m.learn_guess(hit)
+        missed = np.flatnonzero(~hit)
+        if len(missed):
+            rows, chance = m.second_guess(missed)
+            hit = m.g1[rows] == x[rows]
+            s = span[rows]
+            bound = (s >> 16) * chance
+            low[rows] += np.where(hit, 0, bound)
+            span[rows] = s = np.where(hit, bound, s - bound)
+            settle(rows[s < 1 << 32])
+            m.learn_second(hit)
+            missed = missed[m.g1[missed] != x[missed]]
+            y, g = x[missed], guess[missed]
+            r = span[missed] // (shares.total - shares.size[g])
+            low[missed] += r * (shares.start[y] - np.where(y > g, shares.size[g], 0))
+            span[missed] = s = r * shares.size[y]
+            settle(missed[s < 1 << 32])
+        m.learn(x)
+    for _ in range(3):
+        if used.max() + 4 >= words.shape[1]:
             words = np.concatenate((words, np.zeros_like(words)), 1)
-        words[np.arange(n), used] = low >> 16
+        words[np.arange(n), used] = low >> 32
         used += 1
-        low = (low & 0xFFFF) << 16
+        low = (low & 0xFFFFFFFF) << 16
     carry = np.zeros(n, np.uint32)
     for k in range(int(used.max()) - 1, -1, -1):
         w = words[:, k] + carry
@@ -179,102 +177,104 @@ def encode_blocks(ids: np.ndarray, block: int, planes: int) -> list[bytes]:
     return [words[i, : used[i]].astype("<u2").tobytes() for i in range(n)]
 
 
-def _put_byte(m: _Models, table: int, rows: np.ndarray, b: np.ndarray, put) -> None:
-    at = m.at257[rows] + b
-    start = m.bounds[table][at].astype(np.int64)
-    put(rows, start, m.bounds[table][at + 1] - start)
-    m.counts[table].ravel()[m.at256[rows] + b] += 24
-
-
-def decode_blocks(coded: list[bytes], block: int, planes: int) -> np.ndarray:
-    """Ids of each block, a row of ``block`` ids for each."""
+def _decode(coded: list[bytes], block: int, shares: _Shares) -> np.ndarray:
+    """Symbols of each block, a row for each."""
     n = len(coded)
     longest = max(len(c) for c in coded) // 2 + 4
     words = np.zeros((n, longest), np.int64)
     for i, c in enumerate(coded):
         words[i, : len(c) // 2] = np.frombuffer(c, "<u2")
     words = words.ravel()
-    at = np.arange(n, dtype=np.int64) * longest
-    code, span = words[at] << 16 | words[at + 1], np.full(n, (1 << 32) - 1, np.int64)
-    at += 2
-    m = _Models(n, planes)
-    grid = np.zeros((block, n), np.int64)
-
-    def narrow(rows: np.ndarray, c: np.ndarray, s: np.ndarray) -> None:
-        """Take the coded interval back into the state, with new words where it is short."""
-        short = np.flatnonzero(s < 65536)
-        if len(short):
-            k = rows[short]
-            c[short] = c[short] << 16 | words[at[k]]
-            s[short] <<= 16
-            at[k] += 1
-        code[rows], span[rows] = c, s
-
-    def get_byte(table: int, rows: np.ndarray) -> np.ndarray:
-        r = span[rows] >> _TOTAL
-        c = code[rows]
-        v = np.minimum(c // r, (1 << _TOTAL) - 1)
-        bounds, base = m.bounds[table], m.at257[rows]
-        b = np.zeros(len(rows), np.int64)
-        for bit in (128, 64, 32, 16, 8, 4, 2, 1):
-            b += bit * (bounds[base + b + bit] <= v)
-        start = bounds[base + b].astype(np.int64)
-        size = bounds[base + b + 1] - start
-        narrow(rows, c - r * start, r * size)
-        m.counts[table].ravel()[m.at256[rows] + b] += 24
-        return b
-
-    everyone = np.arange(n)
+    at, end = np.arange(n, dtype=np.int64) * longest, np.arange(1, n + 1, dtype=np.int64) * longest - 1
+    code, span = words[at] << 32 | words[at + 1] << 16 | words[at + 2], np.full(n, (1 << 48) - 1, np.int64)
+    at += 3
+    m = _Models(n, shares)
+    grid = np.zeros((block, n), np.int32)
+
+    def settle(rows: np.ndarray) -> None:
+        """Take a word into each row whose span is short."""
+        while len(rows):
+            k = at[rows]
+            code[rows] = code[rows] << 16 | words[k]
+            at[rows] = np.minimum(k + 1, end[rows])  # a damaged block may ask for more
+            span[rows] = np.maximum(span[rows], 1) << 16
+            rows = rows[span[rows] < 1 << 32]
+
     for step in range(block):
-        if _refreshed(step):
-            m.refresh()
-        guess, p = m.predict()
-        r = span >> _TOTAL
-        bound = r * p
+        guess, chance = m.guess()
+        bound = (span >> 16) * chance
         hit = code < bound
-        narrow(everyone, np.where(hit, code, code - bound), np.where(hit, bound, r * ((1 << _TOTAL) - p)))
-        x = np.where(hit, guess, 0)
-        rows = np.flatnonzero(~hit)
-        if len(rows):
-            upper = np.zeros(len(rows), np.int64)
-            for plane in range(planes - 1, 0, -1):
-                upper = upper << 8 | get_byte(plane + 1, rows)
-            lowest = np.zeros(len(rows), np.int64)
-            for t, part in ((0, upper == 0), (1, upper != 0)):
-                k = np.flatnonzero(part)
-                if len(k):
-                    lowest[k] = get_byte(t, rows[k])
-            x[rows] = upper << 8 | lowest
+        code -= np.where(hit, 0, bound)
+        span = np.where(hit, bound, span - bound)
+        settle(np.flatnonzero(span < 1 << 32))
+        m.learn_guess(hit)
+        x = guess.astype(np.int64)
+        missed = np.flatnonzero(~hit)
+        if len(missed):
+            rows, chance = m.second_guess(missed)
+            s, c = span[rows], code[rows]
+            bound = (s >> 16) * chance
+            hit = c < bound
+            code[rows] = np.where(hit, c, c - bound)
+            span[rows] = s = np.where(hit, bound, s - bound)
+            settle(rows[s < 1 << 32])
+            m.learn_second(hit)
+            x[missed] = -1
+            x[rows[hit]] = m.g1[rows[hit]]
+            missed = missed[x[missed] < 0]
+            g = guess[missed]
+            rest = np.maximum(shares.total - shares.size[g], 1)
+            r = span[missed] // rest
+            c = code[missed]
+            v = np.minimum(c // r, rest - 1)
+            v += np.where(v >= shares.start[g], shares.size[g], 0)
+            y = np.minimum(np.searchsorted(shares.start, v, "right") - 1, len(shares.start) - 1)
+            x[missed] = y
+            code[missed] = c - r * (shares.start[y] - np.where(y > g, shares.size[g], 0))
+            span[missed] = s = r * shares.size[y]
+            settle(missed[s < 1 << 32])
         grid[step] = x
-        m.learn(x, hit)
+        m.learn(x)
     return grid.T
 
 
 def write_chunk(keys: list[int | None], lengths: list[int], ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """A chunk: head, compressed table of documents, sizes and checksums of blocks, blocks."""
-    planes = max(2, -(-int(ids.max(initial=0)).bit_length() // 8))
-    coded = encode_blocks(ids, block, planes) if len(ids) else []
-    raw = ids.astype("<u4").tobytes()
-    sums = [zlib.crc32(raw[4 * i * block : 4 * (i + 1) * block]) for i in range(len(coded))]
+    """A chunk: head, compressed tables of documents and of ids, sizes and checksums of blocks, blocks."""
+    ids = ids.astype("<u4", copy=False)
+    names, symbols, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    shares = _Shares(counts) if len(ids) else None
+    coded: list[bytes] = []
+    width, steps = max(ABREAST * BLOCK // block, 1), min(block, len(ids))
+    for lo in range(0, len(ids), width * block):
+        part = symbols[lo : lo + width * block]
+        n = -(-len(part) // block)
+        grid = np.zeros(n * steps, np.int32)
+        grid[: len(part)] = part
+        coded += _encode(np.ascontiguousarray(grid.reshape(n, steps).T), shares)
+    sums = [zlib.crc32(ids[i * block : (i + 1) * block].tobytes()) for i in range(len(coded))]
     known = np.array([k is not None for k in keys], np.uint8)
     numbers = np.array([0 if k is None else k for k in keys], "<i8")
     table = zlib.compress(numbers.tobytes() + np.array(lengths, "<u4").tobytes() + known.tobytes(), 1)
-    head = _HEAD.pack(MAGIC, len(ids), block, planes, len(keys))
+    gaps = np.diff(names, prepend=np.uint32(0)).astype("<u4")
+    alphabet = zlib.compress(gaps.tobytes() + counts.astype("<u4").tobytes(), 9)
+    head = _HEAD.pack(MAGIC, len(ids), block, len(keys), len(table), len(alphabet))
     sizes = np.array([len(c) for c in coded], "<u4").tobytes()
-    return b"".join([head, struct.pack("<I", len(table)), table, sizes, np.array(sums, "<u4").tobytes(), *coded])
+    return b"".join([head, table, alphabet, sizes, np.array(sums, "<u4").tobytes(), *coded])
 
 
 def read_chunk(chunk: bytes, only: list[int] | None = None) -> tuple[list[int | None], list[int], np.ndarray]:
     """Keys, lengths and ids of a chunk; with ``only``, the ids of these blocks alone.
 
     Raises ValueError where a checksum does not fit."""
-    magic, n, block, planes, documents = _HEAD.unpack_from(chunk)
+    magic, n, block, documents, of_documents, of_ids = _HEAD.unpack_from(chunk)
     if magic != MAGIC:
         raise ValueError("not a chunk of token ids")
     at = _HEAD.size
-    (size,) = struct.unpack_from("<I", chunk, at)
-    table = zlib.decompress(chunk[at + 4 : at + 4 + size])
-    at += 4 + size
+    table = zlib.decompress(chunk[at : at + of_documents])
+    at += of_documents
+    gaps, counts = np.frombuffer(zlib.decompress(chunk[at : at + of_ids]), "<u4").reshape(2, -1)
+    at += of_ids
+    names = np.cumsum(gaps, dtype="<u4")
     known = np.frombuffer(table, np.uint8, documents, 12 * documents).tolist()
     keys = [k if there else None for k, there in zip(np.frombuffer(table, "<i8", documents).tolist(), known)]
     lengths = np.frombuffer(table, "<u4", documents, 8 * documents).tolist()
@@ -285,13 +285,16 @@ def read_chunk(chunk: bytes, only: list[int] | None = None) -> tuple[list[int |
     chosen = list(range(blocks)) if only is None else only
     if not chosen:
         return keys, lengths, np.zeros(0, "<u4")
-    grid = decode_blocks([chunk[begins[i] : begins[i + 1]] for i in chosen], block, planes).astype("<u4")
-    parts = []
-    for i, row in zip(chosen, grid):
-        row = row[: min(block, n - i * block)]
-        if zlib.crc32(row.tobytes()) != sums[i]:
-            raise ValueError(f"block {i} is damaged")
-        parts.append(row)
+    shares, parts = _Shares(counts), []
+    width = max(ABREAST * BLOCK // block, 1)
+    for lo in range(0, len(chosen), width):
+        some = chosen[lo : lo + width]
+        grid = names[_decode([chunk[begins[i] : begins[i + 1]] for i in some], min(block, n), shares)]
+        for i, row in zip(some, grid):
+            row = row[: min(block, n - i * block)]
+            if zlib.crc32(row.tobytes()) != sums[i]:
+                raise ValueError(f"block {i} is damaged")
+            parts.append(row)
     return keys, lengths, np.concatenate(parts)
 
 
@@ -300,7 +303,9 @@ def write(docs: DataFrame, path: str, target: str, end_id: int, key: str = "doc_
     ascending order of ``key`` (a whole number; nulls come first and stay null) to ``target``.
 
     The files are Spark's, so a lost task leaves no half file: a row per chunk with its place
-    (``part``, ``seq``), its number of ids and its bytes. An empty table gives none."""
+    (``part``, ids of the part ``ahead`` of it), its number of ids and its bytes. An empty table gives
+    none. A very long text is one chunk: its ids are held whole, as its row is, while its blocks are
+    coded ``ABREAST`` at a time. Other columns are not read, whatever their names."""
     ordered = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     ordered = ordered.repartitionByRange("key").sortWithinPartitions("key")
 
@@ -310,13 +315,13 @@ def write(docs: DataFrame, path: str, target: str, end_id: int, key: str = "doc_
         bpe, end, part = encoder(path), int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId()
         keys: list[int] = []
         bodies: list[bytes] = []
-        held, seq = 0, 0
+        held, ahead = 0, 0
 
         def chunk():
             ids = np.frombuffer(b"".join(bodies), "<u4")
             body = write_chunk(keys, [len(b) // 4 for b in bodies], ids)
-            columns = [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(ids)], pa.int64()), pa.array([body], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["part", "seq", "n_ids", "chunk"])
+            columns = [pa.array([part], pa.int32()), pa.array([ahead], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([body], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "ahead", "n_ids", "chunk"])
 
         for batch in parts:
             for k, value in zip(batch.column(0), batch.column(1)):
@@ -327,57 +332,48 @@ def write(docs: DataFrame, path: str, target: str, end_id: int, key: str = "doc_
                     yield chunk()
                     keys.clear()
                     bodies.clear()
-                    held, seq = 0, seq + 1
+                    held, ahead = 0, ahead + held
         if keys:
             yield chunk()
 
-    chunks = ordered.mapInArrow(code, "part int, seq int, n_ids long, chunk binary")
+    chunks = ordered.mapInArrow(code, _COLUMNS)
     chunks.write.option("compression", "none").parquet(target)
 
 
 def read(spark, target: str, key: str = "doc_id") -> DataFrame:
     """``key``, start (ids of all documents before), n_tokens and ids (binary, little-endian
     unsigned 32-bit) of every document in the files at ``target``."""
-    from pyspark.sql import Window
-
-    chunks = spark.read.schema("part int, seq int, n_ids long, chunk binary").parquet(target)
-    sizes = chunks.select("part", "seq", "n_ids")
-    totals = {r[0]: r[1] for r in sizes.groupBy("part").agg(F.sum("n_ids")).collect()}  # a row per file
-    ahead, starts = 0, []
+    chunks = spark.read.schema(_COLUMNS).parquet(target)
+    # a row per task that wrote, whatever the number of chunks and documents
+    totals = {r[0]: r[1] for r in chunks.groupBy("part").agg(F.sum("n_ids")).collect()}
+    before, starts = 0, []
     for part in sorted(totals):
-        starts.append((part, ahead))
-        ahead += totals[part]
-    before = spark.createDataFrame(starts, "part int, ahead long")
-    running = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
-    places = sizes.join(before, "part").select("part", "seq", (F.col("ahead") + running).alias("base"))
+        starts.append((part, before))
+        before += totals[part]
+    placed = chunks.join(F.broadcast(spark.createDataFrame(starts, "part int, before long")), "part")
 
     def decode(parts):
         import pyarrow as pa
 
-        names = ["key", "start", "n_tokens", "ids", "part", "seq"]
         for batch in parts:
-            for part, seq, chunk in zip(*(batch.column(c) for c in ("part", "seq", "chunk"))):
+            for base, chunk in zip(*(batch.column(c) for c in ("base", "chunk"))):
                 keys, lengths, ids = read_chunk(chunk.as_py())
                 raw = ids.tobytes()
                 ends = np.cumsum(lengths, dtype=np.int64)
                 begins = ends - lengths
                 for lo in range(0, len(keys), 2000):
                     b, e = begins[lo : lo + 2000], ends[lo : lo + 2000]
-                    k = len(b)
                     columns = [
-                        pa.array(keys[lo : lo + k], pa.int64()),
-                        pa.array(b, pa.int64()),
-                        pa.array(lengths[lo : lo + k], pa.int64()),
+                        pa.array(keys[lo : lo + 2000], pa.int64()),
+                        pa.array(b + base.as_py(), pa.int64()),
+                        pa.array(lengths[lo : lo + 2000], pa.int64()),
                         pa.array([raw[4 * x : 4 * y] for x, y in zip(b.tolist(), e.tolist())], pa.binary()),
-                        pa.array([part.as_py()] * k, pa.int32()),
-                        pa.array([seq.as_py()] * k, pa.int32()),
                     ]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "start", "n_tokens", "ids"])
 
-    schema = "key long, start long, n_tokens long, ids binary, part int, seq int"
-    rows = chunks.select("part", "seq", "chunk").mapInArrow(decode, schema)
-    found = rows.join(F.broadcast(places), ["part", "seq"])
-    return found.select(F.col("key").alias(key), (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids")
+    bases = placed.select((F.col("before") + F.col("ahead")).alias("base"), "chunk")
+    rows = bases.mapInArrow(decode, "key long, start long, n_tokens long, ids binary")
+    return rows.select(F.col("key").alias(key), "start", "n_tokens", "ids")
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int, key: str = "doc_id") -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from cartloom.llm import piecebpe, tokenfile
@@ -67,15 +68,46 @@ def test_repeating_ids_take_few_bits():
     assert len(tokenfile.write_chunk([1], [len(ids)], ids)) * 8 / len(ids) < 2
 
 
-def test_counts_of_long_blocks_stay_frequencies():
-    """Counts whose product with the scale needs more than 32 bits."""
-    models = tokenfile._Models(2, 2)
-    for c in models.counts:
-        c[:, 3] = 2_000_000
-    models.refresh()
-    for bound in models.bounds:
-        steps = np.diff(bound.reshape(2, 257))
-        assert (steps >= 1).all() and (steps.argmax(axis=1) == 3).all() and (steps[:, 3] > 3000).all()
+def skewed(n: int, seed: int) -> np.ndarray:
+    """Ids of unequal shares, a tenth of which follow the one before by rule."""
+    r = np.random.default_rng(seed)
+    ids = np.minimum(r.zipf(1.3, n), 50000)
+    ids[9::10] = ids[8::10][: len(ids[9::10])] * 7 % 50001
+    return ids.astype("<u4")
+
+
+@pytest.mark.parametrize("block", [1, 37, 65536])
+def test_blocks_of_any_length(block):
+    ids = skewed(300 if block == 1 else 20000, 3)
+    ids[-len(ids) // 3 :] = 9
+    assert (tokenfile.read_chunk(tokenfile.write_chunk([1], [len(ids)], ids, block))[2] == ids).all()
+
+
+def test_blocks_beyond_those_coded_at_once(monkeypatch):
+    ids = skewed(10000, 4)
+    monkeypatch.setattr(tokenfile, "ABREAST", 1)
+    chunk = tokenfile.write_chunk([1], [len(ids)], ids)
+    assert (tokenfile.read_chunk(chunk)[2] == ids).all()
+    assert (tokenfile.read_chunk(chunk, [4, 1])[2] == np.concatenate((ids[8192:], ids[2048:4096]))).all()
+
+
+def test_below_order_0_and_a_general_compressor():
+    """On the whole texts of a table, against the entropy of their ids and zlib of the same blocks."""
+    bpe = ByteBpe(BYTES)
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])
+    ids = np.frombuffer(b"".join(bpe.ids(t.as_py() or "") + bytes(4) for t in table["text"]), "<u4")
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    bits = 8 * len(tokenfile.write_chunk([1], [len(ids)], ids)) / len(ids)
+    blocks = range(0, len(ids), tokenfile.BLOCK)
+    general = 8 * sum(len(zlib.compress(ids[i : i + tokenfile.BLOCK].astype("<u2").tobytes(), 9)) for i in blocks) / len(ids)
+    assert ids.max() < 1 << 16 and bits < 0.95 * -(share * np.log2(share)).sum() and bits < 0.8 * general
+
+
+def test_tables_round_alike_everywhere():
+    """No entry is so near to a half that another machine's logarithm could round it otherwise."""
+    p = np.arange(4096) + 0.5
+    for x in (256 * np.log(p / (4096 - p)), tokenfile._ONE / (1 + np.exp(-np.arange(-2400, 2401) / 256))):
+        assert np.abs(np.abs(x - np.floor(x)) - 0.5).min() > 1e-8
 
 
 def test_null_keys(spark):
