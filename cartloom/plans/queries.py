@@ -19,6 +19,7 @@ from cartloom.operators import recommend as R
 from cartloom.operators import sampling as S
 from cartloom.operators import text as TX
 from cartloom.operators.boosting import fit_newton, predict_newton
+from cartloom.operators.logistic import INTERCEPT, fit_logistic
 from cartloom.operators.svd import checks, truncated_svd
 from cartloom.plans.data import MODELS, Data
 from cartloom.schemas import ROW_ORDER
@@ -84,22 +85,19 @@ def sink_roundtrip(d: Data) -> DataFrame:
 
 
 def _sums(tables: dict[str, DataFrame]) -> DataFrame:
-    """Rows, columns, values present and the sum of all numbers of each table."""
-    rows = []
+    """Of each column of each table: rows, values present, and the sum of its numbers or of the
+    lengths of its texts. Two columns that change places show."""
+    found = []
     for name, df in tables.items():
-        numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
-        present = sum((F.count(c) for c in df.columns), F.lit(0))
-        total = sum((F.coalesce(F.sum(F.col(c).cast("double")), F.lit(0.0)) for c in numbers), F.lit(0.0))
-        rows.append(
-            df.agg(
-                F.lit(name).alias("table_name"),
-                F.count("*").alias("n_rows"),
-                F.lit(len(df.columns)).alias("n_columns"),
-                present.alias("n_values"),
-                F.round(total, 3).alias("total"),
-            )
-        )
-    return reduce(DataFrame.unionByName, rows)
+        columns = []
+        for field in df.schema:
+            number = F.col(field.name) if isinstance(field.dataType, T.NumericType) else F.length(field.name)
+            total = F.round(F.coalesce(F.sum(number.cast("double")), F.lit(0.0)), 3)
+            of_column = (F.lit(field.name).alias("column_name"), F.count(field.name).alias("n_values"), total.alias("total"))
+            columns.append(F.struct(*of_column))
+        sums = df.agg(F.lit(name).alias("table_name"), F.count("*").alias("n_rows"), F.array(*columns).alias("columns"))
+        found.append(sums.select("table_name", "n_rows", F.inline("columns")))
+    return reduce(DataFrame.unionByName, found)
 
 
 @query
@@ -529,6 +527,28 @@ def model_learns(d: Data) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 
 
+@query
+def logistic_certificate(d: Data) -> DataFrame:
+    """That the Newton fit on the training pairs is the optimum: per term its mean and deviation, the
+    gradient (zero), whether the objective curves upwards, and whether Spark's coefficient is the same."""
+    train = d.split_matrix.filter(F.col("split") == "train")
+    found = fit_logistic(train, X.SERVING_FEATURES)
+    spark_fit = d.model("logistic").stages[-1]
+    others = (*spark_fit.coefficients.toArray().tolist(), float(spark_fit.intercept))
+    terms = [(t, float(w)) for t, w in zip((*X.SERVING_FEATURES, INTERCEPT), others)]
+    table = found.table(d.spark).join(d.spark.createDataFrame(terms, "term string, other double"), "term")
+    near = F.abs(F.col("weight") - F.col("other")) <= 1e-3 * (1 + F.abs("weight"))
+    return table.select(
+        "term",
+        "n_rows",
+        F.round("mean", 6).alias("mean"),
+        F.round("deviation", 6).alias("deviation"),
+        (F.round(F.abs("gradient"), 7)).alias("gradient"),
+        (F.col("curvature") > 0).alias("curves_upwards"),
+        near.alias("agrees"),
+    )
+
+
 @query
 def align_features(d: Data) -> DataFrame:
     """Model input from rows in which one feature is absent: it counts as 0."""
@@ -563,9 +583,9 @@ def package_roundtrip(d: Data) -> DataFrame:
     scores = same.agg(
         F.lit("scores").alias("table_name"),
         F.count("*").alias("n_rows"),
-        F.lit(len(loaded.features)).alias("n_columns"),
+        F.lit("features").alias("column_name"),
         zero.alias("n_values"),
-        F.lit(0.0).alias("total"),
+        F.lit(float(len(loaded.features))).alias("total"),
     )
     return contents.unionByName(scores)
 

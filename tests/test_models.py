@@ -2,11 +2,14 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cartloom.operators import evaluate as E
 from cartloom.operators import features as X
 from cartloom.operators import models as M
+from cartloom.operators.logistic import _derivatives, fit_logistic, predict_logistic
 from cartloom.sources.package import Package, load_package, save_package
 from tests.conftest import keyed, rows
 
@@ -90,3 +93,41 @@ def test_training_rows_use_past_orders_only(shop):
     assert {k: r["reordered"] for k, r in got.items()} == {
         (1, 10): 1, (1, 20): 1, (1, 30): 0, (1, 50): 0, (4, 20): 0,
     }
+
+
+def test_newton_fit_is_the_optimum(spark, matrix):
+    """Against the library's fit of the same objective, and by its own certificate."""
+    found = fit_logistic(matrix, X.SERVING_FEATURES)
+    assert max(map(abs, found.gradient)) < 1e-9 < found.curvature
+    assert all(later <= earlier + 1e-12 for earlier, later in zip(found.losses, found.losses[1:]))
+    other = M.fit(M.logistic(X.SERVING_FEATURES, matrix.count()), matrix)
+    assert found.weights == pytest.approx((*other.stages[-1].coefficients, other.stages[-1].intercept), abs=2e-3)
+    keys = ["user_id", "product_id"]
+    both = predict_logistic(found, matrix, keys).join(M.predict(other, matrix, keys).withColumnRenamed("reorder_probability", "o"), keys)
+    assert both.filter("abs(reorder_probability - o) > 1e-3").count() == 0
+    assert found.table(spark).count() == len(X.SERVING_FEATURES) + 1
+
+
+def test_a_moved_weight_has_a_gradient(matrix):
+    """The certificate fails for weights that are not the optimum."""
+    known = matrix.withColumn("y", matrix["reordered"].cast("double"))
+    found = fit_logistic(matrix, X.SERVING_FEATURES)
+    moved = np.array(found.weights)
+    moved[3] += 0.01
+    at_moved = _derivatives(known.select("y", *found.features), found.centre, found.scale, moved, found.n_rows, 1 / found.n_rows)
+    assert np.abs(at_moved[1]).max() > 1e-4
+
+
+def test_newton_fit_of_odd_rows(spark, matrix):
+    """Null features are zeros, a constant one has no weight, rows without a label do not count."""
+    feature = X.SERVING_FEATURES[0]
+    odd = matrix.withColumn(feature, F.lit(None).cast("double")).unionByName(
+        matrix.limit(5).withColumn("reordered", F.lit(None).cast("int"))
+    )
+    found = fit_logistic(odd, X.SERVING_FEATURES)
+    assert found.weights[0] == 0 and found.n_rows == matrix.count()
+    assert fit_logistic(matrix.drop(feature), X.SERVING_FEATURES).weights == pytest.approx(found.weights)
+    with pytest.raises(ValueError, match="both labels"):
+        fit_logistic(matrix.filter("reordered = 1"), X.SERVING_FEATURES)
+    with pytest.raises(ValueError, match="both labels"):
+        fit_logistic(matrix.limit(0), X.SERVING_FEATURES)

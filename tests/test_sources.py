@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.errors import AnalysisException
 
+from cartloom.plans.queries import _sums
 from cartloom.schemas import TABLES
 from cartloom.sources import star
 from cartloom.sources.stage import forget_staged, shared_folder, staged
@@ -141,3 +142,10 @@ def test_star_orders_split_hot_users(spark):
     """Numbering in slices gives what one window gives."""
     raw = star.raw(spark, "/root/testdata/sf0.001", "orders")
     assert rows(star.map_orders(raw, group_rows=3)) == rows(star.map_orders(raw))
+
+
+def test_column_sums_show_columns_that_change_places(spark):
+    table = spark.createDataFrame([(1, 2, "a"), (3, 4, None)], "a long, b long, c string")
+    swapped = table.select(table["b"].alias("a"), table["a"].alias("b"), "c")
+    assert rows(_sums({"t": table})) != rows(_sums({"t": swapped}))
+    assert rows(_sums({"t": table}).filter("column_name = 'c'")) == [("t", 2, "c", 1, 1.0)]
