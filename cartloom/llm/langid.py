@@ -173,10 +173,13 @@ def sample(docs: DataFrame, key: str, text: str, lang: str, sample_rows: int) ->
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull())
     rows = known.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(key).alias("key"))
     sized = rows.groupBy("lang").count()
-    each = max(sample_rows // max(sized.count(), 1), 1)
+    languages = sized.count()
+    each = max(sample_rows // max(languages, 1), 1)
     # about four times as many rows as wanted by a bound on the hash, then the first of them
     hashed = F.shiftrightunsigned(F.xxhash64("key"), 1).cast("double") / float(1 << 63)
-    thin = rows.drop("text").join(sized, "lang").filter(hashed * F.col("count") < 4.0 * each + 40)
+    # a row per language: sent to the rows, which else would meet in a task per language
+    few = F.broadcast(sized) if languages <= sample_rows else sized
+    thin = rows.drop("text").join(few, "lang").filter(hashed * F.col("count") < 4.0 * each + 40)
     order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
     chosen = thin.dropDuplicates(["lang", "key"]).withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= each)
     ids = sorted({r[0] for r in chosen.select("key").collect()})  # at most sample_rows
