@@ -6,7 +6,7 @@ from pyspark.errors import AnalysisException
 from cartloom.plans.queries import _sums
 from cartloom.schemas import TABLES
 from cartloom.sources import star
-from cartloom.sources.stage import forget_staged, shared_folder, staged
+from cartloom.sources.stage import bucket_count, forget_staged, shared_folder, staged
 from cartloom.sources.tables import MissingColumn, load_all, load_table, read_csv, write_csv
 from tests.conftest import rows
 
@@ -149,3 +149,13 @@ def test_column_sums_show_columns_that_change_places(spark):
     swapped = table.select(table["b"].alias("a"), table["a"].alias("b"), "c")
     assert rows(_sums({"t": table})) != rows(_sums({"t": swapped}))
     assert rows(_sums({"t": table}).filter("column_name = 'c'")) == [("t", 2, "c", 1, 1.0)]
+
+
+def test_buckets_hold_as_much_of_a_larger_table(spark, monkeypatch):
+    """A task's share of the lines stays the same from 62 to 620 MB of files."""
+    monkeypatch.setattr(star, "raw", lambda *_: None)
+    per_bucket = []
+    for size in (62 << 20, 620 << 20, 3720 << 20):
+        monkeypatch.setattr(star, "input_bytes", lambda _, size=size: size)
+        per_bucket.append(size / bucket_count(star.Star(spark, "").size()))
+    assert max(per_bucket) <= 16 << 20
