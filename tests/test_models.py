@@ -131,3 +131,13 @@ def test_newton_fit_of_odd_rows(spark, matrix):
         fit_logistic(matrix.filter("reordered = 1"), X.SERVING_FEATURES)
     with pytest.raises(ValueError, match="both labels"):
         fit_logistic(matrix.limit(0), X.SERVING_FEATURES)
+
+
+def test_boosting_keeps_no_nodes(matrix):
+    """Walking down again finds the trees that kept nodes find, without a checkpoint a level."""
+    plain = M.boosted(X.SERVING_FEATURES, 3, 3)
+    kept = M.boosted(X.SERVING_FEATURES, 3, 3)
+    kept.getStages()[-1].setCacheNodeIds(True)
+    assert not plain.getStages()[-1].getCacheNodeIds()
+    found = [M.fit(p, matrix).stages[-1].toDebugString.split("\n", 1)[1] for p in (plain, kept)]
+    assert found[0] == found[1]
