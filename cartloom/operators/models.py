@@ -25,6 +25,11 @@ from cartloom.operators.sampling import hash_split
 from cartloom.schemas import KEY_COLUMNS
 
 SEED = 42
+#: What the rows of one task take in memory while a model is fitted, and a row of features; a forest
+#: adds a count and a node per tree.
+TASK_BYTES = 128 << 20
+ROW_BYTES = 256
+TREE_BYTES = 8
 
 
 def feature_columns(df: DataFrame) -> list[str]:
@@ -130,9 +135,19 @@ def boosted(
 def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
     """Fit over all rows; ``train`` should be a written table or persisted.
 
-    Features are aligned first, so a column the data lacks counts as 0.
+    Features are aligned first, so a column the data lacks counts as 0. Rows are dealt to more tasks
+    where those that read them would hold more than ``TASK_BYTES`` each.
     """
-    return pipeline.fit(align(train, model_features(pipeline), ["reordered"]))
+    rows = align(train, model_features(pipeline), ["reordered"])
+    tasks = fit_tasks(pipeline, train.count())
+    return pipeline.fit(rows.repartition(tasks) if tasks > rows.rdd.getNumPartitions() else rows)
+
+
+def fit_tasks(pipeline: Pipeline, n_rows: int) -> int:
+    """Tasks that hold at most ``TASK_BYTES`` of ``n_rows`` rows while the pipeline is fitted."""
+    last = pipeline.getStages()[-1]
+    trees = last.getNumTrees() if isinstance(last, RandomForestClassifier) else 0
+    return -(-n_rows * (ROW_BYTES + TREE_BYTES * trees) // TASK_BYTES)
 
 
 def model_features(model: Pipeline | PipelineModel) -> list[str]:

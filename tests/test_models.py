@@ -141,3 +141,22 @@ def test_boosting_keeps_no_nodes(matrix):
     assert not plain.getStages()[-1].getCacheNodeIds()
     found = [M.fit(p, matrix).stages[-1].toDebugString.split("\n", 1)[1] for p in (plain, kept)]
     assert found[0] == found[1]
+
+
+@pytest.mark.parametrize("build", [lambda: M.forest(X.SERVING_FEATURES, 10, 2), lambda: M.boosted(X.SERVING_FEATURES, 2, 2)])
+def test_rows_of_a_fit_are_dealt_to_more_tasks(matrix, monkeypatch, build):
+    seen = []
+    monkeypatch.setattr(M.Pipeline, "fit", lambda self, df: seen.append((df.rdd.getNumPartitions(), df.count())))
+    few = matrix.coalesce(2)
+    M.fit(build(), few)
+    monkeypatch.setattr(M, "TASK_BYTES", 100 * (M.ROW_BYTES + 10 * M.TREE_BYTES))
+    M.fit(build(), few)
+    assert seen[0] == (2, 720)
+    assert seen[1][0] >= 5 and seen[1][1] == 720
+
+
+def test_a_forest_counts_its_trees():
+    n = 10_000_000
+    small, large = (M.fit_tasks(M.forest(X.SERVING_FEATURES, t), n) for t in (10, 100))
+    assert small < large and M.fit_tasks(M.boosted(X.SERVING_FEATURES), 1000) == 1
+    assert large * M.TASK_BYTES >= n * 100 * M.TREE_BYTES
