@@ -12,10 +12,13 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLICES = 1024
+#: Of a search of a column that has many.
+LEAST_SLICES = 128
 # Enough passes to narrow the whole range of doubles 1024-fold at a time.
 MAX_PASSES = 256
 
@@ -77,29 +80,56 @@ def values_at_ranks(
 
 
 def _narrow(df, open_, wanted):
-    searches = list(open_.items())
+    """One pass for all open searches. Those of a column lie in disjoint ranges, so a value is looked up in
+    one sorted list of all their slices, however many searches there are."""
+    by_column: dict[str, list[tuple[float, float, int]]] = {}
+    for column, low, high, below in sorted(open_, key=lambda search: search[1]):
+        by_column.setdefault(column, []).append((low, high, below))
+    splits, owners = [], []
+    for searches in by_column.values():
+        parts = min(SLICES, max(LEAST_SLICES, 4 * SLICES // len(searches)))
+        edges, owner = [float("-inf")], [None]
+        for search in searches:
+            low, high, _ = search
+            step = high / parts - low / parts
+            inner = sorted({e for k in range(1, parts) if low < (e := low + k * step) < high})
+            # a slice ends before the next one begins, the last one with ``high``
+            if edges[-1] == low:  # right above the range before
+                edges.pop(), owner.pop()
+            edges += [low, *inner, high, math.nextafter(high, math.inf)]
+            owner += [search] * (len(edges) - 1 - len(owner)) + [None]
+        splits.append([*edges, float("inf")])
+        owners.append(owner)
+    names = list(by_column)
+    values = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(names)])
+    placed = Bucketizer(
+        splitsArray=splits,
+        inputCols=[f"v{i}" for i in range(len(names))],
+        outputCols=[f"p{i}" for i in range(len(names))],
+        handleInvalid="keep",
+    ).transform(values)
     picks = []
-    for i, ((column, low, high, _), _ranks) in enumerate(searches):
-        value = F.col(column).cast("double")
-        width = (high - low) / SLICES
-        if width > 0:
-            part = F.least(F.floor((value - low) / F.lit(width)), F.lit(SLICES - 1)).cast("int")
-        else:  # neighbouring doubles: the two ends are the only values left
-            part = F.when(value == low, 0).otherwise(1)
-        inside = value.between(low, high)
+    for i, searches in enumerate(by_column.values()):
+        inside = F.col(f"v{i}").between(searches[0][0], searches[-1][1])
         picks.append(
-            F.when(inside, F.struct(F.lit(i).alias("i"), part.alias("part"), value.alias("v")))
+            F.when(inside, F.struct(F.lit(i).alias("i"), F.col(f"p{i}").cast("int").alias("part"), F.col(f"v{i}").alias("v")))
         )
     rows = (
-        df.select(F.explode(F.array(*picks)).alias("x"))
+        placed.select(F.explode(F.array(*picks)).alias("x"))
         .filter(F.col("x").isNotNull())
         .groupBy("x.i", "x.part")
         .agg(F.count(F.lit(1)).alias("n"), F.min("x.v").alias("lo"), F.max("x.v").alias("hi"))
-        .collect()  # at most len(searches) x SLICES rows
+        .collect()  # at most slices of all searches rows
     )
+    found: dict[tuple, list] = {}
+    for r in sorted(rows, key=lambda r: (r["i"], r["part"])):
+        search = owners[r["i"]][r["part"]]
+        if search:
+            found.setdefault((names[r["i"]], *search), []).append(r)
     following: dict[tuple[str, float, float, int], list[int]] = {}
-    for i, ((column, _, _, below), ranks) in enumerate(searches):
-        for row in sorted((r for r in rows if r["i"] == i), key=lambda r: r["part"]):
+    for search, ranks in open_.items():
+        column, _, _, below = search
+        for row in found.get(search, []):
             inside = [r for r in ranks if below <= r < below + row["n"]]
             if inside and row["lo"] == row["hi"]:
                 wanted[column].update(dict.fromkeys(inside, row["lo"]))

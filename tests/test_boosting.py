@@ -123,3 +123,28 @@ def test_edges(spark, table):
         B.fit_newton(table.limit(0), FEATURES)
     with pytest.raises(ValueError, match="bins"):
         B.fit_newton(table, FEATURES, bins=300)
+
+
+def test_of_two_children_one_is_summed(table, monkeypatch):
+    """A level reads the rows of at most one child of each split, and the trees stay the same."""
+    asked = []
+    real = B._summed
+
+    def summed(blocks, tree, level, nodes, *rest):
+        asked.append((level, list(nodes)))
+        return real(blocks, tree, level, nodes, *rest)
+
+    monkeypatch.setattr(B, "_summed", summed)
+    B.fit_newton(table, FEATURES, rounds=2, depth=3, bins=16)
+    assert [level for level, _ in asked] == [0, 1, 2] * 2
+    for _, nodes in asked:
+        assert len({(n - 1) // 2 for n in nodes}) == len(nodes)
+
+
+def test_blocks_are_filled_over_arrow_batches(spark):
+    n = B.BLOCK + 20_000
+    rows = spark.range(n, numPartitions=1).selectExpr("id * 1.0D a", "int(id % 2) reordered")
+    found = B._blocks(rows, ["a"], "reordered", [[29_999.0]]).collect()
+    assert [r["n"] for r in found] == [B.BLOCK, 20_000]
+    binned = np.concatenate([np.frombuffer(r["bins"], np.uint8) for r in found])
+    assert binned.tolist() == [0] * 30_000 + [1] * (n - 30_000)

@@ -2,12 +2,14 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from cartloom.functions import quantiles
 from cartloom.functions.columns import day_name, hash_percent, ratio, std_from_sums
 from cartloom.functions.quantiles import exact_quantiles
 from cartloom.functions.ranking import number_sequence, top_k
@@ -110,3 +112,22 @@ def test_hash_percent_does_not_depend_on_partitions(spark):
     assert rows(a) == rows(b)
     share = a.filter("h < 20").count() / 5000
     assert 0.17 < share < 0.23
+
+
+def test_many_ranks_take_one_value_a_column_and_row(spark, monkeypatch):
+    """Every rank of two columns at once; before, a row was compared with each open rank."""
+    r = random.Random(3)
+    data = [(r.choice([r.gauss(0, 1), float(r.randrange(5)), -0.0, 1e300]), i % 7 if i % 11 else None) for i in range(300)]
+    df = spark.createDataFrame(data, "a double, b int")
+    widths = []
+
+    def array(*columns):
+        widths.append(len(columns))
+        return F.array(*columns)
+
+    monkeypatch.setattr(quantiles, "F", SimpleNamespace(**{**vars(F), "array": array}))
+    want = {c: sorted(float(d[i]) for d in data if d[i] is not None) for i, c in enumerate("ab")}
+    ranges = {c: (len(v), v[0], v[-1]) for c, v in want.items()}
+    got = quantiles.values_at_ranks(df, ranges, {c: range(len(v)) for c, v in want.items()})
+    assert {c: [got[c][i] for i in range(len(v))] for c, v in want.items()} == want
+    assert widths and max(widths) <= 2
