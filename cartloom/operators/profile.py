@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartloom.functions.columns import day_name, ratio
 from cartloom.functions.quantiles import exact_quantiles
 
+#: Columns of a pass of ``_ranges``: five fields each (a mean has two).
+STATISTICS = 16
+
 
 def _union(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
@@ -382,29 +383,66 @@ def correlations(tables: dict[str, DataFrame]) -> DataFrame:
     return _union(parts)
 
 
+def _products(df: DataFrame, columns: list[str], means: list[float], gaps: list[int]) -> np.ndarray:
+    """The Gram matrix of a vector per row: centred values (missing: 0), a 1 and, only where columns have ``gaps``,
+    which of them are present and the squares of all values. Tasks multiply a batch of rows at a time; the square of
+    at most 3k + 1 sums leaves each, and they are added up before they reach the driver."""
+    width = len(columns) + 1 + (len(gaps) + len(columns) if gaps else 0)
+
+    def multiply(batches):
+        import pyarrow as pa
+
+        total = np.zeros((width, width))
+        for batch in batches:
+            x = [c.fill_null(m).to_numpy(zero_copy_only=False) - m for c, m in zip(batch.columns, means)]
+            entries = [*x, np.ones(batch.num_rows)]
+            if gaps:
+                entries += [batch.column(i).is_valid().to_numpy(zero_copy_only=False).astype(float) for i in gaps]
+                entries += [v * v for v in x]
+            rows = np.stack(entries)
+            total += rows @ rows.T
+        parts = [pa.array(np.arange(width * width), pa.int32()), pa.array(total.ravel())]
+        yield pa.RecordBatch.from_arrays(parts, names=["at", "part"])
+
+    values = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)])
+    total = np.zeros(width * width)
+    for at, value in values.mapInArrow(multiply, "at int, part double").groupBy("at").agg(F.sum("part")).collect():
+        total[at] = value
+    return total.reshape(width, width)
+
+
+def _ranges(df: DataFrame, columns: list[str]) -> dict[str, Row]:
+    """Mean ``m``, least ``a``, largest ``b`` and number ``n`` of the values of each column, and all ``rows``.
+
+    A pass for ``STATISTICS`` columns, as Spark does not compile an aggregate of more than 100 fields."""
+    found = {}
+    for lo in range(0, len(columns), STATISTICS):
+        some = columns[lo : lo + STATISTICS]
+        of = [(F.avg, "m"), (F.min, "a"), (F.max, "b"), (F.count, "n")]
+        sums = [f(c).alias(f"{name}{i}") for i, c in enumerate(some) for f, name in of]
+        row = df.agg(F.count(F.lit(1)).alias("rows"), *sums).first()
+        for i, c in enumerate(some):
+            found[c] = Row(rows=row["rows"], **{name: row[f"{name}{i}"] for _, name in of})
+    return found
+
+
 def _correlation(name: str, df: DataFrame) -> DataFrame | None:
     columns = numeric_columns(df)
     if not columns:
         return None
-    row = df.agg(
-        *[
-            F.struct(F.avg(c).alias("m"), F.min(c).alias("a"), F.max(c).alias("b")).alias(c)
-            for c in columns
-        ]
-    ).first()
-    columns = [c for c in columns if row[c]["a"] is not None and row[c]["a"] != row[c]["b"]]
+    seen = _ranges(df, columns)
+    columns = [c for c in columns if seen[c]["a"] is not None and seen[c]["a"] != seen[c]["b"]]
     if len(columns) < 2:
         return None
     k = len(columns)
-    # per row: centred values (missing: 0), which are present, squares
-    values = [F.col(c).cast("double") - F.lit(float(row[c]["m"])) for c in columns]
-    entries = [F.coalesce(v, F.lit(0.0)) for v in values]
-    entries += [v.isNotNull().cast("double") for v in values]
-    entries += [F.coalesce(v * v, F.lit(0.0)) for v in values]
-    vectors = df.select(array_to_vector(F.array(*entries)).alias("v"))
-    # its products sum up in the JVM, in a tree; 3k x 3k values reach the driver
-    gram = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors)).computeGramianMatrix().toArray()
-    sxy, sx, n, sxx = gram[:k, :k], gram[:k, k : 2 * k], gram[k : 2 * k, k : 2 * k], gram[2 * k :, k : 2 * k]
+    gaps = [i for i, c in enumerate(columns) if seen[c]["n"] < seen[c]["rows"]]
+    gram = _products(df, columns, [float(seen[c]["m"]) for c in columns], gaps)
+    # the 1 stands for the presence of a column without gaps
+    mask = [k + 1 + gaps.index(j) if j in gaps else k for j in range(k)]
+    sxy, sx, n = gram[:k, :k], gram[:k, mask], gram[np.ix_(mask, mask)]
+    sxx = np.repeat(np.diag(sxy)[:, None], k, axis=1)
+    for j in gaps:
+        sxx[:, j] = gram[k + 1 + len(gaps) :, mask[j]]
     out = []
     for i in range(k):
         for j in range(i, k):

@@ -98,3 +98,28 @@ def test_correlations_like_pandas(spark):
 def test_catalogue_lists_thirty():
     assert len(P.FEATURES) == 30
     assert len({f[:2] for f in P.FEATURES}) == 30
+
+
+def test_correlations_multiply_no_masks_without_gaps(spark, monkeypatch):
+    """A column without nulls adds one entry to a row's vector; one with nulls is left out pair by pair."""
+    r = np.random.default_rng(2)
+    data = r.normal(size=(60, 4)).tolist()
+    whole = spark.createDataFrame(data, "a double, b double, c double, d double")
+    holed = spark.createDataFrame([(*x[:3], None if i % 4 else x[3]) for i, x in enumerate(data)], whole.schema)
+    widths = []
+    real = P._products
+
+    def products(*args):
+        found = real(*args)
+        widths.append(len(found))
+        return found
+
+    monkeypatch.setattr(P, "_products", products)
+    monkeypatch.setattr(P, "STATISTICS", 3)
+    got = keyed(P.correlations({"whole": whole, "holed": holed}), "table_name", "x", "y")
+    assert widths == [5, 10]
+    for name, df in (("whole", whole), ("holed", holed)):
+        wanted = df.toPandas().astype(float).corr()
+        for x in "abcd":
+            for y in "abcd":
+                assert got[name, x, y]["r"] == pytest.approx(wanted.loc[x, y])
