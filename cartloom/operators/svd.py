@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -111,7 +112,9 @@ def checks(rows: DataFrame, key: str, found: Svd, digits: float = 1e-6) -> DataF
 
     orthonormal = products(found.loadings, "loadings", lambda a, b: a == b, digits, "orthonormal")
     lengths = products(found.scores, "scores", lambda a, b: values[a] ** 2 * (a == b), digits * scale, "lengths_are_values")
-    entries = rows.select(key, F.inline(F.arrays_zip(F.col("i"), F.col("w")))).join(found.scores, key)
+    zipped = F.inline(F.arrays_zip(F.col("i"), F.col("w")))
+    # rows move to their scores, not their entries one by one
+    entries = rows.select(key, "i", "w").join(found.scores, key).select(key, "scores", zipped)
     again = entries.groupBy("i").agg(*[F.sum(F.col("w") * F.col("scores")[c]).alias(f"z{c}") for c in range(k)])
     apart = F.greatest(
         F.lit(0.0), *[F.max(F.abs(F.col(f"z{c}") - F.col("loadings")[c] * values[c] ** 2)) for c in range(k)]
@@ -126,10 +129,10 @@ def checks(rows: DataFrame, key: str, found: Svd, digits: float = 1e-6) -> DataF
     kept = sum(v * v for v in values)
     norm, rest = F.coalesce(F.sum("norm"), F.lit(0.0)), F.coalesce(F.sum(F.col("norm") - part), F.lit(0.0))
     residual = left.agg(norm.alias("squared_norm"), (F.abs(norm - kept - rest) <= digits * scale * k).alias("residual_adds_up"))
-    one = rows.agg(F.count(F.lit(1)).alias("n_rows"))
-    for other in (residual, orthonormal, lengths, scaled):
-        one = one.withColumn("__one", F.lit(1)).join(other.withColumn("__one", F.lit(1)), "__one").drop("__one")
-    return one
+    # five tables of a row each, side by side: each column is null in all but one
+    parts = [rows.agg(F.count(F.lit(1)).alias("n_rows")), residual, orthonormal, lengths, scaled]
+    below = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return below.agg(*[F.max(c).alias(c) for c in below.columns])
 
 
 class _Passes:

@@ -75,3 +75,20 @@ def test_start_block_is_the_same_in_every_task():
     whole = V.start_block(np.arange(50), 7)
     assert (V.start_block(np.array([13, 4]), 7) == whole[[13, 4]]).all()
     assert np.abs(whole).max() <= 1 and np.linalg.matrix_rank(whole) == 7
+
+
+def test_checks_join_no_single_rows(spark):
+    """The one row of checks is not a product of tables, whatever may be broadcast."""
+    rows = spark.createDataFrame([(k, [0, 1, 2], [1.0 + k, 2.0, 0.5 * k * k]) for k in range(9)], ROWS)
+    found = V.checks(rows, "k", V.truncated_svd(rows, "k", 2, 3))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        plan = found.select("*")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert found.columns == ["n_rows", "squared_norm", "residual_adds_up", "orthonormal", "lengths_are_values", "vectors_are_scaled"]
+    (got,) = found.collect()
+    assert got["n_rows"] == 9 and all(got[c] for c in found.columns[2:])
