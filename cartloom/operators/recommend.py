@@ -8,7 +8,9 @@ threshold need no ranking of their own.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cartloom.functions.ranking import top_k
@@ -29,7 +31,8 @@ def with_names(items: DataFrame, products: DataFrame | None, spread: str) -> Dat
     return attach(items, names, "product_id", "left", spread=[spread])
 
 
-def _personal_order():
+def personal_order() -> list[Column]:
+    """Falling probability, then product id."""
     return [F.desc("reorder_probability"), F.asc("product_id")]
 
 
@@ -37,7 +40,7 @@ def _personal(scored: DataFrame, k: int, threshold: float) -> DataFrame:
     kept = scored.select("user_id", "product_id", "reorder_probability").filter(
         F.col("reorder_probability") >= threshold
     )
-    return top_k(kept, "user_id", _personal_order(), k)
+    return top_k(kept, "user_id", personal_order(), k)
 
 
 def _popular(by_product: DataFrame, k: int, threshold: float = float("-inf")) -> DataFrame:
@@ -130,15 +133,16 @@ def summary(recommendations: DataFrame) -> DataFrame:
     )
 
 
-def ranked_pairs(scored: DataFrame) -> DataFrame:
+def ranked_pairs(scored: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """All scored pairs with their rank within the user.
 
-    A user has at most one pair per catalogue product, and ``row_number`` streams over
+    ``within`` names columns that follow from the user; they are kept, and rows dealt by them and the user
+    are not moved. A user has at most one pair per catalogue product, and ``row_number`` streams over
     the sorted partition, so no list is ever held as one value.
     """
-    order = Window.partitionBy("user_id").orderBy(*_personal_order())
+    order = Window.partitionBy(*within, "user_id").orderBy(*personal_order())
     return scored.select(
-        "user_id", "product_id", "reorder_probability", F.row_number().over(order).alias("rank")
+        "user_id", "product_id", "reorder_probability", F.row_number().over(order).alias("rank"), *within
     )
 
 

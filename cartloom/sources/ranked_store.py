@@ -8,10 +8,13 @@ Three tables lie under one folder, each partitioned by ``part``, a hash of the u
 * ``ranked``: each user's products by falling probability, with their rank.
 
 ``apply`` reads a batch of new orders and their lines, merges their sums into the parts that hold their
-users, ranks those users again, and overwrites those parts alone. Other parts are neither read nor
+users, ranks the users of these parts again, and overwrites those parts alone. Other parts are neither read nor
 written, so a night costs what its orders touch. Each row carries the last batch of its part: a batch that
 was cut off half way is applied again only where it was not, and one that is complete not at all.
 
+Rows are dealt once, by ranges of part and user as the files have them, before they are merged or ranked:
+both need the rows of a user together, and ranges are then found in stored rows, not in computed ones.
+
 ``lookup`` reads the parts of the users asked for. Within a part, files are ranges of users, sorted by user and
 with a Bloom filter, so a few requests open a few files and a few row groups in them.
 """
@@ -20,12 +23,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cartloom.functions.columns import ratio
-from cartloom.operators.recommend import ranked_pairs
+from cartloom.operators.recommend import personal_order, ranked_pairs
 
 PAIRS = (
     "user_id long, product_id long, n long, reorders long, cart_sum long, first_number int, last_number int, "
@@ -109,7 +112,7 @@ class RankedStore:
         touched = [r[0] for r in users.select("part").distinct().collect()]  # at most self.parts
         self._merge("pairs", pairs, ["user_id", "product_id"], batch, touched)
         self._merge("users", users, ["user_id"], batch, touched)
-        self._rank(users.select("user_id"), batch, touched)
+        self._rank(batch, touched)
         log = self.spark.createDataFrame([(batch,)], "batch int").coalesce(1)
         log.write.mode("append").parquet(f"{self.folder}/batches")
         return sorted(touched)
@@ -129,37 +132,40 @@ class RankedStore:
         if not parts:
             return
         inside = F.col("part").isin(parts)
-        both = self.read(name).filter(inside).drop("as_of").unionByName(new.filter(inside))
+        both = _dealt(self.read(name).filter(inside).drop("as_of").unionByName(new.filter(inside)))
         sums = [MERGE[c](c).alias(c) for c in new.columns if c in MERGE]
         merged = both.groupBy("part", *keys).agg(*sums).withColumn("as_of", F.lit(batch))
-        self._overwrite(name, merged, ["user_id"])
+        self._overwrite(name, merged.sortWithinPartitions("part", "user_id"))
 
-    def _rank(self, changed: DataFrame, batch: int, touched: list[int]) -> None:
+    def _rank(self, batch: int, touched: list[int]) -> None:
         parts = self._open("ranked", batch, touched)
         if not parts:
             return
         inside = F.col("part").isin(parts)
-        as_before = self.read("ranked").filter(inside).drop("as_of").join(changed, "user_id", "left_anti")
-        pairs = self.read("pairs").filter(inside).join(changed, "user_id", "left_semi")
-        totals = self.read("users").filter(inside).select("user_id", "total_orders")
-        scored = pairs.join(totals, "user_id").withColumn("reorder_probability", self.score())
-        again = ranked_pairs(scored).select("*", self._part())
-        whole = as_before.unionByName(again).withColumn("as_of", F.lit(batch))
-        self._overwrite("ranked", whole, ["user_id", "rank"])
-
-    def _overwrite(self, name: str, rows: DataFrame, order: list[str]) -> None:
-        """Replace the parts that ``rows`` has: new files are made aside and moved in when all are
-        there, so the old ones can be read until then."""
-        columns = [f.name for f in T._parse_datatype_string({"pairs": PAIRS, "users": USERS, "ranked": RANKED}[name])]
-        ranges = rows.select(*columns).repartitionByRange("part", "user_id").sortWithinPartitions("part", *order)
-        (
-            ranges.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .option("parquet.bloom.filter.enabled#user_id", "true")
-            .option("parquet.bloom.filter.expected.ndv#user_id", "100000")
-            .partitionBy("part")
-            .parquet(f"{self.folder}/{name}")
+        totals = self.read("users").filter(inside).drop("as_of")
+        # a row per user, without a product, beside those of its pairs: brings the total without a join
+        both = _dealt(self.read("pairs").filter(inside).drop("as_of").unionByName(totals, allowMissingColumns=True))
+        one = Window.partitionBy("part", "user_id")
+        whole = both.select(
+            *[c for c in both.columns if c != "total_orders"],
+            F.max("total_orders").over(one).alias("total_orders"),
+            F.max(F.col("product_id").isNull()).over(one).alias("is_known"),
         )
+        pairs = whole.filter(F.col("product_id").isNotNull() & F.col("is_known"))
+        ranked = ranked_pairs(pairs.withColumn("reorder_probability", self.score()), within=["part"])
+        # the order in which they were ranked, so nothing is sorted again
+        ranked = ranked.sortWithinPartitions("part", "user_id", *personal_order())
+        self._overwrite("ranked", ranked.withColumn("as_of", F.lit(batch)))
+
+    def _overwrite(self, name: str, rows: DataFrame) -> None:
+        """Replace the parts that ``rows``, dealt and sorted by them, has: new files are made aside and moved
+        in when all are there, so the old ones can be read until then."""
+        columns = [f.name for f in T._parse_datatype_string({"pairs": PAIRS, "users": USERS, "ranked": RANKED}[name])]
+        writer = rows.select(*columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        if name == "ranked":  # the table that is looked up by user
+            writer = writer.option("parquet.bloom.filter.enabled#user_id", "true")
+            writer = writer.option("parquet.bloom.filter.expected.ndv#user_id", "100000")
+        writer.partitionBy("part").parquet(f"{self.folder}/{name}")
 
     def lookup(self, requested: DataFrame) -> DataFrame:
         """The ranked pairs of the users in ``requested`` (user_id; repeats and nulls allowed), read from
@@ -174,5 +180,10 @@ class RankedStore:
         return ranked.join(asked, "user_id", "left_semi")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Ranges of users within parts; a user's rows stay together."""
+    return rows.repartitionByRange("part", "user_id")
+
+
 #: Users whose ids are put into the filter of the scan.
 FEW = 100

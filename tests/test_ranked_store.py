@@ -117,3 +117,22 @@ def test_empty_and_null_rows(spark, tmp_path):
     lines = spark.createDataFrame([(1, 9, None, None), (1, None, 0, 1), (2, 9, 0, 1), (3, 9, 0, 1)], LINES)
     store.apply(1, orders, lines)
     assert rows(store.read("ranked").drop("as_of", "part")) == [(5, 9, 1.0, 1)]
+
+
+def test_rows_of_a_batch_are_dealt_once(spark, tables, tmp_path, monkeypatch):
+    """One exchange, by ranges, before rows are merged or ranked; nothing is joined."""
+    orders, _, lines = tables
+    store = S.RankedStore(spark, f"{tmp_path}/store", parts=4)
+    plans = {}
+    overwrite = S.RankedStore._overwrite
+
+    def kept(self, name, rows):
+        plans[name] = rows._jdf.queryExecution().executedPlan().toString()
+        overwrite(self, name, rows)
+
+    monkeypatch.setattr(S.RankedStore, "_overwrite", kept)
+    for b in range(2):
+        store.apply(b, in_batch(spark, orders, b), lines)
+    for name, text in plans.items():
+        assert text.count("Exchange") == text.count("Exchange rangepartitioning(part") == 1, name
+        assert "Join" not in text
