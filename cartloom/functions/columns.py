@@ -38,3 +38,9 @@ def hash_percent(*columns: str, seed: int = 42) -> Column:
     """Repeatable number 0-99 per key."""
     head = F.substring(hash_key(*columns, seed=seed), 1, 8)
     return (F.conv(head, 16, 10).cast("long") % 100).cast("int")
+
+
+def same_within(left: str, right: str) -> Column:
+    """Whether two columns of a join are equal, as a condition on rows that its key has brought together:
+    unlike ``==`` it is no key, so sides that lie by the key alone are not dealt again."""
+    return F.col(left).between(F.col(right), F.col(right))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartloom.functions.columns import ratio, std_from_sums
+from cartloom.functions.columns import ratio, same_within, std_from_sums
 from cartloom.operators.joins import attach, catalogue
 
 USER_EXT = (
@@ -120,6 +120,16 @@ def _pair_counts(orders: DataFrame, prior: DataFrame) -> DataFrame:
     )
 
 
+def _counts_of(totals: DataFrame) -> DataFrame:
+    return totals.select(
+        "user_id",
+        "product_id",
+        F.col("n").alias("up_total_purchases"),
+        F.col("first_number").alias("up_first_order_num"),
+        F.col("last_number").alias("up_last_order_num"),
+    )
+
+
 def _pair_rates(pairs: DataFrame) -> DataFrame:
     possible = F.col("u_total_orders") - F.col("up_first_order_num") + 1
     return pairs.withColumns(
@@ -142,17 +152,16 @@ def interaction_features(orders: DataFrame, prior: DataFrame) -> DataFrame:
 
 
 def serving_matrix(
-    orders: DataFrame, prior: DataFrame, by_product: DataFrame | None = None
+    orders: DataFrame, prior: DataFrame, by_product: DataFrame | None = None, totals: DataFrame | None = None
 ) -> DataFrame:
     """One row per past user×product pair with the 12 model features, nulls as 0.
 
-    ``by_product`` may pass staged ``product_features``; the pair rates use the user's
-    order total from the same join that brings the user features.
+    ``by_product`` may pass staged ``product_features``, ``totals`` staged ``pair_totals`` of the same
+    orders; the pair rates use the user's order total from the same join that brings the user features.
     """
     by_product = product_features(prior) if by_product is None else by_product
-    pairs = _pair_rates(
-        _pair_counts(orders, prior).join(user_features(orders, prior), "user_id")
-    )
+    counts = _pair_counts(orders, prior) if totals is None else _counts_of(totals)
+    pairs = _pair_rates(counts.join(user_features(orders, prior), "user_id"))
     matrix = attach(pairs, by_product, "product_id", "left", spread=["user_id"])
     return matrix.na.fill(0, list(SERVING_FEATURES)).select(
         "user_id", "product_id", *SERVING_FEATURES
@@ -340,7 +349,7 @@ def training_matrix(
     """Labelled matrix: candidates with pair, user and product features and the label.
 
     Inputs as for ``feature_matrix``. The user features and the train order travel in one
-    user-keyed table, so the pairs are shuffled once for users and once for labels;
+    user-keyed table, and so do the labels, so pairs that lie by user are not moved;
     products are attached last without moving the pairs.
     """
     prior_orders = orders.filter(F.col("eval_set") == "prior")
@@ -348,12 +357,7 @@ def training_matrix(
     users = train_orders.select("user_id", "order_id").join(
         _user_features_ext(prior_orders, totals), "user_id", "left"
     )
-    labels = train.select("order_id", "product_id", "reordered")
-    matrix = (
-        _with_recency(totals.join(users, "user_id"))
-        .join(labels, ["order_id", "product_id"], "left")
-        .withColumn("reordered", F.coalesce("reordered", F.lit(0)).cast("int"))
-    )
+    matrix = labelled(_with_recency(totals.join(users, "user_id")), train_orders, train)
     return _attach_products(matrix, by_product).select(
         "user_id",
         "product_id",
@@ -365,6 +369,18 @@ def training_matrix(
     )
 
 
+def labelled(pairs: DataFrame, train_orders: DataFrame, train: DataFrame) -> DataFrame:
+    """``pairs`` (user, product and the user's train order) with ``reordered`` of that order's line of the
+    product, 0 without one. The lines come to the pairs of their user, which stay where they are."""
+    lines = train.select("order_id", "product_id", "reordered").join(train_orders.select("order_id", "user_id"), "order_id")
+    lines = lines.select(
+        F.col("user_id").alias("_user"), F.col("order_id").alias("_order"), F.col("product_id").alias("_product"), "reordered"
+    )
+    there = (F.col("user_id") == F.col("_user")) & same_within("product_id", "_product") & same_within("order_id", "_order")
+    matched = pairs.join(lines, there, "left").drop("_user", "_order", "_product")
+    return matched.withColumn("reordered", F.coalesce("reordered", F.lit(0)).cast("int"))
+
+
 def label_balance(matrix: DataFrame) -> DataFrame:
     """Rows, positives, negatives and positive share of a labelled matrix."""
     label = F.col("reordered")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from cartloom.operators.evaluate import accuracy, precision_recall_at_k, roc_auc
 from cartloom.operators.features import (
     SERVING_FEATURES,
+    labelled,
     serving_matrix,
 )
 from cartloom.operators.sampling import hash_split
@@ -49,21 +50,21 @@ def align(df: DataFrame, features: Sequence[str], keep: Sequence[str] = ()) -> D
 
 
 def labelled_serving_matrix(
-    orders: DataFrame, prior: DataFrame, train: DataFrame, by_product: DataFrame | None = None
+    orders: DataFrame,
+    prior: DataFrame,
+    train: DataFrame,
+    by_product: DataFrame | None = None,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """The 12 serving features from prior orders only, labelled by the train order.
 
-    The held-out order gives labels and nothing else.
+    The held-out order gives labels and nothing else. ``by_product`` and ``totals`` may pass staged
+    ``product_features`` and ``pair_totals``.
     """
     past = orders.filter(F.col("eval_set") == "prior")
     last = orders.filter(F.col("eval_set") == "train").select("user_id", "order_id")
-    return (
-        serving_matrix(past, prior, by_product)
-        .join(last, "user_id")
-        .join(train.select("order_id", "product_id", "reordered"), ["order_id", "product_id"], "left")
-        .withColumn("reordered", F.coalesce("reordered", F.lit(0)).cast("int"))
-        .select("user_id", "product_id", "order_id", *SERVING_FEATURES, "reordered")
-    )
+    pairs = serving_matrix(past, prior, by_product, totals).join(last, "user_id")
+    return labelled(pairs, last, train).select("user_id", "product_id", "order_id", *SERVING_FEATURES, "reordered")
 
 
 def _assembler(features: Sequence[str], out: str = "features") -> VectorAssembler:

@@ -18,7 +18,7 @@ from cartloom.operators.recommend import ranked_pairs
 from cartloom.operators.sampling import hash_split
 from cartloom.sources import star
 from cartloom.sources.ranked_store import RankedStore
-from cartloom.sources.stage import staged, staged_folder, staged_model
+from cartloom.sources.stage import LEAST_BUCKETS, input_bytes, staged, staged_folder, staged_model
 from cartloom.sources.tables import Tables
 
 
@@ -32,6 +32,9 @@ MODELS: dict[str, Callable[[DataFrame], Pipeline]] = {
 #: Rounds of the registered second-order model; a level of a round is a job of a sixth of a second.
 NEWTON_ROUNDS = 50
 
+#: Bytes of the customer file whose requests are one task: some 12,000 requests, about a second to parse.
+REQUESTS_BYTES = 256 << 10
+
 
 class Data:
     """Lazily built inputs of the plans over one data folder."""
@@ -154,7 +157,7 @@ class Data:
         return self._staged(
             "model_matrix",
             lambda: labelled_serving_matrix(
-                self.orders, self.prior, self.train, self.product_features
+                self.orders, self.prior, self.train, self.product_features, self.pair_totals
             ),
         )
 
@@ -241,4 +244,8 @@ class Data:
         raw = F.lit(None).cast("string")
         for i, value in enumerate(forms):
             raw = F.when(form == i, value).otherwise(raw)
-        return self.raw("customer").select(F.col("c_custkey").alias("request_id"), raw.alias("raw"))
+        customers = self.raw("customer").select("c_custkey")
+        # a file may be one row group and thus one task, and a request costs far more than its key
+        tasks = max(LEAST_BUCKETS, -(-input_bytes(self.raw("customer")) // REQUESTS_BYTES))
+        customers = customers.repartition(tasks, "c_custkey")
+        return customers.select(F.col("c_custkey").alias("request_id"), raw.alias("raw"))

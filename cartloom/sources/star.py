@@ -7,9 +7,10 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cartloom.functions.columns import same_within
 from cartloom.functions.ranking import GROUP_ROWS, dense_numbers, number_sequence
 from cartloom.schemas import ORDER_PRODUCTS, ORDERS
-from cartloom.sources.stage import input_bytes, staged
+from cartloom.sources.stage import bucket_count, input_bytes, staged
 from cartloom.sources.tables import Tables
 
 #: Bytes in a group-by (keys, sums and their place in the map) per byte of a source file: an order
@@ -43,9 +44,12 @@ def map_orders(raw: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     )
 
 
-def map_lines(raw: DataFrame, orders: DataFrame) -> DataFrame:
+def map_lines(raw: DataFrame, orders: DataFrame, buckets: int = 0) -> DataFrame:
     """One row per (order, product) with cart position, user and order number.
 
+    With ``buckets``, those of ``orders`` by order, the folded lines are dealt to them once, for the
+    window, the join and a writer that lays them out alike.
+
     The group-by folds repeated lines in the map tasks, so what is left of one order
     is at most one row per catalogue product and the window over it is bounded.
     """
@@ -58,6 +62,7 @@ def map_lines(raw: DataFrame, orders: DataFrame) -> DataFrame:
         .groupBy("order_id", "product_id")
         .agg(F.min("l_linenumber").alias("ln"))
     )
+    lines = lines.repartition(buckets, "order_id") if buckets else lines
     cart = Window.partitionBy("order_id").orderBy("ln", "product_id")
     return lines.select(
         "order_id", "product_id", F.row_number().over(cart).alias("add_to_cart_order")
@@ -67,16 +72,23 @@ def map_lines(raw: DataFrame, orders: DataFrame) -> DataFrame:
 def flag_reorders(lines: DataFrame) -> DataFrame:
     """``reordered`` = 0 on the first purchase of a pair, else 1.
 
-    The first order number per pair is a partial aggregate, joined back on (user,
-    product, order number), which is unique on both sides: a user or a pair with a great
-    share of the lines puts no extra load on any task.
+    The first order number per pair, and its order, are partial aggregates. A user has one order of a
+    number, so they are joined back where the lines of that order lie, without moving the lines: a user or
+    a pair with a great share of the lines puts no extra load on any task.
     """
     first = (
         lines.groupBy("user_id", "product_id")
-        .agg(F.min("order_number").alias("order_number"))
+        .agg(F.min("order_number").alias("_number"), F.min_by("order_id", "order_number").alias("_order"))
+        .select(F.col("user_id").alias("_user"), F.col("product_id").alias("_product"), "_number", "_order")
         .withColumn("is_new", F.lit(0))
     )
-    return lines.join(first, ["user_id", "product_id", "order_number"], "left").select(
+    there = (
+        (F.col("order_id") == F.col("_order"))
+        & same_within("product_id", "_product")
+        & same_within("user_id", "_user")
+        & same_within("order_number", "_number")
+    )
+    return lines.join(first, there, "left").select(
         "order_id",
         "product_id",
         "add_to_cart_order",
@@ -147,7 +159,12 @@ class Star:
     @cached_property
     def order_products(self) -> DataFrame:
         def build() -> DataFrame:
-            lines = self._staged("lines", lambda: map_lines(self._raw("lineitem"), self.orders))
+            lines = self._staged(
+                "lines",
+                lambda: map_lines(self._raw("lineitem"), self.orders, bucket_count(self.size())),
+                bucket_by="order_id",
+                size=self.size,
+            )
             return flag_reorders(lines)
 
         return self._staged(

@@ -6,10 +6,11 @@ import re
 
 import pytest
 
+from cartloom.operators import features as X
 from cartloom.operators import recommend as R
 from cartloom.plans.data import Data
 from cartloom.plans.queries import QUERIES
-from cartloom.sources import stage
+from cartloom.sources import stage, star
 
 SF = "/root/testdata/sf0.001"
 
@@ -81,3 +82,20 @@ def test_nightly_lists_do_not_rank_again(spark):
     users = d.orders.select("user_id").distinct()
     text = plan(R.recommend_routed(users, known, d.ranked, d.product_features, d.products, 5))
     assert "WindowGroupLimit" not in text and "LessThanOrEqual(rank,5)" in text
+
+
+def test_lines_are_not_moved_to_be_flagged_or_to_give_labels(spark, no_auto_broadcast):
+    """Only first purchases go to the lines of their order, and only held-out lines to the pairs of their user."""
+    d = Data(spark, SF)
+    assert d.star.order_products.columns
+    lines = d.star._staged("lines", lambda: None, bucket_by="order_id")
+    text = plan(star.flag_reorders(lines))
+    # partial minima by pair, then a row of each pair by order
+    assert text.count("Exchange hashpartitioning") == 2 and "SelectedBucketsCount: 8 out of 8" in text
+    text = plan(X.labelled(d.pair_totals.join(d.train_orders, "user_id"), d.train_orders, d.train))
+    # the train orders and the labels, both by user
+    assert text.count("Exchange hashpartitioning") == 2
+
+
+def test_requests_are_parsed_by_many_tasks(spark):
+    assert re.search(r"Exchange hashpartitioning\(c_custkey#\d+L?, 8\), REPARTITION_BY_NUM", plan(Data(spark, SF).requests))

@@ -5,6 +5,7 @@ from pyspark.errors import AnalysisException
 
 from cartloom.plans.queries import _sums
 from cartloom.schemas import TABLES
+from cartloom.operators import features as X
 from cartloom.sources import star
 from cartloom.sources.stage import bucket_count, forget_staged, shared_folder, staged
 from cartloom.sources.tables import MissingColumn, load_all, load_table, read_csv, write_csv
@@ -159,3 +160,35 @@ def test_buckets_hold_as_much_of_a_larger_table(spark, monkeypatch):
         monkeypatch.setattr(star, "input_bytes", lambda _, size=size: size)
         per_bucket.append(size / bucket_count(star.Star(spark, "").size()))
     assert max(per_bucket) <= 16 << 20
+
+
+def test_flags_and_labels_with_repeated_and_null_keys(spark):
+    """One order of two users, an order that comes twice, and null keys, against plain code."""
+    lines = [
+        (1, 7, 1, 10, 1, "prior"), (1, 7, 1, 11, 1, "prior"), (2, 7, 1, 10, 2, "prior"), (2, 8, 2, 10, 2, "prior"),
+        (3, 8, 1, 10, 3, "train"), (3, 8, 1, 10, 4, "train"), (4, 7, 1, None, 1, "prior"), (5, None, 1, 11, 2, "prior"),
+    ]
+    names = "order_id long, product_id long, add_to_cart_order int, user_id long, order_number int, eval_set string"
+    first = {}
+    for _, p, _, u, n, _ in lines:
+        first[u, p] = min(n, first.get((u, p), n))
+    expected = [
+        (o, p, c, int(None in (u, p) or first[u, p] != n), s) for o, p, c, u, n, s in lines
+    ]
+    found = star.flag_reorders(spark.createDataFrame(lines, names))
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, expected))
+
+    pairs = [(10, 7, 3), (10, 8, 3), (11, 7, 3), (None, 7, 3), (12, 8, None), (13, None, 6), (13, 9, 6)]
+    train = [(3, 8, 1), (3, 8, 0), (6, None, 1), (6, 9, None), (None, 8, 1)]
+    orders = [(3, 10), (3, 11), (6, 13), (None, 12), (3, None)]
+    found = X.labelled(
+        spark.createDataFrame(pairs, "user_id long, product_id long, order_id long"),
+        spark.createDataFrame(orders, "order_id long, user_id long"),
+        spark.createDataFrame(train, "order_id long, product_id long, reordered int"),
+    )
+    owns = {(u, o) for o, u in orders}
+    expected = []
+    for u, p, o in pairs:
+        hits = [r for a, b, r in train if None not in (u, p, o) and (a, b) == (o, p) and (u, o) in owns]
+        expected += [(u, p, o, r or 0) for r in hits or [0]]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, expected))
