@@ -7,6 +7,7 @@ import re
 import pytest
 
 from cartloom.operators import features as X
+from cartloom.operators import models as M
 from cartloom.operators import recommend as R
 from cartloom.plans.data import Data
 from cartloom.plans.queries import QUERIES
@@ -99,3 +100,17 @@ def test_lines_are_not_moved_to_be_flagged_or_to_give_labels(spark, no_auto_broa
 
 def test_requests_are_parsed_by_many_tasks(spark):
     assert re.search(r"Exchange hashpartitioning\(c_custkey#\d+L?, 8\), REPARTITION_BY_NUM", plan(Data(spark, SF).requests))
+
+
+def test_pairs_stay_in_their_buckets_where_tasks_outnumber_them(spark, no_auto_broadcast):
+    """The matrices bring users and labels to the buckets of the pairs."""
+    d, key = Data(spark, SF), "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    tables = d.orders, d.pair_totals, d.train, d.product_features_ext
+    serving = d.orders, d.prior, d.train, d.product_features, d.pair_totals
+    spark.conf.set(key, "64")
+    try:
+        for df in (X.training_matrix(*tables, d._buckets()), M.labelled_serving_matrix(*serving, d._buckets())):
+            assert df.rdd.getNumPartitions() == d._buckets()
+    finally:
+        spark.conf.set(key, before)
