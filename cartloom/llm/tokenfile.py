@@ -9,10 +9,9 @@ The head of a chunk lists its distinct ids with their counts. Three orders predi
 order 2 the id that last followed the two before, order 1 the one that last followed the one
 before, order 0 every id by its share in the chunk. The guess of the highest order that has
 one is accepted or refused by a binary decision; its probability is mixed in the logistic domain
-from how often such guesses of order 2 and of order 1 were right in this block, the last decisions,
-and the share of the guess itself, with weights that follow their errors. If it is refused, the guess of
-order 1 is tried likewise where it is another, and then the id is coded by its share among the
-ids not refused first. All arithmetic is in integers, so every machine decodes alike.
+from a trust in orders 2 and 1, learned in this block by how often guesses held and whether they agree,
+and the share of the guess itself, with a weight that follows its errors. If it is refused, the id is
+coded by its share. All arithmetic is in integers, so every machine decodes alike.
 """
 
 from __future__ import annotations
@@ -29,17 +28,21 @@ from pyspark.sql import functions as F
 from cartloom.llm.bytebpe import encoder
 from cartloom.llm.common import new_path
 
-MAGIC = b"CMX2"
+MAGIC = b"CMX3"
 BLOCK = 2048
 #: Ids of a chunk, about: a document that is longer is a chunk by itself.
-CHUNK = 2048 * BLOCK
+CHUNK = 4096 * BLOCK
 #: Blocks that are coded at once; the models of these are in memory together.
-ABREAST = 2048
+ABREAST = 4096
+#: Bytes of texts that are tokenized at once, about.
+SLICE = 1 << 23
 _COLUMNS = "part int, ahead long, n_ids long, chunk binary"
 _HEAD = struct.Struct("<4sQIIII")  # magic, ids, ids of a block, documents, bytes of the tables of documents and ids
 _ORDER1, _ORDER2 = 11, 12  # bits of the tables of guesses of a block
 _ONE = 1 << 16  # a probability of one
 _LEAST = 48
+_SHORT = 1 << 46  # a span below it is lengthened by a word
+_RATE_TRUST, _RATE_WEIGHT = 2, 15  # of learning, as shifts
 
 #: ln(p / (1 - p)) in 1/256 for probabilities in 1/4096, and the way back in 1/65536.
 _STRETCH = np.array([round(256 * math.log((i + 0.5) / (4095.5 - i))) for i in range(4096)], np.int64)
@@ -47,210 +50,179 @@ _SQUASH = np.array([min(max(round(_ONE / (1 + math.exp(-i / 256))), _LEAST), _ON
 
 
 class _Shares:
-    """Order 0: the share of each symbol of a chunk as an interval of ``total``, and in the logistic domain."""
+    """Order 0: the share of each symbol of a chunk as an interval of ``total``, and in the logistic domain.
+
+    Symbols are numbered from the most to the least frequent, so most numbers below ``total`` are found
+    by their first bits alone."""
 
     def __init__(self, counts: np.ndarray):
         self.size = np.maximum(counts.astype(np.int64) >> max(int(counts.sum()).bit_length() - 24, 0), 1)
         self.start = np.cumsum(self.size) - self.size
         self.total = int(self.size.sum())
         self.stretched = _STRETCH[np.minimum(self.size * 4096 // self.total, 4095)]
-        self.common = int(self.size.argmax())
+        self.shift = max(self.total.bit_length() - 16, 0)
+        edges = np.arange((self.total - 1 >> self.shift) + 2, dtype=np.int64) << self.shift
+        self.lowest = np.searchsorted(self.start, np.minimum(edges, self.total - 1), "right") - 1
+
+    def find(self, v: np.ndarray) -> np.ndarray:
+        """The symbols in whose intervals ``v`` lie."""
+        at = v >> self.shift
+        y = self.lowest.take(at, mode="clip")
+        rows = np.flatnonzero(y != self.lowest.take(at + 1, mode="clip"))
+        y[rows] = np.maximum(np.searchsorted(self.start, v[rows], "right") - 1, 0)
+        return y
 
 
 class _Models:
     """The adaptive state of ``n`` blocks, and the predictions of their next symbols."""
 
     def __init__(self, n: int, shares: _Shares):
-        self.shares = shares
+        self.stretched = shares.stretched
         row = np.arange(n, dtype=np.int64)
-        self.at1, self.at2, self.at8, self.at16 = row << _ORDER1, row << _ORDER2, row << 3, row << 4
-        self.first = np.zeros(n << _ORDER1, np.int32)  # (symbol + 1) * 4 + confidence
-        self.second = np.zeros(n << _ORDER2, np.int32)
-        self.last, self.before, self.history = (np.zeros(n, np.int64) for _ in range(3))
-        # chances that guesses were right, by confidence of each order and whether it agrees, and by the last decisions
-        by_trust = np.repeat(np.array([3, 8, 24, 48]) << 10, 2)
-        self.right = [np.tile(by_trust, n), np.tile(by_trust, n), np.full(n << 3, _ONE // 8)]
-        self.weights = [np.full(n << 4, w << 8, np.int64) for w in (100, 80, 30, 60)]
-        self.right_next = np.full(n << 4, _ONE // 16)  # of the second guess
+        # the guesses of order 1 and, behind them, of order 2: symbol * 4 + confidence
+        self.at = np.stack((row << _ORDER1, (n << _ORDER1) + (row << _ORDER2)))
+        self.mask = np.array([[(1 << _ORDER1) - 1], [(1 << _ORDER2) - 1]])
+        self.table = np.zeros((n << _ORDER1) + (n << _ORDER2), np.int32)  # order 1: at first the most frequent symbol
+        self.table[n << _ORDER1 :] = -4  # order 2: at first none
+        self.mixed, self.before = np.zeros((2, n), np.int64), np.zeros(n, np.int64)
+        # what the trust in both orders adds to the logit, by their confidence, whether they agree and whether order 2 has a guess
+        trust = _STRETCH[np.array([3, 8, 24, 48]) << 6] << 8
+        self.trust = np.tile(np.repeat((trust[:, None] * 100 + trust * 80).ravel() >> 8, 4).astype(np.int32), n)
+        self.at64 = row << 6
+        self.weight = np.full(n, 60 << 8, np.int64)  # of the share of the guess
 
     def guess(self) -> tuple[np.ndarray, np.ndarray]:
-        """The first guess and the chance that it is right."""
-        self.i1 = self.at1 + ((self.last * 0x9E5 + (self.last >> 11)) & ((1 << _ORDER1) - 1))
-        self.i2 = self.at2 + ((self.last * 0x2F0B5 + self.before * 0x1B3 >> 3) & ((1 << _ORDER2) - 1))
-        self.e1, self.e2 = self.first[self.i1], self.second[self.i2]
-        self.g1 = np.where(self.e1 > 0, (self.e1 >> 2) - 1, self.shares.common)
-        self.g2 = np.where(self.e2 > 0, (self.e2 >> 2) - 1, self.g1)
-        agree = self.g1 == self.g2
-        c1, c2 = self.e1 & 3, self.e2 & 3
-        self.slots = [self.at8 + (c2 * 2 + agree), self.at8 + (c1 * 2 + agree), self.at8 + self.history]
-        self.chances = [r[i] for r, i in zip(self.right, self.slots)]
-        self.inputs = [_STRETCH[p >> 4] for p in self.chances] + [self.shares.stretched[self.g2]]
-        self.set = self.at16 + (c2 * 4 + c1)
-        self.used = [w[self.set] for w in self.weights]
-        total = sum(w * s for w, s in zip(self.used, self.inputs)) >> 16
-        self.mixed = _SQUASH[np.minimum(np.maximum(total, -2400), 2400) + 2400]
-        return self.g2, self.mixed
-
-    def learn_guess(self, hit: np.ndarray) -> None:
-        target = hit.astype(np.int64) << 16
-        for r, i, p in zip(self.right, self.slots, self.chances):
-            r[i] = p + ((target - p) >> 5)
-        off = target - self.mixed
-        for w, u, s in zip(self.weights, self.used, self.inputs):
-            w[self.set] = u + (s * off >> 15)
-        self.history = (self.history << 1 | hit) & 7
-
-    def second_guess(self, missed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the ``missed`` rows have another guess, and the chance that it is right."""
-        rows = missed[self.g1[missed] != self.g2[missed]]
-        self.slot = self.set[rows]
-        self.chance = self.right_next[self.slot]
-        return rows, np.minimum(np.maximum(self.chance, _LEAST), _ONE - _LEAST)
-
-    def learn_second(self, hit: np.ndarray) -> None:
-        self.right_next[self.slot] = self.chance + (((hit.astype(np.int64) << 16) - self.chance) >> 5)
-
-    def learn(self, got: np.ndarray) -> None:
-        for table, i, e in ((self.first, self.i1, self.e1), (self.second, self.i2, self.e2)):
-            sure = e & 3
-            same = (e >> 2) - 1 == got
-            table[i] = np.where(same, e + (sure < 3), np.where(sure > 1, e - 1, got * 4 + 4))
-        self.before, self.last = self.last, got
+        """The guess and the chance that it is right."""
+        self.i = (self.mixed >> 20 & self.mask) + self.at
+        self.e = self.table.take(self.i, mode="clip").astype(np.int64)
+        self.g, self.c = self.e >> 2, self.e & 3
+        there = self.e[1] >= 0
+        guess = np.where(there, self.g[1], self.g[0])
+        self.set = ((self.c[1] << 2) + self.c[0] << 2) + self.at64
+        self.set += guess == self.g[0]
+        self.set += there
+        self.set += there
+        self.t = self.trust.take(self.set, mode="clip")
+        self.s = self.stretched.take(guess, mode="clip")
+        self.chance = _SQUASH.take((self.weight * self.s >> 16) + (self.t >> 8) + 2400, mode="clip")
+        return guess, self.chance
+
+    def learn(self, x: np.ndarray, hit: np.ndarray) -> None:
+        off = (hit.astype(np.int64) << 16) - self.chance
+        self.trust[self.set] = self.t + (off >> _RATE_TRUST)
+        self.weight += self.s * off >> _RATE_WEIGHT
+        self.table[self.i] = np.where(self.g == x, self.e + (self.c < 3), np.where(self.c > 1, self.e - 1, x << 2))
+        self.mixed[0] = x * 0x9E3779B1
+        np.add(self.mixed[0], self.before, out=self.mixed[1])
+        self.before = x * 0x85EBCA77
 
 
 def _encode(grid: np.ndarray, shares: _Shares) -> list[bytes]:
     """The coded words of each column of ``grid``."""
     block, n = grid.shape
     m = _Models(n, shares)
-    low, span = np.zeros(n, np.int64), np.full(n, (1 << 48) - 1, np.int64)
-    words, used = np.zeros((n, block * 2 + 8), np.uint32), np.zeros(n, np.int64)
-
-    def settle(rows: np.ndarray) -> None:
-        """Write a word of each row whose span is short."""
-        nonlocal words
-        while len(rows):
-            if used.max() + 4 >= words.shape[1]:
-                words = np.concatenate((words, np.zeros_like(words)), 1)
-            x = low[rows]
-            words[rows, used[rows]] = x >> 32  # the 17th bit is a carry, settled at the end
-            used[rows] += 1
-            low[rows] = (x & 0xFFFFFFFF) << 16
-            span[rows] <<= 16
-            rows = rows[span[rows] < 1 << 32]
-
+    low, span = np.zeros(n, np.int64), np.full(n, (1 << 62) - 1, np.int64)
+    rows_of: list[np.ndarray] = []
+    words: list[np.ndarray] = []
     for step in range(block):
         x = grid[step].astype(np.int64)
         guess, chance = m.guess()
         hit = guess == x
         bound = (span >> 16) * chance
-        low += np.where(hit, 0, bound)
-        span = np.where(hit, bound, span - bound)
-        settle(np.flatnonzero(span < 1 << 32))
-        m.learn_guess(hit)
-        missed = np.flatnonzero(~hit)
-        if len(missed):
-            rows, chance = m.second_guess(missed)
-            hit = m.g1[rows] == x[rows]
-            s = span[rows]
-            bound = (s >> 16) * chance
-            low[rows] += np.where(hit, 0, bound)
-            span[rows] = s = np.where(hit, bound, s - bound)
-            settle(rows[s < 1 << 32])
-            m.learn_second(hit)
-            missed = missed[m.g1[missed] != x[missed]]
-            y, g = x[missed], guess[missed]
-            r = span[missed] // (shares.total - shares.size[g])
-            low[missed] += r * (shares.start[y] - np.where(y > g, shares.size[g], 0))
-            span[missed] = s = r * shares.size[y]
-            settle(missed[s < 1 << 32])
-        m.learn(x)
-    for _ in range(3):
-        if used.max() + 4 >= words.shape[1]:
-            words = np.concatenate((words, np.zeros_like(words)), 1)
-        words[np.arange(n), used] = low >> 32
-        used += 1
-        low = (low & 0xFFFFFFFF) << 16
+        r = (span - bound) // shares.total
+        low += np.where(hit, 0, bound + r * shares.start.take(x))
+        span = np.where(hit, bound, r * shares.size.take(x))
+        rows = np.flatnonzero(span < _SHORT)
+        while len(rows):
+            lows = low[rows]
+            rows_of.append(rows.astype(np.int32))
+            words.append((lows >> 46).astype(np.uint32))  # the 17th bit is a carry, settled at the end
+            low[rows] = (lows & _SHORT - 1) << 16
+            span[rows] = s = span[rows] << 16
+            rows = rows[s < _SHORT]
+        m.learn(x, hit)
+    del m
+    # a word is enough to end with: the decoder takes zeros after it, and the span is longer than that
+    rows_of.append(np.arange(n, dtype=np.int32))
+    words.append((low + _SHORT - 1 >> 46).astype(np.uint32))
+    row = np.concatenate(rows_of)
+    used = np.bincount(row, minlength=n)
+    order = np.argsort(row.astype(np.int16) if n < 1 << 15 else row, kind="stable")
+    longest = int(used.max())
+    grouped = np.zeros((n, longest), np.uint32)
+    grouped[np.arange(longest) < used[:, None]] = np.concatenate(words)[order]
     carry = np.zeros(n, np.uint32)
-    for k in range(int(used.max()) - 1, -1, -1):
-        w = words[:, k] + carry
-        words[:, k], carry = w & 0xFFFF, w >> 16
-    return [words[i, : used[i]].astype("<u2").tobytes() for i in range(n)]
+    turned = np.ascontiguousarray(grouped.T)
+    for k in range(longest - 1, -1, -1):
+        w = turned[k] + carry
+        turned[k], carry = w & 0xFFFF, w >> 16
+    grouped = turned.T.astype("<u2", order="C")
+    return [grouped[i, : used[i]].tobytes() for i in range(n)]
 
 
 def _decode(coded: list[bytes], block: int, shares: _Shares) -> np.ndarray:
     """Symbols of each block, a row for each."""
     n = len(coded)
-    longest = max(len(c) for c in coded) // 2 + 4
-    words = np.zeros((n, longest), np.int64)
+    longest = max(len(c) for c in coded) // 2 + 5
+    taken = np.zeros((n, longest), np.int64)
     for i, c in enumerate(coded):
-        words[i, : len(c) // 2] = np.frombuffer(c, "<u2")
-    words = words.ravel()
-    at, end = np.arange(n, dtype=np.int64) * longest, np.arange(1, n + 1, dtype=np.int64) * longest - 1
-    code, span = words[at] << 32 | words[at + 1] << 16 | words[at + 2], np.full(n, (1 << 48) - 1, np.int64)
-    at += 3
+        taken[i, : len(c) // 2] = np.frombuffer(c, "<u2")
+    code, span = taken[:, 0] << 46 | taken[:, 1] << 30 | taken[:, 2] << 14 | taken[:, 3] >> 2, np.full(n, (1 << 62) - 1, np.int64)
+    # what follows the first 62 bits
+    words = ((taken[:, 3:-1] & 3) << 14 | taken[:, 4:] >> 2).ravel()
+    at = np.arange(n, dtype=np.int64) * (longest - 4)
     m = _Models(n, shares)
     grid = np.zeros((block, n), np.int32)
-
-    def settle(rows: np.ndarray) -> None:
-        """Take a word into each row whose span is short."""
-        while len(rows):
-            k = at[rows]
-            code[rows] = code[rows] << 16 | words[k]
-            at[rows] = np.minimum(k + 1, end[rows])  # a damaged block may ask for more
-            span[rows] = np.maximum(span[rows], 1) << 16
-            rows = rows[span[rows] < 1 << 32]
-
     for step in range(block):
         guess, chance = m.guess()
         bound = (span >> 16) * chance
         hit = code < bound
-        code -= np.where(hit, 0, bound)
-        span = np.where(hit, bound, span - bound)
-        settle(np.flatnonzero(span < 1 << 32))
-        m.learn_guess(hit)
-        x = guess.astype(np.int64)
-        missed = np.flatnonzero(~hit)
-        if len(missed):
-            rows, chance = m.second_guess(missed)
-            s, c = span[rows], code[rows]
-            bound = (s >> 16) * chance
-            hit = c < bound
-            code[rows] = np.where(hit, c, c - bound)
-            span[rows] = s = np.where(hit, bound, s - bound)
-            settle(rows[s < 1 << 32])
-            m.learn_second(hit)
-            x[missed] = -1
-            x[rows[hit]] = m.g1[rows[hit]]
-            missed = missed[x[missed] < 0]
-            g = guess[missed]
-            rest = np.maximum(shares.total - shares.size[g], 1)
-            r = span[missed] // rest
-            c = code[missed]
-            v = np.minimum(c // r, rest - 1)
-            v += np.where(v >= shares.start[g], shares.size[g], 0)
-            y = np.minimum(np.searchsorted(shares.start, v, "right") - 1, len(shares.start) - 1)
-            x[missed] = y
-            code[missed] = c - r * (shares.start[y] - np.where(y > g, shares.size[g], 0))
-            span[missed] = s = r * shares.size[y]
-            settle(missed[s < 1 << 32])
+        r = (span - bound) // shares.total
+        rest = code - bound
+        y = shares.find(np.minimum(rest // r, shares.total - 1))
+        x = np.where(hit, guess, y)
+        code = np.where(hit, code, rest - r * shares.start.take(y))
+        span = np.where(hit, bound, r * shares.size.take(y))
         grid[step] = x
-        m.learn(x)
+        rows = np.flatnonzero(span < _SHORT)
+        while len(rows):  # clipped: a damaged block may ask for more
+            k = at[rows]
+            code[rows] = code[rows] << 16 | words.take(k, mode="clip")
+            at[rows] = k + 1
+            span[rows] = s = span[rows] << 16
+            rows = rows[s < _SHORT]
+        m.learn(x, hit)
     return grid.T
 
 
+def _alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct ids in order, the place of each id among them, and their counts."""
+    if not len(ids) or ids.max() >= max(4 * len(ids), 1 << 16):
+        return np.unique(ids, return_inverse=True, return_counts=True)
+    counts = np.bincount(ids)
+    names = np.flatnonzero(counts)
+    place = np.zeros(len(counts), np.int32)
+    place[names] = np.arange(len(names), dtype=np.int32)
+    return names.astype("<u4"), place[ids], counts[names]
+
+
 def write_chunk(keys: list[int | None], lengths: list[int], ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A chunk: head, compressed tables of documents and of ids, sizes and checksums of blocks, blocks."""
     ids = ids.astype("<u4", copy=False)
-    names, symbols, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    shares = _Shares(counts) if len(ids) else None
+    names, symbols, counts = _alphabet(ids)
+    by_count = np.argsort(-counts, kind="stable")
+    shares = _Shares(counts[by_count]) if len(ids) else None
+    number = np.empty(len(names), np.int32)
+    number[by_count] = np.arange(len(names), dtype=np.int32)
     coded: list[bytes] = []
     width, steps = max(ABREAST * BLOCK // block, 1), min(block, len(ids))
     for lo in range(0, len(ids), width * block):
         part = symbols[lo : lo + width * block]
         n = -(-len(part) // block)
         grid = np.zeros(n * steps, np.int32)
-        grid[: len(part)] = part
-        coded += _encode(np.ascontiguousarray(grid.reshape(n, steps).T), shares)
+        grid[: len(part)] = number[part]
+        grid = np.ascontiguousarray(grid.reshape(n, steps).T)
+        coded += _encode(grid, shares)
     sums = [zlib.crc32(ids[i * block : (i + 1) * block].tobytes()) for i in range(len(coded))]
     known = np.array([k is not None for k in keys], np.uint8)
     numbers = np.array([0 if k is None else k for k in keys], "<i8")
@@ -285,7 +257,9 @@ def read_chunk(chunk: bytes, only: list[int] | None = None) -> tuple[list[int |
     chosen = list(range(blocks)) if only is None else only
     if not chosen:
         return keys, lengths, np.zeros(0, "<u4")
-    shares, parts = _Shares(counts), []
+    by_count = np.argsort(-counts.astype(np.int64), kind="stable")
+    shares, parts = _Shares(counts[by_count]), []
+    names = names[by_count]
     width = max(ABREAST * BLOCK // block, 1)
     for lo in range(0, len(chosen), width):
         some = chosen[lo : lo + width]
@@ -311,27 +285,37 @@ def write(docs: DataFrame, path: str, target: str, end_id: int, key: str = "doc_
 
     def code(parts):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        bpe, end, part = encoder(path), int(end_id).to_bytes(4, "little"), TaskContext.get().partitionId()
+        bpe, part = encoder(path), TaskContext.get().partitionId()
         keys: list[int] = []
-        bodies: list[bytes] = []
+        lengths: list[int] = []
+        bodies: list[np.ndarray] = []
         held, ahead = 0, 0
 
         def chunk():
-            ids = np.frombuffer(b"".join(bodies), "<u4")
-            body = write_chunk(keys, [len(b) // 4 for b in bodies], ids)
+            ids = np.concatenate(bodies)
+            bodies.clear()
+            body = write_chunk(keys, lengths, ids)
             columns = [pa.array([part], pa.int32()), pa.array([ahead], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([body], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["part", "ahead", "n_ids", "chunk"])
 
         for batch in parts:
-            for k, value in zip(batch.column(0), batch.column(1)):
-                keys.append(k.as_py())
-                bodies.append(bpe.ids(value.as_py() or "") + end)
-                held += len(bodies[-1]) // 4
+            values = pc.fill_null(batch.column(1), "")
+            ends = np.cumsum(pc.binary_length(values).to_numpy().astype(np.int64))
+            lo = 0
+            while lo < len(values):
+                hi = max(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE, "right")), lo + 1)
+                ids, sizes = bpe.many(values.slice(lo, hi - lo), end_id)
+                keys += batch.column(0).slice(lo, hi - lo).to_pylist()
+                lengths += sizes.tolist()
+                bodies.append(ids)
+                held += len(ids)
+                lo = hi
                 if held >= CHUNK:
                     yield chunk()
                     keys.clear()
-                    bodies.clear()
+                    lengths.clear()
                     held, ahead = 0, ahead + held
         if keys:
             yield chunk()

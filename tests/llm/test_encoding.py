@@ -6,6 +6,7 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -131,6 +132,42 @@ def test_blocks_are_independent_and_checked():
         tokenfile.read_chunk(b"XXXX" + chunk[4:])
 
 
+def test_many_texts_equal_the_library(texts):
+    parts = [" ", " ", "  ", "\n", "\u3000", "the", "Ing", "é", "a.", "x's", "12", "***", "<|endoftext|>", "日本", "😀", "!?\nb,", "_", "\x00"]
+    r = random.Random(7)
+    whole = [t for _, t in texts] + ["".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(3000)]
+    bpe = ByteBpe(BYTES, limit=5)
+    for lo in range(0, len(whole), 700):
+        some = whole[lo : lo + 700]
+        ids, sizes = bpe.many(pa.array(some), 77)
+        assert len(sizes) == len(some) and sizes.sum() == len(ids)
+        for t, part in zip(some, np.split(ids, np.cumsum(sizes)[:-1])):
+            assert part.tolist() == [*bpe.tokenizer.encode(t, add_special_tokens=False).ids, 77], repr(t[:80])
+    assert [len(x) for x in bpe.many(pa.array([], pa.string()), 0)] == [0, 0]
+
+
+def test_words_are_encoded_once(monkeypatch):
+    """Whatever punctuation follows them, in whatever batch; a word in use outlives a full cache."""
+    bpe, seen = ByteBpe(BYTES, limit=60), []
+    plain = bpe._encoded
+    monkeypatch.setattr(bpe, "_encoded", lambda token: seen.append(token) or plain(token))
+    for i in range(30):
+        bpe.many(pa.array([f"so river river. river, river!!\nriver {chr(97 + i % 26) * (i + 3)}"]), 0)
+    assert seen.count("Ġriver") == 1 and seen.count("river") == 1
+
+
+@pytest.mark.parametrize("kind", ["one", "rare", "rising", "noise"])
+def test_extreme_ids_round_trip(kind):
+    r = np.random.default_rng(5)
+    ids = {
+        "one": np.full(70000, 3),
+        "rare": np.where(r.random(70000) < 0.0005, r.integers(0, 50000, 70000), 9),
+        "rising": np.arange(70000),
+        "noise": r.integers(0, 1 << 32, 70000),
+    }[kind].astype("<u4")
+    assert (tokenfile.read_chunk(tokenfile.write_chunk([1], [len(ids)], ids, 512))[2] == ids).all()
+
+
 def test_files(spark, docs, texts, nothing, monkeypatch):
     monkeypatch.setattr(tokenfile, "CHUNK", 1000)
     bpe, at, expected = ByteBpe(BYTES), 0, []
