@@ -87,7 +87,8 @@ class _Models:
         self.mixed, self.before = np.zeros((2, n), np.int64), np.zeros(n, np.int64)
         # what the trust in both orders adds to the logit, by their confidence, whether they agree and whether order 2 has a guess
         trust = _STRETCH[np.array([3, 8, 24, 48]) << 6] << 8
-        self.trust = np.tile(np.repeat((trust[:, None] * 100 + trust * 80).ravel() >> 8, 4).astype(np.int32), n)
+        trust = (trust[:, None] * 100 + trust * 80).ravel() >> 8
+        self.trust = np.tile(np.repeat(trust + (2400 << 8), 4).astype(np.int32), n)  # and the place of 0 in _SQUASH
         self.at64 = row << 6
         self.weight = np.full(n, 60 << 8, np.int64)  # of the share of the guess
 
@@ -104,7 +105,7 @@ class _Models:
         self.set += there
         self.t = self.trust.take(self.set, mode="clip")
         self.s = self.stretched.take(guess, mode="clip")
-        self.chance = _SQUASH.take((self.weight * self.s >> 16) + (self.t >> 8) + 2400, mode="clip")
+        self.chance = _SQUASH.take((self.weight * self.s >> 16) + (self.t >> 8), mode="clip")
         return guess, self.chance
 
     def learn(self, x: np.ndarray, hit: np.ndarray) -> None:
@@ -164,13 +165,15 @@ def _decode(coded: list[bytes], block: int, shares: _Shares) -> np.ndarray:
     """Symbols of each block, a row for each."""
     n = len(coded)
     longest = max(len(c) for c in coded) // 2 + 5
-    taken = np.zeros((n, longest), np.int64)
+    taken = np.zeros((n, longest), np.uint16)
     for i, c in enumerate(coded):
         taken[i, : len(c) // 2] = np.frombuffer(c, "<u2")
-    code, span = taken[:, 0] << 46 | taken[:, 1] << 30 | taken[:, 2] << 14 | taken[:, 3] >> 2, np.full(n, (1 << 62) - 1, np.int64)
+    head = taken[:, :4].astype(np.int64)
+    code, span = head[:, 0] << 46 | head[:, 1] << 30 | head[:, 2] << 14 | head[:, 3] >> 2, np.full(n, (1 << 62) - 1, np.int64)
     # what follows the first 62 bits
     words = ((taken[:, 3:-1] & 3) << 14 | taken[:, 4:] >> 2).ravel()
     at = np.arange(n, dtype=np.int64) * (longest - 4)
+    del taken
     m = _Models(n, shares)
     grid = np.zeros((block, n), np.int32)
     for step in range(block):
@@ -196,31 +199,36 @@ def _decode(coded: list[bytes], block: int, shares: _Shares) -> np.ndarray:
 
 
 def _alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct ids in order, the place of each id among them, and their counts."""
-    if not len(ids) or ids.max() >= max(4 * len(ids), 1 << 16):
-        return np.unique(ids, return_inverse=True, return_counts=True)
-    counts = np.bincount(ids)
-    names = np.flatnonzero(counts)
-    place = np.zeros(len(counts), np.int32)
-    place[names] = np.arange(len(names), dtype=np.int32)
-    return names.astype("<u4"), place[ids], counts[names]
+    """Distinct ids in order, their counts, and the number of each id by falling count."""
+    dense = len(ids) and ids.max() < max(4 * len(ids), 1 << 16)
+    if dense:
+        counts = np.bincount(ids)
+        names = np.flatnonzero(counts)
+        counts = counts[names]
+    else:
+        names, place, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    by_count = np.argsort(-counts, kind="stable")
+    number = np.empty(len(names), np.int32)
+    number[by_count] = np.arange(len(names), dtype=np.int32)
+    if not dense:
+        return names, counts, number[place]
+    number_of = np.zeros(int(names[-1]) + 1, np.int32)
+    number_of[names] = number
+    return names.astype("<u4"), counts, number_of[ids]
 
 
 def write_chunk(keys: list[int | None], lengths: list[int], ids: np.ndarray, block: int = BLOCK) -> bytes:
     """A chunk: head, compressed tables of documents and of ids, sizes and checksums of blocks, blocks."""
     ids = ids.astype("<u4", copy=False)
-    names, symbols, counts = _alphabet(ids)
-    by_count = np.argsort(-counts, kind="stable")
-    shares = _Shares(counts[by_count]) if len(ids) else None
-    number = np.empty(len(names), np.int32)
-    number[by_count] = np.arange(len(names), dtype=np.int32)
+    names, counts, symbols = _alphabet(ids)
+    shares = _Shares(np.sort(counts)[::-1]) if len(ids) else None
     coded: list[bytes] = []
     width, steps = max(ABREAST * BLOCK // block, 1), min(block, len(ids))
     for lo in range(0, len(ids), width * block):
         part = symbols[lo : lo + width * block]
         n = -(-len(part) // block)
         grid = np.zeros(n * steps, np.int32)
-        grid[: len(part)] = number[part]
+        grid[: len(part)] = part
         grid = np.ascontiguousarray(grid.reshape(n, steps).T)
         coded += _encode(grid, shares)
     sums = [zlib.crc32(ids[i * block : (i + 1) * block].tobytes()) for i in range(len(coded))]
