@@ -6,16 +6,13 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LogisticRegression,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartloom.operators.blocktrees import ROW_BYTES, TREE_BYTES, BlockForestClassifier, BlockGBTClassifier
 from cartloom.operators.evaluate import accuracy, precision_recall_at_k, roc_auc
 from cartloom.operators.features import (
     SERVING_FEATURES,
@@ -26,11 +23,9 @@ from cartloom.operators.sampling import hash_split
 from cartloom.schemas import KEY_COLUMNS
 
 SEED = 42
-#: What the rows of one task take in memory while a model is fitted, and a row of features; a forest
-#: adds a count and a node per tree.
+#: What the rows of one task take in memory while Spark fits a model, by ``ROW_BYTES`` a row of features;
+#: a forest adds a count and a node per tree.
 TASK_BYTES = 128 << 20
-ROW_BYTES = 256
-TREE_BYTES = 8
 
 
 def feature_columns(df: DataFrame) -> list[str]:
@@ -95,7 +90,7 @@ def forest(features: Sequence[str], trees: int = 100, depth: int = 10, seed: int
     return Pipeline(
         stages=[
             _assembler(features),
-            RandomForestClassifier(
+            BlockForestClassifier(
                 labelCol="reordered",
                 numTrees=trees,
                 maxDepth=depth,
@@ -114,14 +109,15 @@ def boosted(
     rate: float = 0.1,
     seed: int = SEED,
 ) -> Pipeline:
-    """Gradient-boosted trees; lineage is cut in the checkpoint folder every 10 rounds.
+    """Gradient-boosted trees.
 
-    Rows walk down the few levels of a tree: keeping their nodes costs a pass and a checkpoint a level.
+    Where Spark fits them itself, lineage is cut in the checkpoint folder every 10 rounds, and rows walk down
+    the few levels of a tree: keeping their nodes costs a pass and a checkpoint a level.
     """
     return Pipeline(
         stages=[
             _assembler(features),
-            GBTClassifier(
+            BlockGBTClassifier(
                 labelCol="reordered",
                 maxIter=rounds,
                 maxDepth=depth,
@@ -138,10 +134,14 @@ def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
     """Fit over all rows; ``train`` should be a written table or persisted.
 
     Features are aligned first, so a column the data lacks counts as 0. Rows are dealt to more tasks
-    where those that read them would hold more than ``TASK_BYTES`` each.
+    where those that read them would hold more than ``TASK_BYTES`` each; tasks that pack their rows into
+    blocks hold few, and only have to keep all cores busy.
     """
     rows = align(train, model_features(pipeline), ["reordered"])
-    tasks = fit_tasks(pipeline, train.count())
+    n_rows, last = train.count(), pipeline.getStages()[-1]
+    tasks = fit_tasks(pipeline, n_rows)
+    if isinstance(last, BlockForestClassifier | BlockGBTClassifier) and last.by_blocks(n_rows):
+        tasks = min(tasks, train.sparkSession.sparkContext.defaultParallelism)
     return pipeline.fit(rows.repartition(tasks) if tasks > rows.rdd.getNumPartitions() else rows)
 
 

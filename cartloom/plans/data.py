@@ -187,6 +187,18 @@ class Data:
             ),
         )
 
+    def pair_scores(self, name: str) -> DataFrame:
+        """Label and score of all labelled pairs by a model of ``MODELS`` or ``newton``, written once: a
+        curve reads them several times, and a score is a walk down all trees."""
+
+        def build() -> DataFrame:
+            pairs = self.split_matrix.drop("split")
+            if name == "newton":
+                return predict_newton(self.newton, pairs, ["reordered"])
+            return M.predict(self.model(name), pairs, ["reordered"])
+
+        return self._staged(f"pair_scores_{name}", build)
+
     @cached_property
     def newton(self) -> BoostedTrees:
         """Second-order boosted trees, fitted once on the training pairs."""
