@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cartloom.operators import blocktrees as T
 from cartloom.operators import evaluate as E
 from cartloom.operators import models as M
+from cartloom.plans.data import Data
 
 FEATURES = ["a", "b", "c", "d", "e"]
 
@@ -35,6 +36,7 @@ def nodes_of(spark, model, path):
 
 
 def test_boosting_on_blocks_finds_the_trees_of_spark(spark, table, monkeypatch, tmp_path):
+    monkeypatch.setattr(T, "KEPT_BYTES", 0)
     monkeypatch.setattr(T, "KEEP_ROUNDS", 2)
     monkeypatch.setattr(T, "LEAST_ROWS", 3000)
     monkeypatch.setattr(T, "CHUNK", 2000)
@@ -59,6 +61,7 @@ def test_boosting_on_blocks_finds_the_trees_of_spark(spark, table, monkeypatch,
 
 
 def test_trees_do_not_depend_on_the_tasks(spark, table, monkeypatch, tmp_path):
+    monkeypatch.setattr(T, "KEPT_BYTES", 0)
     small = table.filter("user_id < 3000")
     found = []
     for i, (rows, direct) in enumerate(((20_000, 64), (500, 64), (500, 2))):
@@ -96,10 +99,28 @@ def test_forest_on_blocks(spark, table, monkeypatch, tmp_path):
     assert again.stages[-1].toDebugString.split("\n", 1)[1] == own.stages[-1].toDebugString.split("\n", 1)[1]
 
 
-def test_odd_rows_are_refused(table):
+def test_odd_rows_are_refused(table, monkeypatch):
+    monkeypatch.setattr(T, "KEPT_BYTES", 0)
     with pytest.raises(Exception, match="label must be 0 or 1"):
         M.fit(M.boosted(FEATURES, 2, 2), table.withColumn("reordered", F.col("reordered") * 2))
     with pytest.raises(Exception, match="finite"):
         M.fit(M.boosted(FEATURES, 2, 2), table.withColumn("a", F.lit(float("inf"))))
     one_class = M.fit(M.boosted(FEATURES, 2, 2), table.withColumn("reordered", F.lit(0)))
     assert one_class.stages[-1].totalNumNodes == 2
+
+
+def test_small_tables_are_fitted_by_spark():
+    boosted, forest = (p.getStages()[-1] for p in (M.boosted(FEATURES), M.forest(FEATURES)))
+    assert not boosted.by_blocks(2_000_000) and boosted.by_blocks(12_000_000)
+    assert not forest.by_blocks(200_000) and forest.by_blocks(2_000_000)
+
+
+def test_scores_of_all_pairs_are_written_once(spark, table, monkeypatch):
+    """``model_learns`` reads them several times."""
+    model, asked = M.fit(M.forest(FEATURES, 3, 2), table), []
+    monkeypatch.setattr(Data, "model", lambda self, name: asked.append(name) or model)
+    monkeypatch.setattr(Data, "split_matrix", table.withColumn("split", F.lit("train")))
+    d = Data(spark, "scores written once")
+    scored = [d.pair_scores("forest") for _ in range(2)]
+    assert asked == ["forest"] and scored[0].inputFiles()
+    assert scored[1].columns == ["reordered", "prediction", "reorder_probability"] and scored[1].count() == 12_000
